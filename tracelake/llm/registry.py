@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import chat, decontaminate, quality
+from tracelake.llm import bpe, chat, decontaminate, edit_counts, licenses, linededup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_mcd": quality.op2_quality_mcd,
     "op3_chat_format": chat.op3_chat_format,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_edit_counts": edit_counts.op9_edit_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE_SQL,
+    "op6_line_dedup": linededup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
