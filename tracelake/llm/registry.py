@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, chat, decontaminate, edit_counts, licenses, linededup, quality
+from tracelake.llm import bpe, chat, decontaminate, edit_counts, licenses, linededup, lm, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lm.op1_lm_score,
     "op2_quality_mcd": quality.op2_quality_mcd,
     "op3_chat_format": chat.op3_chat_format,
     "op5_license_scan": licenses.op5_license_scan,
