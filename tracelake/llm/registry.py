@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, chat, decontaminate, edit_counts, licenses, linededup, lm, quality
+from tracelake.llm import bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm.op1_lm_score,
@@ -17,10 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_edit_counts": edit_counts.op9_edit_counts,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE_SQL,
     "op6_line_dedup": linededup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.ORACLE_SQL,
 }
