@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, quality
+from tracelake.llm import bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm.op1_lm_score,
     "op2_quality_mcd": quality.op2_quality_mcd,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
