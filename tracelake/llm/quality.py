@@ -166,37 +166,53 @@ def fit(rows: DataFrame) -> DataFrame:
     return params
 
 
-def judge(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
-    """``keep`` columns with statistics, base_failed, distance and kept."""
+def _judgeable(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
+    """k_ columns, group keys, statistics, features and base_failed."""
     base = with_stats(docs, {**{f"k_{n}": c for n, c in keep.items()}, "g_lang": F.col("lang").cast("string"), "g_source": F.col("source").cast("string")})
-    base = base.select("*", *features(), ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"))
-    base = cut(base, "stats")
-    # the estimate a group uses: its own, its language's, or that of all rows
+    return base.select("*", *features(), ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"))
+
+
+def _keys() -> dict[str, Column]:
     lang = F.coalesce(F.concat(F.lit("="), "g_lang"), F.lit("-"))
-    keys = {"own": F.concat(lang, F.lit("\x00"), F.coalesce(F.concat(F.lit("="), "g_source"), F.lit("-"))), "lang": lang, "all": F.lit("*")}
+    return {"own": F.concat(lang, F.lit("\x00"), F.coalesce(F.concat(F.lit("="), "g_source"), F.lit("-"))), "lang": lang, "all": F.lit("*")}
+
+
+def estimates(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own_key, level) of each group, and the estimates by group_key; ``base`` should be a cut table."""
+    keys = _keys()
     good = base.filter(~F.col("base_failed"))
-    sizes = good.groupBy(keys["own"].alias("own"), keys["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang"))).select("own", F.when(F.col("n") >= MIN_GROUP, F.lit("own")).when(F.col("n_lang") >= MIN_GROUP, F.lit("lang")).otherwise(F.lit("all")).alias("level"))
+    sizes = good.groupBy(keys["own"].alias("own_key"), keys["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang"))).select("own_key", F.when(F.col("n") >= MIN_GROUP, F.lit("own")).when(F.col("n_lang") >= MIN_GROUP, F.lit("lang")).otherwise(F.lit("all")).alias("level"))
     sizes = cut(sizes, "groups")
     levels = {r["level"] for r in sizes.select("level").distinct().collect()}  # at most three rows
-    parts = [good.select(F.when(F.lit(k == "all"), F.lit("*")).otherwise(v).alias("group_key"), *FEATURES) for k, v in keys.items() if k in levels]
-    rows = parts[0] if parts else good.select(F.lit("*").alias("group_key"), *FEATURES).limit(0)
+    parts = [good.select(v.alias("group_key"), *FEATURES) for k, v in keys.items() if k in levels] or [good.select(F.lit("*").alias("group_key"), *FEATURES).limit(0)]
+    rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    used = sizes.select(F.col("own").alias("own_key"), "level")
-    params = fit(rows)
-    tagged = base.withColumn("own_key", keys["own"]).join(used, "own_key", "left").withColumn("group_key", F.when(F.col("level") == "own", keys["own"]).when(F.col("level") == "lang", keys["lang"]).otherwise(keys["all"]))
+    return sizes, fit(rows)
+
+
+def judge(docs: DataFrame, keep: dict[str, Column], *, heavy: bool = False) -> DataFrame:
+    """``keep`` columns with statistics, base_failed, distance and kept. With ``heavy`` columns the
+    statistics are computed again for the verdict, so that no table with them is written."""
+    base = cut(_judgeable(docs, {} if heavy else keep), "stats")
+    sizes, params = estimates(base)
+    rows = _judgeable(docs, keep) if heavy else base
+    keys = _keys()
+    tagged = rows.withColumn("own_key", keys["own"]).join(sizes, "own_key", "left").withColumn("group_key", F.when(F.col("level") == "own", keys["own"]).when(F.col("level") == "lang", keys["lang"]).otherwise(keys["all"]))
     out = tagged.join(params, "group_key", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return out.select(*[F.col(f"k_{n}").alias(n) for n in keep], *_STATS, "base_failed", "distance", kept.alias("kept"))
+    return out.select(*[F.col(f"`k_{n}`").alias(n) for n in keep], *[F.col(c).alias(f"q_{c}") for c in _STATS], F.col("base_failed").alias("q_base_failed"), F.col("distance").alias("q_distance"), kept.alias("q_kept"))
 
 
 def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
-    return out.select("doc_id", *_STATS[:5], "base_failed", "kept", "distance")
+    return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in (*_STATS[:5], "base_failed", "kept", "distance")])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    out = judge(docs, {c: F.col(f"`{c}`") for c in docs.columns})
-    return out.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = judge(docs, {c: F.col(f"`{c}`") for c in docs.columns}, heavy=True)
+    n = len(docs.columns)
+    kept = out.filter(F.col("q_kept"))
+    return kept.select(*[F.col(f"`{c}`") for c in out.columns[:n]])
