@@ -1,4 +1,6 @@
 """All queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tracelake.plans import core
+
+QUERIES = {**core.QUERIES}
+ORACLE_SQL = {**core.ORACLE_SQL}
