@@ -1,6 +1,6 @@
 """All queries by name, and the SQL that gives the same rows."""
 
-from tracelake.plans import core
+from tracelake.plans import core, texts
 
-QUERIES = {**core.QUERIES}
-ORACLE_SQL = {**core.ORACLE_SQL}
+QUERIES = {**core.QUERIES, **texts.QUERIES}
+ORACLE_SQL = {**core.ORACLE_SQL, **texts.ORACLE_SQL}
