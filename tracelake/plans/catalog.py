@@ -1,6 +1,7 @@
 """All queries by name, and the SQL that gives the same rows."""
 
-from tracelake.plans import core, texts
+from tracelake.plans import core, lineage, texts
 
-QUERIES = {**core.QUERIES, **texts.QUERIES}
-ORACLE_SQL = {**core.ORACLE_SQL, **texts.ORACLE_SQL}
+_MODULES = (core, texts, lineage)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
