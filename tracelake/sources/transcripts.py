@@ -1,10 +1,152 @@
-"""Reading append-only JSONL transcripts of many sessions into typed tables."""
+"""Reading append-only JSONL transcripts of many sessions into typed tables.
+
+Bronze is one row for each line with its exact place in the file and the record as
+VARIANT (a field may be a string in one record and an array in the next). Two formats
+share the silver tables: ``session`` files (one message or event a line) and ``rollout``
+files (an envelope with type and payload; files of sub-agents point at their parent).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The message that marks where a forked rollout begins its own work (fixed value).
+FORK_MARKER = "You are an agent in a team of agents"
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(path, line_no, idx, rec): parsable lines of all files below ``root`` in file order. line_no is the
+    physical line, idx counts parsable records; both from 0. Blank and broken lines only take a line_no."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"), F.trim("value").alias("value"))
+    w = Window.partitionBy("path").orderBy("_block", "_mid")
+    rows = rows.withColumn("line_no", F.row_number().over(w).cast("long") - 1).withColumn("rec", F.try_parse_json("value"))
+    ok = rows.filter(F.schema_of_variant("rec").startswith("OBJECT"))
+    return ok.select("path", "line_no", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")).cast("long") - 1).alias("idx"), "rec")
+
+
+def text(col: str, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.col(col), path, kind)
+
+
+def detect(records: DataFrame) -> DataFrame:
+    """(path, format): by the first record of each file; null if neither format fits."""
+    first = records.groupBy("path").agg(F.min_by("line_no", "line_no").alias("line_no"))
+    head = records.join(first, ["path", "line_no"])
+    meta = text("rec", "$.type") == "session_meta"
+    has = F.coalesce(text("rec", "$.sessionId", "variant"), text("rec", "$.message", "variant"), text("rec", "$.uuid", "variant"), text("rec", "$.type", "variant")).isNotNull()
+    rollout = meta & F.schema_of_variant(text("rec", "$.payload", "variant")).startswith("OBJECT")
+    return head.select("path", F.when(F.coalesce(rollout, F.lit(False)), "rollout").when(~F.coalesce(meta, F.lit(False)) & has, "session").alias("format"))
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions below ``root``, newest first: path, project, format, session_id, size, mtime. Files of
+    sub-agents are left out."""
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    records = scan(spark, root)
+    head = records.join(records.groupBy("path").agg(F.min("line_no").alias("line_no")), ["path", "line_no"])
+    own = head.select("path", F.coalesce(text("rec", "$.payload.id"), text("rec", "$.payload.session_id")).alias("_id"), text("rec", "$.payload.cwd").alias("_cwd"), text("rec", "$.payload.thread_source").alias("_src"))
+    out = files.join(detect(records), "path").join(own, "path").filter("format is not null and coalesce(_src, '') <> 'subagent'").filter(~F.col("path").contains("/subagents/"))
+    name = F.element_at(F.split("path", "/"), -1)
+    project = F.when(F.col("format") == "rollout", F.element_at(F.split("_cwd", r"[/\\]"), -1)).otherwise(F.element_at(F.split("path", "/"), -2))
+    sid = F.when(F.col("format") == "rollout", F.col("_id")).otherwise(F.substring_index(name, ".", 1))
+    return out.select("path", project.alias("project"), "format", sid.alias("session_id"), "size", "mtime").orderBy(F.desc("mtime"), "path")
+
+
+def short_project(project: Column) -> Column:
+    tail = F.regexp_extract(project, r"^.*-projects-(.*)$", 1)
+    return F.when(tail != "", tail).otherwise(F.right(project, F.lit(30)))
+
+
+def block_text(blocks: Column) -> Column:
+    """Text of a content value: a string, or the texts of its blocks joined by line feeds."""
+    parts = F.filter(F.transform(F.try_variant_get(blocks, "$", "array<variant>"), lambda b: F.try_variant_get(b, "$.text", "string")), lambda t: t.isNotNull() & (t != ""))
+    return F.when(F.schema_of_variant(blocks) == "STRING", F.try_variant_get(blocks, "$", "string")).otherwise(F.coalesce(F.array_join(parts, "\n"), F.lit("")))
+
+
+def _stamp(col: Column) -> Column:
+    return F.try_to_timestamp(col)
+
+
+def ms(col: Column) -> Column:
+    return F.unix_millis(_stamp(col))
+
+
+def messages(records: DataFrame, key: str = "path") -> DataFrame:
+    """Session format: one row a record with its common fields."""
+    r = "rec"
+    return records.select(key, "idx", text(r, "$.timestamp").alias("ts"), ms(text(r, "$.timestamp")).alias("t_ms"), text(r, "$.type").alias("type"), text(r, "$.subtype").alias("subtype"), text(r, "$.promptSource").alias("source"), text(r, "$.attributionSkill").alias("attribution"), text(r, "$.message", "variant").alias("msg"), text(r, "$.toolUseResult", "variant").alias("result"))
+
+
+def prompts(msgs: DataFrame, key: str = "path") -> DataFrame:
+    body = F.try_variant_get("msg", "$.content", "variant")
+    own = F.when(F.schema_of_variant(body) == "STRING", F.try_variant_get(body, "$", "string"))
+    tidy = F.trim(F.regexp_replace(own, r"\s+", " "))
+    return msgs.filter((F.col("type") == "user") & (F.col("source") == "typed")).select(key, "idx", "t_ms", F.substring(tidy, 1, 400).alias("prompt")).filter("prompt <> ''")
+
+
+def _blocks(msgs: DataFrame, key: str) -> DataFrame:
+    arr = F.try_variant_get("msg", "$.content", "array<variant>")
+    rows = msgs.select(key, "idx", "t_ms", "result", F.posexplode(arr).alias("pos", "block"))
+    return rows.withColumn("kind", text("block", "$.type"))
+
+
+def tool_uses(msgs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, idx, t_ms, tool_id, name, brief, skill, wlines, kind, val): every tool call in order."""
+    from tracelake.functions.records import base_skill, line_count, tool_brief
+
+    b = _blocks(msgs, key).filter("kind = 'tool_use'").withColumn("input", F.to_json(text("block", "$.input", "variant")))
+    name = text("block", "$.name")
+    get = lambda k: F.get_json_object("input", f"$.{k}")
+    edits = F.from_json(get("edits"), "array<struct<old_string: string, new_string: string>>")
+    one = lambda t: line_count(F.coalesce(t, F.lit("")))
+    many = lambda f: F.aggregate(edits, F.lit(0).cast("long"), lambda a, e: a + f(e))
+    wrote = F.when(name == "Write", one(get("content"))).when(name == "Edit", one(get("new_string"))).when(name == "MultiEdit", many(lambda e: one(e["new_string"])))
+    val = F.when(name == "Write", wrote).when(name == "Edit", wrote - one(get("old_string"))).when(name == "MultiEdit", many(lambda e: one(e["new_string"]) - one(e["old_string"])))
+    kind = F.when(name == "Write", "set").when(name.isin("Edit", "MultiEdit"), "delta")
+    return b.select(key, "idx", "pos", "t_ms", text("block", "$.id").alias("tool_id"), name.alias("name"), tool_brief(F.col("input")).alias("brief"), F.when(name == "Skill", base_skill(get("skill"))).alias("skill"), wrote.alias("wlines"), kind.alias("kind"), val.alias("val"))
+
+
+def tool_results(msgs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, idx, t_ms, tool_id, ok, output, read_start, read_n, read_total)."""
+    b = _blocks(msgs, key).filter("kind = 'tool_result'")
+    own = block_text(text("block", "$.content", "variant"))
+    streams = F.concat_ws("\n", F.nullif(text("result", "$.stdout"), F.lit("")), F.nullif(text("result", "$.stderr"), F.lit("")))
+    rest = block_text(text("result", "$.content", "variant"))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    output = F.when(~blank(own), own).when(~blank(streams), streams).otherwise(F.coalesce(rest, F.lit("")))
+    n = text("result", "$.file.numLines", "long")
+    return b.select(key, "idx", "t_ms", text("block", "$.tool_use_id").alias("tool_id"), (~F.coalesce(text("block", "$.is_error", "boolean"), F.lit(False))).alias("ok"), output.alias("output"), F.when(n.isNotNull(), F.coalesce(text("result", "$.file.startLine", "long"), F.lit(1))).alias("read_start"), n.alias("read_n"), text("result", "$.file.totalLines", "long").alias("read_total"))
+
+
+def usage(msgs: DataFrame, key: str = "path") -> DataFrame:
+    """Usage rows for ``operators.usage.settle``: one a record that carries usage; records without a
+    message id are messages of their own."""
+    u = lambda k: F.coalesce(F.try_variant_get("msg", f"$.usage.{k}", "long"), F.lit(0).cast("long"))
+    split = F.schema_of_variant(F.try_variant_get("msg", "$.usage.cache_creation", "variant")).startswith("OBJECT")
+    hour = F.when(split, u("cache_creation.ephemeral_1h_input_tokens")).otherwise(u("cache_creation_input_tokens"))
+    short = F.when(split, u("cache_creation.ephemeral_5m_input_tokens")).otherwise(F.lit(0).cast("long"))
+    rows = msgs.filter(F.schema_of_variant(F.try_variant_get("msg", "$.usage", "variant")).startswith("OBJECT"))
+    blocks = F.try_variant_get("msg", "$.content", "array<variant>")
+    chars = lambda kind, field: F.coalesce(F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.when(F.try_variant_get(b, "$.type", "string").isin(*kind), F.coalesce(F.length(F.coalesce(*[F.try_variant_get(b, f"$.{f}", "string") for f in field])), F.lit(0))).otherwise(0)), F.lit(0).cast("long"))
+    tools = F.coalesce(F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.when(F.try_variant_get(b, "$.type", "string") == "tool_use", F.length(F.to_json(F.try_variant_get(b, "$.input", "variant")))).otherwise(0)), F.lit(0).cast("long"))
+    mid = F.coalesce(F.try_variant_get("msg", "$.id", "string"), F.concat(F.lit("#"), F.col("idx").cast("string")))
+    return rows.select(key, "idx", "t_ms", mid.alias("msg_id"), F.coalesce(F.try_variant_get("msg", "$.model", "string"), F.lit("unknown")).alias("model"), u("input_tokens").alias("inp"), u("cache_read_input_tokens").alias("cread"), short.alias("cw5"), hour.alias("cw1h"), u("output_tokens").alias("out_tok"), chars(("thinking", "redacted_thinking"), ("thinking", "data")).alias("ch_think"), chars(("text",), ("text",)).alias("ch_text"), tools.alias("ch_tool"))
+
+
+def markers(msgs: DataFrame, key: str = "path") -> DataFrame:
+    return msgs.filter("type = 'system' and subtype = 'compact_boundary'").select(key, "idx", "t_ms")
+
+
+def turns(msgs: DataFrame, key: str = "path") -> DataFrame:
+    """Roles for ``operators.segments.stalls``: close markers, assistants, and users who act themselves."""
+    closing = (F.col("type") == "system") & F.col("subtype").isin("stop_hook_summary", "turn_duration")
+    body = F.try_variant_get("msg", "$.content", "variant")
+    acts = (F.schema_of_variant(body) == "STRING") & ~F.ltrim(F.try_variant_get(body, "$", "string")).startswith("<task-notification>")
+    role = F.when(closing, "close").when((F.col("type") == "user") & F.coalesce(acts, F.lit(False)), "user").when(F.col("type").isin("user", "assistant"), "assistant").otherwise("other")
+    return msgs.filter("t_ms is not null").select(key, "idx", "t_ms", role.alias("role"))
+
 
 def trim_to_fork(records: DataFrame, marker: Column, key: str) -> DataFrame:
     """Records from the last one that ``marker`` holds for, of each key that has one."""
@@ -18,3 +160,21 @@ def lookup(ids: DataFrame, prefixes: list[str]) -> DataFrame:
     hit = F.broadcast(wanted).join(ids, F.col("id").startswith(F.col("prefix")), "left")
     n = F.count("id")
     return hit.groupBy("prefix").agg(n.alias("matches"), (n == 1).alias("is_unique"), F.when(n == 1, F.min("id")).alias("chosen"))
+
+
+def workflow_runs(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, agents) of the workflow files that ``glob`` names; broken files are skipped."""
+    raw = spark.read.option("wholetext", "true").text(glob).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("w")).filter(F.schema_of_variant("w").startswith("OBJECT"))
+    rid = F.coalesce(text("w", "$.runId"), F.regexp_replace("file", r"\.json$", ""))
+    runs = raw.select(rid.alias("run_id"), F.coalesce(text("w", "$.workflowName"), rid).alias("name"), text("w", "$.taskId").alias("task_id"), F.substring(F.coalesce(text("w", "$.summary"), F.lit("")), 1, 240).alias("summary"), text("w", "$.status").alias("status"), text("w", "$.durationMs", "long").alias("duration_ms"), text("w", "$.totalTokens", "long").alias("tokens"), text("w", "$.totalToolCalls", "long").alias("tool_calls"))
+    agents = raw.select(rid.alias("run_id"), F.explode(text("w", "$.workflowProgress", "array<variant>")).alias("a")).filter((text("a", "$.type") == "workflow_agent") & (F.coalesce(text("a", "$.agentId"), F.lit("")) != ""))
+    return runs, agents.select("run_id", text("a", "$.agentId").alias("agent_id"), F.coalesce(text("a", "$.label"), F.lit("")).alias("label"), F.coalesce(text("a", "$.phaseTitle"), F.lit("")).alias("phase"), text("a", "$.model").alias("model"), text("a", "$.state").alias("state"), text("a", "$.tokens", "long").alias("tokens"), F.substring(F.coalesce(text("a", "$.promptPreview"), F.lit("")), 1, 400).alias("prompt"))
+
+
+def subagents(spark: SparkSession, root: str) -> DataFrame:
+    """(session, agent_id, wf_run, type, description, tool_id, transcript) of agent meta files; a meta file
+    without a transcript still gives a row, an unreadable one doesn't."""
+    metas = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.meta.json").option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("m")).filter(F.schema_of_variant("m").startswith("OBJECT"))
+    jsonl = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.jsonl").format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("transcript"))
+    rows = metas.select(F.regexp_extract("file", r"([^/]+)/subagents/", 1).alias("session"), F.regexp_extract("file", r"agent-([^/]+)\.meta\.json$", 1).alias("agent_id"), F.nullif(F.regexp_extract("file", r"/subagents/workflows/([^/]+)/", 1), F.lit("")).alias("wf_run"), text("m", "$.agentType").alias("type"), text("m", "$.description").alias("description"), text("m", "$.toolUseId").alias("tool_id"), F.regexp_replace("file", r"\.meta\.json$", ".jsonl").alias("_t"))
+    return rows.join(jsonl, F.col("_t") == F.col("transcript"), "left").drop("_t")
