@@ -45,6 +45,11 @@ def _starts(size: Column, k: int) -> Column:
     return F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(F.array().cast("array<int>"))
 
 
+def _grams(k: int) -> Column:
+    """array<struct<h, k, pos>> of all runs of ``k`` words of column w."""
+    return F.transform(_starts(F.col("n_words"), k), lambda i: F.struct(_gram(F.col("w"), i, k).alias("h"), F.lit(k).alias("k"), i.alias("pos")))
+
+
 def anchors(bench: DataFrame) -> DataFrame:
     """(h, k, i_pos, item_id, i_words): where anchors of items start. k words make the anchor."""
     items = bench.select(F.col("item_id"), words_of(F.col("text").cast("string")).alias("i_words")).filter(F.size("i_words") > 0)
@@ -76,10 +81,9 @@ def hits(docs: DataFrame, bench: DataFrame, *ids: str) -> DataFrame:
     spots = F.broadcast(spots) if sum(sizes.values()) <= MAX_BROADCAST_ROWS else spots
     rows = docs.select(*[F.col(f"`{c}`") for c in ids], words_of(F.col("text").cast("string")).alias("w"))
     rows = rows.withColumn("n_words", F.greatest(F.size("w"), F.lit(0)))
-    grams = [F.transform(_starts(F.col("n_words"), k), lambda i, k=k: F.struct(_gram(F.col("w"), i, k).alias("h"), F.lit(k).alias("k"), i.alias("pos"))) for k in ks if k != ANCHOR]
+    grams = [_grams(k) for k in ks if k != ANCHOR]
     grams.append(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(_SEED_ROW).alias("pos"))))
-    main = F.transform(_starts(F.col("n_words"), ANCHOR), lambda i: F.struct(_gram(F.col("w"), i, ANCHOR).alias("h"), F.lit(ANCHOR).alias("k"), i.alias("pos")))
-    exploded = rows.select("*", F.inline(F.concat(*grams, main)))
+    exploded = rows.select("*", F.inline(F.concat(*grams, _grams(ANCHOR))))
     joined = exploded.join(spots, ["h", "k"])
     width = F.least(F.size("i_words"), F.lit(N))
     found = F.when(F.col("pos") == _SEED_ROW, F.array(F.lit(_SEED_ROW))).otherwise(_windows(F.col("w"), F.col("pos"), F.col("i_words"), F.col("i_pos")))
