@@ -97,6 +97,6 @@ def shell_rows(made: DataFrame, metas: DataFrame) -> DataFrame:
 
 
 def patch_rows(made: DataFrame) -> DataFrame:
-    """(path, idx, patch_no, line_no, text): lines of the patches inside scripts, for ``documents.patch_ops``."""
-    one = made.select("path", "idx", F.posexplode(R.patch_texts(F.col("raw"))).alias("patch_no", "patch"))
-    return one.select("path", "idx", "patch_no", F.posexplode(F.split("patch", "\n")).alias("line_no", "text"))
+    """(source, idx, patch_no, line_no, text): lines of the patches inside scripts, for ``documents.patch_ops``."""
+    one = made.select(F.col("path").alias("source"), "idx", F.posexplode(R.patch_texts(F.col("raw"))).alias("patch_no", "patch"))
+    return one.select("source", "idx", "patch_no", F.posexplode(F.split("patch", "\n")).alias("line_no", "text"))
