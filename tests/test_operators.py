@@ -162,3 +162,8 @@ def test_conversation_bounds(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", "t" * 3) for i in range(25)] + [(2, 0, "user", "x"), (2, 1, "assistant", "y"), (3, 0, "user", "z" * 20000), (4, 0, "system", "s")]
     got = {x.conv_id: (x.kept, x.chars, x.valid) for x in documents.bound_conversation(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
     assert got == {1: (20, 60, True), 2: (2, 2, False), 3: (1, 12000, True), 4: (0, 0, False)}
+
+
+def test_get_content_paths(spark):
+    c = "$a = 'x/A.kt'; Get-Content -Path $a | head; Get-Content \"y/B.kt\"; Get-Content $b; Get-Content 'z*.kt'; Get-Content 'x/A.kt'"
+    assert one(spark, records.content_paths(F.lit(c))) == ["x/A.kt", "y/B.kt"]

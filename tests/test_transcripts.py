@@ -182,8 +182,25 @@ def test_live_state_resumes_and_equals_the_batch(spark, tmp_path):
         f.write("".join(json.dumps(r) + "\n" for r in SESSION[5:]))
         f.write(json.dumps(assistant("2026-01-01T00:00:09Z", "m3", 3, [{"type": "text", "text": "done"}])) + "\n")
     b = drain()
-    assert (b.records, b.tool_calls, b.open_tools, b.failed, b.output_tokens, b.status) == (9, 2, 0, 1, 15, "waiting")
+    assert (b.records, b.tool_calls, b.open_tools, b.failed, b.output_tokens, b.covered_lines, b.status) == (9, 2, 0, 1, 15, 3, "waiting")
     m = transcripts.messages(transcripts.scan(spark, src))
     batch = usage.settle(transcripts.usage(m), key="path").agg(F.sum("out_tok").alias("o")).first().o
     assert batch == b.output_tokens
     assert [x.event for x in live.events_feed(m, "path").orderBy("idx").collect()] == ["prompt", "write", "compact"]
+
+
+def test_agents_link_by_workflow_call_and_time(spark):
+    from tracelake.operators import agents
+
+    segs = spark.createDataFrame([(1, 0, "plan", 0, 10), (1, 1, "wf:b", 11, 20)], "session_id int, seg_no long, stage string, start_ms long, end_ms long")
+    calls = spark.createDataFrame([(1, "t1", 3, 0, "plan", True)], "session_id int, tool_id string, idx long, seg_no long, stage string, ok boolean")
+    a = spark.createDataFrame([(1, "x", "t1", 15, "own"), (1, "y", "none", 15, "own"), (1, "z", "t1", 5, "own"), (1, "w", None, 99, "own")], "session_id int, agent_id string, tool_id string, start_ms long, label string")
+    wf = spark.createDataFrame([("z", "named", "done", "wf:b")], "agent_id string, wf_label string, state string, stage string")
+    got = {x.agent_id: (x.label, x.seg_no, x.stage, x.status) for x in agents.link(a, calls, segs, wf).collect()}
+    assert got == {"x": ("own", 0, "plan", "completed"), "y": ("own", 1, "wf:b", "unknown"), "z": ("named", 1, "wf:b", "done"), "w": ("own", None, None, "unknown")}
+    tree = spark.createDataFrame([("r", None, 0), ("k", "r", 1), ("g", "k", 2)], "id string, parent string, level int")
+    own = spark.createDataFrame([("r", "spec"), ("g", "build")], "id string, stage string")
+    assert {x.id: x.stage for x in agents.inherit_stage(tree, own).collect()} == {"r": "spec", "k": "spec", "g": "build"}
+    kids = spark.createDataFrame([("p", "k", "/root/worker"), ("p", "q", "/root/none")], "parent string, id string, agent_path string")
+    made = spark.createDataFrame([("p", 5, "do worker"), ("p", 2, "the worker task")], "parent string, idx long, brief string")
+    assert {x.id: x.idx for x in agents.spawned(kids, made).collect()} == {"k": 2, "q": None}

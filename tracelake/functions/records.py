@@ -111,3 +111,20 @@ def patch_texts(source: Column) -> Column:
     place = lambda a: F.size(names) - F.array_position(F.reverse(names), a).cast("int") + 1
     text = F.transform(args, lambda a: F.when(a.startswith('"'), unquote(a)).when(F.array_contains(names, a), unquote(F.get(values, place(a) - 1))))
     return F.filter(text, lambda t: F.coalesce(t, F.lit("")).contains("*** Begin Patch"))
+
+
+def shell_variables(command: Column) -> tuple[Column, Column]:
+    """Names (lower case) and values of variables that a PowerShell command assigns a quoted text."""
+    rx = r"(?s)\$([A-Za-z_]\w*)\s*=\s*(?:@?\()?\s*(['\"])(.*?)\2"
+    c = F.coalesce(command, F.lit(""))
+    return F.transform(F.regexp_extract_all(c, F.lit(rx), F.lit(1)), lambda x: F.lower(x)), F.regexp_extract_all(c, F.lit(rx), F.lit(3))
+
+
+def content_paths(command: Column) -> Column:
+    """Files that Get-Content names, by a quoted path or a variable; each once. Wild cards and unknown
+    variables name nothing."""
+    names, values = shell_variables(command)
+    raw = F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit("(?i)\\bGet-Content\\b(?:(?![;|\\r\\n]).)*?(?:-(?:LiteralPath|Path)\\s+)?(\\$[A-Za-z_]\\w*|'[^']+'|\"[^\"]+\")"), F.lit(1))
+    last = lambda n: F.size(names) - F.array_position(F.reverse(names), n).cast("int")
+    value = F.transform(raw, lambda r: F.when(~r.startswith("$"), F.substr(r, F.lit(2), F.length(r) - 2)).when(F.array_contains(names, F.lower(F.substr(r, F.lit(2)))), F.get(values, last(F.lower(F.substr(r, F.lit(2)))))))
+    return F.array_distinct(F.filter(value, lambda v: v.isNotNull() & ~v.rlike("[$%*?]")))

@@ -99,3 +99,34 @@ def catalog(spark, d):
 def live_counts(spark, d):
     """The live state after a stream over the transcript files; equal to the batch result."""
     return live.snapshot(spark, written(spark, d), F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long").alias("session_id")).select("session_id", "records", "tool_calls", "prompts", "output_tokens")
+
+
+@query("live_snapshot")
+def live_snapshot(spark, d):
+    """All columns of the live state with the version that wrote them."""
+    return live.snapshot(spark, written(spark, d), F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long").alias("session_id"))
+
+
+@query("live_usage", "SELECT session_id, CAST(sum(k) AS BIGINT) AS output_tokens FROM (SELECT session_id, idx // 3 AS m, arg_max(k, idx) AS k FROM v_rec WHERE event_type = 'click' GROUP BY ALL) GROUP BY session_id")
+def live_usage(spark, d):
+    return live_snapshot(spark, d).filter("output_tokens > 0").select("session_id", "output_tokens")
+
+
+@query("tail_source", "SELECT session_id, count(*) AS lines FROM v_rec GROUP BY session_id")
+def tail_source(spark, d):
+    """Lines that the tail source delivered of each file, counted by a stream that runs to the end."""
+    from tracelake.streaming.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    root, out = written(spark, d), f"{shared_folder(spark)}/tail-{uuid.uuid4().hex}"
+    rows = spark.readStream.format("transcript_tail").option("pattern", f"{root}/**/*.txt").load()
+    rows.writeStream.format("parquet").option("path", f"{out}/lines").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{out}/lines").select(F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long").alias("session_id"))
+    return got.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("head_signature", "SELECT count(DISTINCT session_id) AS files FROM v_rec")
+def head_signature(spark, d):
+    """Files with a signature of their first 128 bytes, by which a replaced file is known."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(written(spark, d))
+    return files.select("path", F.sha1(F.substring("content", 1, 128)).alias("head")).agg(F.count("head").alias("files"))

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tracelake.streaming.shared import shared_folder
 from tracelake.streaming.tail import TailSource
 
-OUT = "session_id long, records long, tool_calls long, failed long, open_tools long, prompts long, output_tokens long, status string, stage string"
+OUT = "session_id long, records long, tool_calls long, failed long, open_tools long, prompts long, output_tokens long, covered_lines long, status string, stage string"
 EVENTS = 80
 
 
@@ -36,19 +36,20 @@ class SessionReducer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.usage = handle.getMapState("usage", "msg string", "out long")
-        self.open = handle.getMapState("open", "id string", "name string")
-        self.counts = handle.getValueState("counts", "records long, tool_calls long, failed long, prompts long, output long, status string, stage string")
+        self.open = handle.getMapState("open", "id string", "path string")
+        self.spans = handle.getMapState("spans", "path string", "spans string")
+        self.counts = handle.getValueState("counts", "records long, tool_calls long, failed long, prompts long, output long, covered long, status string, stage string")
 
     def handleInputRows(self, key, rows, timerValues):
         lines = pd.concat(list(rows)).sort_values("at")["line"]
-        c = list(self.counts.get()) if self.counts.exists() else [0, 0, 0, 0, 0, "waiting", "setup"]
+        c = list(self.counts.get()) if self.counts.exists() else [0, 0, 0, 0, 0, 0, "waiting", "setup"]
         for line in lines:
             rec = parse(line)
             if rec is not None:
                 self._record(rec, c)
         self.counts.update(tuple(c))
         n_open = sum(1 for _ in self.open.keys())
-        yield pd.DataFrame([(key[0], c[0], c[1], c[2], n_open, c[3], c[4], c[5], c[6])], columns=[x.split()[0] for x in OUT.split(", ")])
+        yield pd.DataFrame([(key[0], c[0], c[1], c[2], n_open, *c[3:])], columns=[x.split()[0] for x in OUT.split(", ")])
 
     def _record(self, rec: dict, c: list) -> None:
         c[0] += 1
@@ -57,10 +58,10 @@ class SessionReducer(StatefulProcessor):
         blocks = [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
         if kind == "user" and rec.get("promptSource") == "typed" and isinstance(content, str) and content.strip():
             c[3] += 1
-            c[5] = "running"
+            c[6] = "running"
         skill = str(rec.get("attributionSkill") or "").split(":")[-1]
         if skill:
-            c[6] = skill
+            c[7] = skill
         use = msg.get("usage")
         if isinstance(use, dict) and not str(msg.get("model") or "").startswith("<"):
             mid, out = str(msg.get("id") or f"#{c[0]}"), int(use.get("output_tokens") or 0)
@@ -70,19 +71,37 @@ class SessionReducer(StatefulProcessor):
         for b in blocks:
             if b.get("type") == "tool_use":
                 c[1] += 1
-                c[5] = "running"
-                self.open.updateValue((str(b.get("id")),), (str(b.get("name")),))
+                c[6] = "running"
+                given = b.get("input") if isinstance(b.get("input"), dict) else {}
+                self.open.updateValue((str(b.get("id")),), (str(given.get("file_path") or "") if b.get("name") == "Read" else "",))
             elif b.get("type") == "tool_result" and self.open.containsKey((str(b.get("tool_use_id")),)):
+                path = self.open.getValue((str(b.get("tool_use_id")),))[0]
                 self.open.removeKey((str(b.get("tool_use_id")),))
                 c[2] += bool(b.get("is_error"))
+                got = rec.get("toolUseResult")
+                shown = got.get("file") if isinstance(got, dict) and isinstance(got.get("file"), dict) else {}
+                if path and shown.get("numLines"):
+                    c[5] += self._cover(path, int(shown.get("startLine") or 1), int(shown["numLines"]))
         text = content if isinstance(content, str) else " ".join(b.get("text") or "" for b in blocks)
         if "request interrupted" in text.lower():
-            c[5] = "interrupted"
+            c[6] = "interrupted"
         elif kind == "assistant":
             stop = msg.get("stop_reason")
             calls = any(b.get("type") == "tool_use" for b in blocks)
             if stop in ("end_turn", "stop_sequence") or (stop is None and text.strip() and not calls):
-                c[5] = "waiting"
+                c[6] = "waiting"
+
+    def _cover(self, path: str, start: int, n: int) -> int:
+        """Adds a line span of a file to its merged spans; how many lines are new."""
+        old = json.loads(self.spans.getValue((path,))[0]) if self.spans.containsKey((path,)) else []
+        merged: list[list[int]] = []
+        for a, b in sorted([*old, [start, start + n]]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        self.spans.updateValue((path,), (json.dumps(merged),))
+        return sum(b - a for a, b in merged) - sum(b - a for a, b in old)
 
     def close(self) -> None:
         pass
