@@ -31,7 +31,7 @@ MIN_GROUP = 200
 #: Squared distance, in units where the closest SHARE of a normal sample is unbiased.
 CUTOFF = 30.0
 #: Variance floors of the transformed statistics, below which differences don't matter.
-FLOORS = (0.02, 0.3, 0.3, 0.3, 0.01)
+FLOORS = (0.02, 0.3, 1.5, 1.5, 0.01)
 FEATURES = ("f_len", "f_sym", "f_rep", "f_dup", "f_var")
 #: Median of chi-square-like consistency: E[d2 | closest 75 %] for 5 dimensions against 5.
 CONSISTENCY = 1.55
