@@ -31,7 +31,7 @@ def edges(reads: DataFrame, writes: DataFrame, dropped: DataFrame, scope: str =
 def unread(inventory: DataFrame, reads: DataFrame, scope: str = "lineage") -> DataFrame:
     """Inventory files that a scope never read, paths compared without case."""
     scopes = reads.select(scope).distinct()
-    wanted = scopes.crossJoin(F.broadcast(inventory.select("path")))  # the scopes' own denominators, a row for each file
+    wanted = scopes.crossJoin(inventory.select("path"))  # one row for each scope and file is what the result is made of
     seen = reads.select(F.col(scope).alias("_s"), F.lower("path").alias("_p")).distinct()
     return wanted.join(seen, (F.col(scope) == F.col("_s")) & (F.lower("path") == F.col("_p")), "left_anti")
 
