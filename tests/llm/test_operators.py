@@ -164,7 +164,7 @@ def test_op3_round_trip_and_ranking(spark):
 
 
 def test_op3_branches(spark):
-    edges = [(9, 1, 0, 0.0), (9, 2, 1, 1.0), (9, 3, 1, 2.0), (9, 4, 3, 0.5), (9, 5, 3, 0.5), (9, 6, 2, 9.0), (8, 1, 77, None), (7, 1, 2, 1.0), (7, 2, 1, 1.0)]
+    edges = [(5, 1, 3, 0.0), (5, 2, 1, 0.0), (5, 3, 2, 0.0), (5, 4, 3, 0.0), (9, 1, 0, 0.0), (9, 2, 1, 1.0), (9, 3, 1, 2.0), (9, 4, 3, 0.5), (9, 5, 3, 0.5), (9, 6, 2, 9.0), (8, 1, 77, None), (7, 1, 2, 1.0), (7, 2, 1, 1.0)]
     df = spark.createDataFrame([(t, n, p, "user", f"m{n}", s) for t, n, p, s in edges], "tree long, node long, parent long, role string, text string, score double")
     out = {(r["tree"], r["leaf"]): r for r in chat.format_trees(df).collect()}
     assert {k: r["branch_rank"] for k, r in out.items()} == {(9, 6): 1, (9, 4): 2, (9, 5): 3, (8, 1): 1}

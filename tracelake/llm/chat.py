@@ -13,9 +13,9 @@ a backslash is doubled and ``<|`` becomes ``<\\|``, and a line feed in a role be
 
 Cases: null text or role counts as empty; null conv_id is a conversation of its own;
 turns that share a number are kept in the order of role, then text; a parent that does
-not exist makes its node a root; repeated rows are repeated turns; nodes on a cycle
-have no leaf and no path; an empty table gives no conversations; other columns are
-ignored.
+not exist makes its node a root; repeated rows are repeated turns; what lies on a cycle of
+parents, or below one, has no root and so no path; an empty table gives no conversations;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 from tracelake.llm.store import cut, table
 
 START, END, NL = "<|im_start|>", "<|im_end|>", "<|nl|>"
-#: More doublings than any tree needs; a cycle that hangs off nothing would else never end.
-MAX_DOUBLINGS = 40
-
 
 def escape(text: Column) -> Column:
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
@@ -46,14 +43,18 @@ def paths(nodes: DataFrame) -> DataFrame:
     edges = cut(nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")), "edges")
     leaves = nodes.join(edges.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
     reach = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump = edges
-    for k in range(MAX_DOUBLINGS):
+    jump, ended = edges, False
+    longest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    for k in range(longest.bit_length()):
         far = reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        reach = cut(reach.unionByName(far), "reach")
+        reach = cut(reach.unionByName(far.filter(F.col("up") < longest)), "reach")
         on = jump.select("tree", F.col("node").alias("from"), F.col("to").alias("node"))
         jump = cut(on.join(jump, ["tree", "node"]).select("tree", F.col("from").alias("node"), "to"), "jump")
-        if jump.isEmpty():
+        if ended := jump.isEmpty():
             break
+    if not ended:  # some ancestors go round in a circle
+        rooted = reach.join(edges.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "leaf").distinct()
+        reach = cut(reach.join(rooted, ["tree", "leaf"], "left_semi"), "reach")
     return reach
 
 
