@@ -136,3 +136,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+_VALUES = ", ".join(f"({t}, '{label}', {str(base).lower()}, {w})" for t, label, base, w in _sequences())
+ORACLE_SQL = f"""
+WITH t(template, label, base, w) AS (VALUES {_VALUES}),
+tg AS (SELECT template, label, base, p AS t_pos, len(w) - 1 AS t_grams, w[p + 1] || ' ' || w[p + 2] AS gram FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM t)),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+dg AS (SELECT doc_id, i AS pos, w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 1, 0))) AS i FROM d)),
+g AS (SELECT doc_id, template, label, base, t_grams, pos - t_pos AS diagonal, min(pos) AS low, max(pos) AS high, list(DISTINCT t_pos) AS spots FROM dg JOIN tg ON tg.gram = dg.gram GROUP BY ALL),
+r AS (SELECT *, CASE WHEN base OR lag(diagonal) OVER w IS NULL OR diagonal - lag(diagonal) OVER w > {MERGE} OR low > max(high) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {MERGE * K_WORDS + 1} THEN 1 ELSE 0 END AS cut
+      FROM g WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM r),
+x AS (SELECT doc_id, label, base, t_grams, len(list_distinct(flatten(list(spots)))) AS got, max(high) - min(low) + 1 AS span, min(diagonal) AS diagonal FROM s GROUP BY doc_id, template, label, base, t_grams, run),
+y AS (SELECT *, base AND got = t_grams AS whole, NOT base AND got / t_grams >= {ACCEPT} AND span <= {STRETCH} * t_grams AS near FROM x),
+z AS (SELECT doc_id, count_if(whole) AS n_base, min(diagonal) FILTER (WHERE whole) AS first_word, max(diagonal) FILTER (WHERE whole) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole OR near) AS labels, max(got / t_grams) FILTER (WHERE whole OR near) AS score FROM y GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN z ON z.doc_id = d.doc_id
+"""

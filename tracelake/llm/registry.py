@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE_SQL,
+    "op5_license_scan": licenses.ORACLE_SQL,
     "op6_line_dedup": linededup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_jaccard_join": jaccard.ORACLE_SQL,
