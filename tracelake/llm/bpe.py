@@ -328,14 +328,14 @@ def rank_path(name: str = RANK_FILE) -> str:
     return public_tokenizers.path(name)
 
 
-def _each(batch: pa.RecordBatch, path: str):
-    """(ids, offsets in the text) of each text of the last column."""
+def _chunks(batch: pa.RecordBatch, path: str):
+    """(rows of the batch, ids and offsets in its text of each of them), about a megabyte of texts at a time;
+    the texts are the last column."""
     enc = encoder(path)
     buf, off = K.texts(batch.column(batch.num_columns - 1))
-    for _, _, b, o in K.chunks(buf, off):
+    for i, j, b, o in K.chunks(buf, off):
         ids, begin, upto, _, _ = enc.encode(b, o)
-        for i in range(len(o) - 1):
-            yield ids[upto[i] : upto[i + 1]], begin[upto[i] : upto[i + 1]] - o[i]
+        yield batch.slice(i, j - i), ids, begin - np.repeat(o[:-1], np.diff(upto)), upto
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -346,12 +346,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                rows = list(_each(batch, path))
-                ends = np.append(0, np.cumsum([len(x) for x, _ in rows])).astype(np.int32)
-                ids = pa.ListArray.from_arrays(ends, np.concatenate([x for x, _ in rows]).astype(np.int32))
-                at = pa.ListArray.from_arrays(ends, np.concatenate([x for _, x in rows]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, at], names=[*batch.schema.names[:-1], "ids", "offsets"])
+            for rows, flat, begin, upto in _chunks(batch, path):
+                ends = pa.array(upto.astype(np.int32))
+                ids, at = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(begin, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], ids, at], names=[*batch.schema.names[:-1], "ids", "offsets"])
 
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType()))])
     return src.mapInArrow(run, schema)
@@ -376,12 +374,12 @@ def _digests(path: str):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            n, a, d = [], [], []
-            for ids, _ in _each(batch, path):
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
-                d.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+            for rows, flat, _, upto in _chunks(batch, path):
+                a, d = [], []
+                for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                    a.append(hashlib.sha256(",".join(map(str, flat[i:j].tolist())).encode()).hexdigest())
+                    d.append(hashlib.sha256(enc.decode(flat[i:j])).hexdigest())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(upto), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
-BUCKET_ITEMS = 1_500_000
+BLOCK_BYTES = 4 << 20
+BUCKET_ITEMS = 600_000
 _ASK = "bucket int, block long, cls int, items binary"
 _ANSWER = "block long, bucket int, sums binary, stats array<long>"
 
@@ -88,13 +88,10 @@ def answers(requests: DataFrame, weights: Callable[[int], list[float]], reply: C
     def run(key, t):
         asked = [unpack(x) for x in t.column("items").to_pylist()]
         cls = t.column("cls").to_pylist()
-        h = np.concatenate([a[0] for a in asked])
-        u, back = np.unique(h, return_inverse=True)
-        k = len(weights(0))
-        n = np.concatenate([a[1].astype(np.float64) for a in asked])
-        who = np.repeat(np.arange(len(asked)), [len(a[0]) for a in asked])
-        w = np.array([weights(c) for c in cls], dtype=np.float64)
-        sums = np.stack([np.bincount(back, weights=n * w[who, i], minlength=len(u)) for i in range(k)])
+        u, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        back = back.astype(np.int32)
+        w = [weights(c) for c in cls]
+        sums = np.stack([np.bincount(back, weights=np.concatenate([a[1] * x[i] for a, x in zip(asked, w, strict=True)]), minlength=len(u)) for i in range(len(w[0]))])
         out, at = [], 0
         for a, c in zip(asked, cls, strict=True):
             own = sums[:, back[at : at + len(a[0])]].astype(np.int64)
