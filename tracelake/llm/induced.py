@@ -67,8 +67,8 @@ class BucketQueue:
 class _Scan:
     """One induction: what the tuples that were handed out induce."""
 
-    def __init__(self, text: np.ndarray, queue: BucketQueue, depth: int):
-        self.text, self.queue, self.depth = text, queue, depth
+    def __init__(self, text: np.ndarray, queue: BucketQueue, depth: int, values: bool):
+        self.text, self.queue, self.depth, self.values = text, queue, depth, values
         self.least = np.full(256, 255, dtype=np.uint8)  # of the values passed since the bucket's last tuple
         self.seen = np.zeros(256, dtype=bool)
 
@@ -88,6 +88,16 @@ class _Scan:
         at, target = at[order], target[order]
         head = np.append(True, target[1:] != target[:-1])
         heads = np.flatnonzero(head)
+        if self.values:
+            value = self._value(at, target, head, heads, shared)
+        else:
+            value = np.zeros(len(at), dtype=np.uint8)
+        new = pos[at] - 1
+        for c, i, j in zip(target[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+            self.queue.push(c, new[i:j], value[i:j])
+
+    def _value(self, at: np.ndarray, target: np.ndarray, head: np.ndarray, heads: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """What each induced suffix shares with the one before it in its bucket."""
         lows = np.empty(len(at), dtype=np.uint8)
         upto = np.minimum.accumulate(shared)
         lows[heads] = np.minimum(upto[at[heads]], self.least[target[heads]])
@@ -102,9 +112,7 @@ class _Scan:
         np.minimum(self.least, upto[-1], out=self.least)
         self.least[named] = behind[at[ends - 1] + 1]
         self.seen[named] = True
-        new = pos[at] - 1
-        for c, i, j in zip(named.tolist(), heads.tolist(), ends.tolist(), strict=True):
-            self.queue.push(c, new[i:j], value[i:j])
+        return value
 
 
 def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -138,13 +146,14 @@ class Sorter:
         lms = np.flatnonzero(self.kind[1:] & ~self.kind[:-1]) + 1
         self.lms = lms
 
-    def _induce(self, seeds: np.ndarray, shared: np.ndarray):
-        """All suffixes from the sorted LMS ``seeds``: the L queue, then a walk over the S queue."""
+    def _induce(self, seeds: np.ndarray, shared: np.ndarray, values: bool = True):
+        """All suffixes from the sorted LMS ``seeds``: the L queue, then a walk over the S queue. Without
+        ``values`` only the order counts, and shared prefixes are left 0."""
         text, run = self.text, self.left_in_run
         first = text[seeds]
         bounds = np.searchsorted(first, np.arange(257))
         lower = BucketQueue(self.folder, self.memory)
-        scan = _Scan(text, lower, self.depth)
+        scan = _Scan(text, lower, self.depth, values)
         scan.queue.push(int(text[-1]), np.array([len(text) - 1], dtype=np.int64), np.zeros(1, np.uint8))
         scan.seen[text[-1]] = True
         for c in range(256):
@@ -158,7 +167,7 @@ class Sorter:
                 value[0] = min(run[last], run[seeds[a]]) if last >= 0 else 0
                 scan.feed(seeds[a:z], np.minimum(value, self.depth).astype(np.uint8), c + 1, 255)
         upper = BucketQueue(self.folder, self.memory)
-        scan = _Scan(text, upper, self.depth)
+        scan = _Scan(text, upper, self.depth, values)
         for c in range(255, -1, -1):
             last = -1
             for pos, value in upper.blocks(c):
@@ -189,7 +198,7 @@ class Sorter:
         order = np.argsort(text[lms], kind="stable")
         is_lms = np.zeros(len(text), dtype=bool)
         is_lms[lms] = True
-        found = [pos[is_lms[pos]] for pos, _, upper in self._induce(lms[order], np.zeros(len(lms), np.uint8)) if upper]
+        found = [pos[is_lms[pos]] for pos, _, upper in self._induce(lms[order], np.zeros(len(lms), np.uint8), values=False) if upper]
         by_piece = np.concatenate(found)[::-1]
         number = np.empty(len(text), dtype=np.int64) if len(text) < 1 << 16 else np.zeros(len(text), dtype=np.int32)
         number[lms] = np.arange(len(lms))
@@ -227,13 +236,11 @@ class Sorter:
         a, b = order[:-1].copy(), order[1:].copy()
         start = b.copy()
         for level in range(len(ranks) - 1, -1, -1):
-            r, step = ranks[level], 1 << level
-            ok = (a < m) & (b < m)
-            ok[ok] = r[a[ok]] == r[b[ok]]
-            # equal ranks of names that reach over the end would differ in length
-            ok &= (a + step <= m) & (b + step <= m)
-            a[ok] += step
-            b[ok] += step
+            # equal ranks cover the same names, so neither reaches over the end
+            r = np.append(ranks[level], -1)
+            step = (r[a] == r[b]).astype(np.int64) << level
+            a += step
+            b += step
         at = np.append(lms, n)
         out = at[b] - lms[start]
         live = np.flatnonzero((out < self.depth) & (a < m) & (b < m))

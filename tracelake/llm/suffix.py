@@ -37,6 +37,8 @@ from tracelake.llm.store import cut, table
 
 LENGTH = 200
 GRAM = 40
+BLOCK_BYTES = 5 << 20
+#: Bytes of documents for each shard; what a shard sorts is the suspicious part of as many.
 SHARD_BYTES = 4 << 20
 END = 0xFF
 _NO_ID = -(1 << 63)
@@ -135,8 +137,8 @@ def _ranges(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 def removal(docs: DataFrame):
     """(packed documents, answers): what ``_removed`` needs of each block."""
     _, size = C.sizes(docs)
-    n_blocks, n_buckets = max(1, -(-size // C.BLOCK_BYTES)), max(1, -(-size // (64 * C.BUCKET_ITEMS)))
-    n_shards = max(1, -(-2 * size // SHARD_BYTES))
+    n_blocks, n_buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // (64 * C.BUCKET_ITEMS)))
+    n_shards = max(1, -(-size // SHARD_BYTES))
     packed = _packed(docs, n_blocks)
 
     def request(key, t):
@@ -202,7 +204,7 @@ def _removed(rows: pa.Table, got: pa.Table, n_shards: int):
     """(bytes, offsets, ids, mask of the bytes that go) of a block."""
     kind = got.column("bucket").to_numpy()
     buf, off, ids, s, n, h, _, first, back, _ = _distinct(rows, got.filter(pa.array(kind >= 0)))
-    gone = np.zeros(len(buf) + 1, dtype=np.int64)
+    gone = np.zeros(len(buf) + 1, dtype=np.int32)
     if len(first):
         blobs = {-1 - r["bucket"]: r["sums"] for r in got.filter(pa.array(kind < 0)).select(["bucket", "sums"]).to_pylist()}
         order = np.argsort((h[first] % _U(n_shards)).astype(np.int64), kind="stable")
