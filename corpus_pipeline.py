@@ -24,7 +24,7 @@ STAGES = [
     ("byte_level_bpe", encode_stage),
 ]
 
-#: Robust estimates and BPE merges are not expressible in SQL; tests/llm has a brute-force version.
+#: Robust estimates and BPE merges are not expressible in SQL; tests/llm/test_pipeline.py has plain loops for the stages after the first.
 ORACLE_SQL = None
 
 

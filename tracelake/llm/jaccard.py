@@ -1,7 +1,8 @@
 """Operator 10: n-gram Jaccard join by grouped prefixes.
 
 A document is its set of distinct word shingles. Two link when their Jaccard similarity
-reaches ``PERCENT``. The plan:
+reaches a percentage. The query's contract is shingles of ``SHINGLE`` words and ``PERCENT``;
+the stage of the pipeline takes ``STAGE_SHINGLE`` and ``STAGE_PERCENT``. The plan:
 
 1. Equal sets form a class at once; only one text of a class goes on.
 2. Shingles are ordered by (document frequency, hash). Frequencies are exact, counted
@@ -20,7 +21,7 @@ The result is a component for each document; pairs inside a class or a component
 never all written out.
 
 Cases: null or empty text has an empty set and links with nothing; texts under
-``SHINGLE`` words are one shingle; rows that share a doc_id are vertices of one
+one shingle's width are one shingle; rows that share a doc_id are vertices of one
 document, so its component joins theirs; a null doc_id gets a null component and joins
 nothing; an empty table gives no rows; other columns are ignored or, in the stage,
 carried along.
@@ -41,6 +42,8 @@ from tracelake.llm.store import cut, table
 
 SHINGLE = 3
 PERCENT = 90
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
 TASK_ITEMS = 3_000_000
 _U = np.uint64
 
@@ -48,7 +51,7 @@ _U = np.uint64
 class Sets:
     """Distinct shingles of texts: ``items`` sorted inside ``bounds``, and two keys of each set."""
 
-    def __init__(self, b: np.ndarray, o: np.ndarray, width: int = SHINGLE):
+    def __init__(self, b: np.ndarray, o: np.ndarray, width: int):
         s, e, doc = K.words(b, o, K.SPACED)
         n = len(o) - 1
         h = K.slice_hash(K.prefix(b, K.LOWER_CODES), s, e)
@@ -75,12 +78,12 @@ def _sum(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return K.mix(c[bounds[1:]] - c[bounds[:-1]]).view(np.int64)
 
 
-def _least(n):
+def _least(n, percent: int):
     """Shingles that a set of ``n`` must share with any partner."""
-    return (PERCENT * n + 99) // 100
+    return (percent * n + 99) // 100
 
 
-def members(docs: DataFrame) -> DataFrame:
+def members(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, key1, key2) of each row."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
 
@@ -88,14 +91,14 @@ def members(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 buf, off = K.texts(batch.column(1))
-                sets = [Sets(b, o) for _, _, b, o in K.chunks(buf, off)]
+                sets = [Sets(b, o, width) for _, _, b, o in K.chunks(buf, off)]
                 cat = [np.concatenate([getattr(x, a) for x in sets]) for a in ("size", "key1", "key2")]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cat)], names=["doc_id", "n_shingles", "key1", "key2"])
 
     return src.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long")
 
 
-def _pack(docs: DataFrame, n_blocks: int) -> DataFrame:
+def _pack(docs: DataFrame, n_blocks: int, width: int) -> DataFrame:
     """(block, keys, lens, texts): one text of each set of a batch, dealt by the set's key."""
 
     def run(batches):
@@ -104,7 +107,7 @@ def _pack(docs: DataFrame, n_blocks: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             buf, off = K.texts(batch.column(0))
-            sets = [Sets(b, o) for _, _, b, o in K.chunks(buf, off)]
+            sets = [Sets(b, o, width) for _, _, b, o in K.chunks(buf, off)]
             key, size = (np.concatenate([getattr(x, a) for x in sets]) for a in ("key1", "size"))
             rows = np.unique(np.where(size > 0, key, 0), return_index=True)[1]
             rows = rows[size[rows] > 0]
@@ -122,7 +125,7 @@ def _pack(docs: DataFrame, n_blocks: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("t")).mapInArrow(run, "block long, keys binary, lens binary, texts binary")
 
 
-def _block_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_sets(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, bounds, items) of the distinct sets of a block, by key."""
     seen: dict[int, np.ndarray] = {}
     for r in rows.select(["keys", "lens", "texts"]).to_pylist():
@@ -130,7 +133,7 @@ def _block_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["texts"]), np.uint8)
         off = np.append(0, np.cumsum(np.frombuffer(r["lens"], np.int64)))
         for i, _, b, o in K.chunks(buf, off):
-            s = Sets(b, o)
+            s = Sets(b, o, width)
             for k in range(len(o) - 1):
                 seen.setdefault(int(keys[i + k]), s.items[s.bounds[k] : s.bounds[k + 1]])
     keys = sorted(seen)
@@ -138,29 +141,29 @@ def _block_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(keys, dtype=np.int64), bounds, np.concatenate([seen[k] for k in keys]) if keys else np.empty(0, _U)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sid, n, grp, tokens array<long>, items binary) of the sets that can have a partner."""
     _, size = C.sizes(docs)
     n_blocks, n_buckets = max(1, -(-size // C.BLOCK_BYTES)), max(1, -(-size // (6 * C.BUCKET_ITEMS)))
-    packed = _pack(docs, n_blocks)
+    packed = _pack(docs, n_blocks, width)
 
     def request(key, t):
-        _, _, items = _block_sets(t)
+        _, _, items = _block_sets(t, width)
         u, n = np.unique(items, return_counts=True)
         return C.ask(key[0].as_py(), 0, u, n, n_buckets)
 
     told = cut(C.answers(packed.groupBy("block").applyInArrow(request, C._ASK), lambda cls: [1.0], lambda cls, sums: [sums[0]], lambda u, sums: []), "df").filter("block >= 0")
 
     def pick(key, t, got):
-        sid, bounds, items = _block_sets(t)
+        sid, bounds, items = _block_sets(t, width)
         u, back = np.unique(items, return_inverse=True)
         df = C.ordered(got)[0][back] if len(u) else np.empty(0, np.int64)
         n = np.diff(bounds)
         shared = np.add.reduceat(df > 1, bounds[:-1]) if len(n) else n
         rows = []
-        for i in np.flatnonzero(shared >= _least(n)):
+        for i in np.flatnonzero(shared >= _least(n, percent)):
             own, f = items[bounds[i] : bounds[i + 1]], df[bounds[i] : bounds[i + 1]]
-            order = np.lexsort((own, f))[: n[i] - _least(n[i]) + 1]
+            order = np.lexsort((own, f))[: n[i] - _least(n[i], percent) + 1]
             head = own[order]
             grp = int(_sum(K.mix(head + _U(n[i])), np.array([0, len(head)]))[0])
             rows.append((int(sid[i]), int(n[i]), grp, head[f[order] > 1].view(np.int64), own.tobytes()))
@@ -170,8 +173,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     return cut(rows, "sets")
 
 
-def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list[np.ndarray], side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all pairs that reach ``PERCENT`` (a spanning forest); ``side`` tells
+def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all pairs that reach ``percent`` (a spanning forest); ``side`` tells
     two blocks apart of which only pairs across are asked for."""
     order = np.argsort(n, kind="stable")
     bounds = np.append(0, np.cumsum([len(items[i]) for i in order]))
@@ -189,7 +192,7 @@ def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list
         own = tflat[tb[x] : tb[x + 1]]
         near = np.unique(np.concatenate([np.array(post[t], dtype=np.int64) for t in own])) if len(own) else np.empty(0, np.int64)
         if len(near):
-            ok = (size[near] >= _least(size[x])) & (comp[near] != comp[x])
+            ok = (size[near] >= _least(size[x], percent)) & (comp[near] != comp[x])
             near = near[ok if sides is None else ok & (sides[near] != sides[x])]
         if len(near):
             mine = flat[bounds[x] : bounds[x + 1]]
@@ -202,7 +205,7 @@ def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list
                 k = size[c]
                 heads = np.cumsum(k) - k
                 got = np.add.reduceat(flag[flat[np.repeat(bounds[c] - heads, k) + np.arange(k.sum())]], heads)
-                for y in c[100 * got >= PERCENT * (k + size[x] - got)]:
+                for y in c[100 * got >= percent * (k + size[x] - got)]:
                     if comp[y] != comp[x]:
                         made_a.append(x)
                         made_b.append(int(y))
@@ -218,7 +221,7 @@ def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list
     return ids[np.array(made_a, dtype=np.int64)], ids[np.array(made_b, dtype=np.int64)]
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between sids, enough to connect every component."""
     groups = sets.select("grp", "n", "tokens").dropDuplicates(["grp"])
     spots = cut(groups.select("grp", F.explode("tokens").alias("token")), "prefixes")
@@ -232,13 +235,13 @@ def links(sets: DataFrame) -> DataFrame:
     items = tagged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
     shards = max(1, -(-items // TASK_ITEMS))
     whole = tagged.filter(F.col("total") <= TASK_ITEMS).select(F.concat(F.lit("c"), F.pmod(F.xxhash64("cluster"), F.lit(shards))).alias("task"), F.lit(-1).alias("side"), "sid", "n", "tokens", "items")
-    out = _verified(whole.unionByName(_blocks(tagged.filter(F.col("total") > TASK_ITEMS))))
+    out = _verified(whole.unionByName(_blocks(tagged.filter(F.col("total") > TASK_ITEMS), percent)), percent)
     return cut(out, "links")
 
 
-def _blocks(large: DataFrame) -> DataFrame:
+def _blocks(large: DataFrame, percent: int) -> DataFrame:
     """Rows of large clusters, once for each pair of blocks that they belong to."""
-    band = F.floor(F.log("n") / F.lit(float(np.log(100 / PERCENT))))
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     rows = large.withColumn("band", band)
     parts = rows.groupBy("cluster", "band").agg(F.ceil(F.sum("n") * 2 / TASK_ITEMS).alias("m"))
     near = parts.select("cluster", (F.col("band") + 1).alias("band"), F.col("m").alias("m_low"))
@@ -254,21 +257,21 @@ def _blocks(large: DataFrame) -> DataFrame:
     return rows.select(F.inline(F.concat(same, down, up)), "sid", "n", "tokens", "items")
 
 
-def _verified(rows: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame, percent: int) -> DataFrame:
     def run(key, t):
         side = t.column("side").to_numpy()
         tokens = [np.array(x, dtype=np.int64) for x in t.column("tokens").to_pylist()]
         items = [np.frombuffer(x, _U) for x in t.column("items").to_pylist()]
-        a, b = verify(t.column("sid").to_numpy(), t.column("n").to_numpy(), tokens, items, None if (side < 0).all() else side)
+        a, b = verify(t.column("sid").to_numpy(), t.column("n").to_numpy(), tokens, items, None if (side < 0).all() else side, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    rows = cut(members(docs), "members")
-    found = connected(links(candidates(docs)))
+    rows = cut(members(docs, width), "members")
+    found = connected(links(candidates(docs, width, percent), percent))
     ids = rows.filter("doc_id is not null")
     # rows that share a doc_id tie their sets together
     ties = ids.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("key1").alias("b"), F.max("key1").alias("z")).filter("b < z")
@@ -284,12 +287,12 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"))
+    return components(table(spark, sf_dir, "documents"), SHINGLE, PERCENT)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest doc_id."""
-    gone = components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = components(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
