@@ -8,7 +8,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tracelake.llm import bpe, jaccard
+from tracelake.llm import bpe, jaccard, linededup
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def brute_lines(data):
-    """Texts without lines in runs of two filled lines that stood before."""
+    """Texts without lines in runs of two filled lines, or of 50 words or more, that stood before."""
     seen, out = set(), {}
     for d, t in data:
         f = [(i, x) for i, x in enumerate(t.split("\n")) if SPACED.search(x)]
@@ -25,6 +25,11 @@ def brute_lines(data):
             if (a, b) in seen:
                 gone.update(range(i, j + 1))
             seen.add((a, b))
+        for i, a in f:
+            if len(SPACED.findall(a)) >= 50:
+                if a in seen:
+                    gone.add(i)
+                seen.add(a)
         left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
         if not gone or SPACED.search(left):
             out[d] = left
@@ -65,7 +70,8 @@ def corpus():
         near.append(" ".join(w))
     shared = "\n".join(" ".join(word() for _ in range(9)) for _ in range(3))
     lined = [f"{texts[i][:300]} {word()}\n{shared}\n\n{word()} {word()} {texts[i][300:]}" for i in range(40, 46)]
-    data = list(enumerate(texts + near + lined + ["too short", " ".join(["again and"] * 60)]))
+    lone = f"{word()}\n{texts[50]}\n{word()} {word()} {near[0]} {word()}"
+    data = list(enumerate(texts + near + lined + [lone, texts[51], "too short", " ".join(["again and"] * 60)]))
     items = [" ".join(texts[i].split()[30:45]) for i in (30, 33)]
     return data, items
 
@@ -101,3 +107,14 @@ def test_stage_takes_five_words_and_80_percent(spark, monkeypatch, task):
     assert at(5, 80) - at(3, 90) and set(pairs) - at(5, 80)
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data.items()], SCHEMA)
     assert collections.Counter(x.doc_id for x in jaccard.jaccard_stage(spark, docs, "").collect()) == collections.Counter(brute_near(data, 5, 80))
+
+
+def test_line_stage_deletes_later_copies_of_single_long_lines(spark):
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    long, short = line("a", 50), line("b", 49)
+    data = [(0, f"x\n{long}\ny"), (1, f"z\n\n{long}\nu"), (2, long), (3, f"p\n{short}\nq"), (4, f"r\n{short}\ns"), (5, short), (6, f"v\n{line('c', 60)}\nw\n{line('c', 60)}\n{long}"), (7, f"x\n{long}\nk")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data], SCHEMA)
+    want = brute_lines(data)
+    assert 2 not in want and want[1] == "z\n\nu" and want[6] == f"v\n{line('c', 60)}\nw" and want[5] == short and want[7] == "k"
+    assert {x.doc_id: x.text for x in linededup.line_stage(spark, docs, "").collect()} == want
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(docs).collect()} == dict(data) | {7: "k"}

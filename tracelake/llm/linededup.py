@@ -8,13 +8,17 @@ of ``RUN`` lines are equal to an earlier run (smaller doc_id, then smaller line)
 lines of these later runs are deleted. That is the same as deleting every line inside
 a run of ``RUN`` lines that has an earlier copy.
 
+With ``long_words``, a line of at least so many words is a run by itself: it is its own
+fingerprint, and its later copies are deleted whatever lines stand around them. The stage
+of the pipeline takes ``LONG_WORDS``; the query's contract is runs of ``RUN`` lines only.
+
 Only hashes of lines travel; groups of equal runs meet in an aggregate with map-side
 combine, so a very common run costs one row for each task.
 
 Cases: null text has no lines and stays null; blank lines are never compared, and go
 only when they lie inside a deleted run; a document of fewer than ``RUN`` lines keeps
-them; rows that share a doc_id have their lines compared as one document's and each
-lose the same lines; documents with a null doc_id are left as they are; an empty table
+them, if they are not long; rows that share a doc_id have their lines compared as one
+document's and each lose the same lines; documents with a null doc_id are left as they are; an empty table
 gives no rows; other columns are carried along.
 """
 
@@ -32,17 +36,21 @@ from tracelake.llm.store import cut, table
 
 W = 2
 RUN = W
+LONG_WORDS = 50
 
 
-def line_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each text: the hashes of its filled lines, their line numbers, and the indexes of the fingerprints."""
-    hashes, numbers, prints = [], [], []
+def line_hashes(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each text: the hashes of its filled lines, their line numbers, the indexes of the fingerprints,
+    and those of the lines of ``long_words`` or more."""
+    hashes, numbers, prints, longs = [], [], [], []
     for i, j, b, o in K.chunks(buf, off):
         s, e, doc = lines(b, o)
         ws = K.words(b, o, K.SPACED)[0]
-        filled = np.searchsorted(ws, e) > np.searchsorted(ws, s)
+        n_words = np.searchsorted(ws, e) - np.searchsorted(ws, s)
+        filled = n_words > 0
         number = np.arange(len(s)) - np.searchsorted(doc, np.arange(j - i))[doc]
         s, e, doc, number = s[filled], e[filled], doc[filled], number[filled]
+        is_long = n_words[filled] >= long_words if long_words else np.zeros(len(s), dtype=bool)
         h = K.slice_hash(K.prefix(b, K.RAW_CODES), s, e).astype(np.int64)
         n = len(h) - W + 1
         marked = np.zeros(len(h), dtype=bool)
@@ -58,7 +66,8 @@ def line_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], lis
             hashes.append(h[a:z])
             numbers.append(number[a:z])
             prints.append(np.flatnonzero(marked[a:z]))
-    return hashes, numbers, prints
+            longs.append(np.flatnonzero(is_long[a:z]))
+    return hashes, numbers, prints, longs
 
 
 def _ragged(parts: list[np.ndarray]) -> pa.Array:
@@ -66,18 +75,21 @@ def _ragged(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def _sequences(batches):
-    for batch in batches:
-        if batch.num_rows:
-            arrays = line_hashes(*K.texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_ragged, arrays)], names=["d", "hashes", "numbers", "prints"])
+def _sequences(long_words: int | None):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                arrays = line_hashes(*K.texts(batch.column(1)), long_words)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(_ragged, arrays)], names=["d", "hashes", "numbers", "prints", "longs"])
+
+    return run
 
 
-def later_runs(docs: DataFrame) -> DataFrame:
-    """(d, start): the filled lines start .. start + RUN - 1 of d equal an earlier run; and the cut sequences."""
+def later_runs(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(d, start, n): the filled lines start .. start + n - 1 of d equal an earlier run; and the cut sequences."""
     src = docs.filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t"))
     longs = T.ArrayType(T.LongType())
-    seqs = cut(src.mapInArrow(_sequences, T.StructType([src.schema["d"], *[T.StructField(c, longs) for c in ("hashes", "numbers", "prints")]])), "lines")
+    seqs = cut(src.mapInArrow(_sequences(long_words), T.StructType([src.schema["d"], *[T.StructField(c, longs) for c in ("hashes", "numbers", "prints", "longs")]])), "lines")
     spots = seqs.select("d", "hashes", F.explode("prints").alias("p"))
     hit = F.get("hashes", F.col("p").cast("int"))
     again = seqs.select(F.explode(F.transform("prints", lambda p: F.get("hashes", p.cast("int")))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
@@ -85,18 +97,22 @@ def later_runs(docs: DataFrame) -> DataFrame:
     first = F.greatest(F.col("p") - (RUN - 1), F.lit(0))
     last = F.least(F.col("p"), F.size("hashes") - RUN)
     runs = near.filter(last >= first).select("d", "hashes", F.explode(F.sequence(first, last)).alias("start"))
-    runs = cut(runs.select("d", "start", F.xxhash64(F.slice("hashes", F.col("start").cast("int") + 1, RUN)).alias("run")).distinct(), "runs")
-    firsts = runs.groupBy("run").agg(F.min(F.struct("d", "start")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "at")
-    later = runs.join(firsts, "run").filter(F.struct("d", "start") > F.col("at")).select("d", "start")
+    runs = runs.select("d", "start", F.xxhash64(F.slice("hashes", F.col("start").cast("int") + 1, RUN)).alias("run"), F.lit(RUN).alias("n"))
+    if long_words:
+        one = seqs.select("d", "hashes", F.explode("longs").alias("start"))
+        runs = runs.unionByName(one.select("d", "start", F.xxhash64(F.slice("hashes", F.col("start").cast("int") + 1, 1)).alias("run"), F.lit(1).alias("n")))
+    runs = cut(runs.distinct(), "runs")
+    firsts = runs.groupBy("run").agg(F.min(F.struct("d", "start")).alias("at"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("run", "at")
+    later = runs.join(firsts, "run").filter(F.struct("d", "start") > F.col("at")).select("d", "start", "n")
     return later, seqs
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(d, gone array<long> of 0-based line numbers), for documents that lose lines; and the cut sequences."""
-    later, seqs = later_runs(docs)
-    per = later.groupBy("d").agg(F.collect_set("start").alias("starts"))
+    later, seqs = later_runs(docs, long_words)
+    per = later.groupBy("d").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
     joined = seqs.select("d", "numbers").distinct().join(per, "d")
-    spans = F.transform("starts", lambda s: F.sequence(F.get("numbers", s.cast("int")), F.get("numbers", (s + (RUN - 1)).cast("int"))))
+    spans = F.transform("starts", lambda s: F.sequence(F.get("numbers", s["start"].cast("int")), F.get("numbers", (s["start"] + s["n"] - 1).cast("int"))))
     return joined.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list(spans))))).alias("gone")), seqs
 
 
@@ -104,9 +120,9 @@ def _kept(text: Column, gone: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """All documents without their later repeated runs; column __n_gone counts the lines that went."""
-    gone, _ = removed_lines(docs)
+    gone, _ = removed_lines(docs, long_words)
     out = docs.join(gone.withColumnRenamed("d", "__d").withColumnRenamed("gone", "__gone"), F.col("doc_id") == F.col("__d"), "left")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__gone")))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_gone"))
@@ -120,8 +136,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without later repeated runs; those of which nothing is left go, n_chars follows the text."""
-    out = dedup_lines(docs)
+    """The documents without later repeated runs and long lines; those of which nothing is left go, n_chars follows the text."""
+    out = dedup_lines(docs, LONG_WORDS)
     out = out.filter((F.col("__n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.when(F.col("__n_gone") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
