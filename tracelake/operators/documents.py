@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tracelake.functions.records import query_terms
 from tracelake.operators import intervals
 
+#: Characters of short outputs, with 64 more for each, that a broadcast may hold.
+MAX_SHORT_CHARS = 4_000_000
+
 
 def numbered_spans(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start_line, n): merged spans of the line numbers that texts carry before a tab."""
@@ -56,12 +59,19 @@ def visible_full(source: DataFrame, out: DataFrame, pairs: DataFrame | None = No
 
 def _line_pairs(source: DataFrame, out: DataFrame) -> DataFrame:
     """Pairs of which the document has one run of five inner words of the output. An output that stands
-    in a document has all its inner words there, so no pair is lost; outputs of under seven words
-    need pairs from the caller."""
+    in a document has all its inner words there, so no pair is lost. Outputs of under seven words,
+    also long ones without blanks, are looked for in every document: broadcast where they have
+    ``MAX_SHORT_CHARS`` or less together, else as Spark joins them."""
     g = 5
     grams = lambda df, key: df.select(key, F.split("text", r"\s+").alias("w")).select(key, F.explode(F.when(F.size("w") >= g + 2, F.transform(F.sequence(F.lit(1), F.size("w") - g - 1), lambda i: F.xxhash64(F.slice("w", i + 1, g)))).otherwise(F.array().cast("array<bigint>"))).alias("h"))
     first = grams(out, "item_id").groupBy("item_id").agg(F.min("h").alias("h"))
-    return grams(source, "doc_id").join(first, "h").select("item_id", "doc_id").distinct()
+    pairs = grams(source, "doc_id").join(first, "h").select("item_id", "doc_id")
+    short = out.filter(F.size(F.split("text", r"\s+")) < g + 2).filter(F.length("text") > 0).select("item_id", F.col("text").alias("o_text"))
+    chars = short.agg(F.coalesce(F.sum(F.length("o_text") + 64), F.lit(0)).alias("n")).first()["n"]
+    if chars:
+        near = F.broadcast(short) if chars <= MAX_SHORT_CHARS else short
+        pairs = pairs.unionByName(source.select("doc_id", "text").join(near, F.contains("text", "o_text")).select("item_id", "doc_id"))
+    return pairs.distinct()
 
 
 def visible_numbered(shown: DataFrame, source: DataFrame) -> DataFrame:
