@@ -229,7 +229,7 @@ def test_op6_deletes_later_runs(docs, rows, odd, empty, spark):
     for r in linededup.dedup_lines(docs).collect():
         t = rows[r.doc_id][1]
         want = t if t is None or not gone[r.doc_id] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[r.doc_id])
-        assert r.text == want and r["__n_gone"] == len(gone[r.doc_id])
+        assert r.text == want and r.n_gone == len(gone[r.doc_id])
     assert linededup.dedup_lines(odd).count() == odd.count()
     assert linededup.line_stage(spark, empty, "").columns == empty.columns
     assert linededup.line_stage(spark, empty, "").count() == 0

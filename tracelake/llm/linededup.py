@@ -12,21 +12,24 @@ With ``long_words``, a line of at least so many words is a run by itself: it is
 fingerprint, and its later copies are deleted whatever lines stand around them. The stage
 of the pipeline takes ``LONG_WORDS``; the query's contract is runs of ``RUN`` lines only.
 
-Only hashes of lines travel; groups of equal runs meet in an aggregate with map-side
-combine, so a very common run costs one row for each task.
+Only hashes of lines travel, each fingerprint with the runs that it lies in, so the rows of
+a document grow with its lines. Equal runs meet in an aggregate with map-side combine, and
+the few values that stand for more than a ``HOT``-th of all rows reach their rows by a
+broadcast of at most ``HOT`` of them; the join of the rest has no hot key.
 
 Cases: null text has no lines and stays null; blank lines are never compared, and go
 only when they lie inside a deleted run; a document of fewer than ``RUN`` lines keeps
 them, if they are not long; rows that share a doc_id have their lines compared as one
-document's and each lose the same lines; documents with a null doc_id are left as they are; an empty table
-gives no rows; other columns are carried along.
+document's and each lose the same lines; documents with a null doc_id are left as they are;
+an empty table gives no rows; other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,15 +37,19 @@ from tracelake.llm import kernels as K
 from tracelake.llm.quality import lines
 from tracelake.llm.store import cut, table
 
+_U = np.uint64
+
 W = 2
 RUN = W
 LONG_WORDS = 50
+#: Values that are more than a HOT-th of all rows are broadcast, at most HOT of them.
+HOT = 10_000
 
 
-def line_hashes(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each text: the hashes of its filled lines, their line numbers, the indexes of the fingerprints,
-    and those of the lines of ``long_words`` or more."""
-    hashes, numbers, prints, longs = [], [], [], []
+def runs_of(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) -> list[tuple[np.ndarray, ...]]:
+    """For each text, arrays of one length over the runs of lines around its fingerprints: hash and
+    index of the fingerprint, index of the run's first filled line, hash of the run, first and last line number."""
+    out = []
     for i, j, b, o in K.chunks(buf, off):
         s, e, doc = lines(b, o)
         ws = K.words(b, o, K.SPACED)[0]
@@ -50,96 +57,116 @@ def line_hashes(buf: np.ndarray, off: np.ndarray, long_words: int | None = None)
         filled = n_words > 0
         number = np.arange(len(s)) - np.searchsorted(doc, np.arange(j - i))[doc]
         s, e, doc, number = s[filled], e[filled], doc[filled], number[filled]
-        is_long = n_words[filled] >= long_words if long_words else np.zeros(len(s), dtype=bool)
-        h = K.slice_hash(K.prefix(b, K.RAW_CODES), s, e).astype(np.int64)
-        n = len(h) - W + 1
+        h = K.slice_hash(K.prefix(b, K.RAW_CODES), s, e)
+        at, run = K.window_hash(h, doc, RUN)
         marked = np.zeros(len(h), dtype=bool)
-        if n > 0:
-            at = np.flatnonzero(doc[:n] == doc[W - 1 :])
-            low = at.copy()
-            for k in range(1, W):
-                low = np.where(h[at + k] < h[low], at + k, low)
-            marked[low] = True
-        bounds = np.searchsorted(doc, np.arange(j - i + 1))
+        low = at.copy()
+        for k in range(1, W):
+            low = np.where(h[at + k] < h[low], at + k, low)
+        marked[low] = True  # each window's least line
+        parts = []
+        for k in range(RUN):  # extended by k lines to the left, and by the rest to the right
+            m = np.flatnonzero(marked[at + k])
+            parts.append((at[m] + k, at[m], run[m], at[m] + RUN - 1))
+        if long_words:
+            m = np.flatnonzero(n_words[filled] >= long_words)
+            parts.append((m, m, K.mix(h[m] + _U(1)), m))
+        mark, first, run, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(first, kind="stable")
+        mark, first, run, last = mark[order], first[order], run[order], last[order]
+        begin = np.searchsorted(doc, np.arange(j - i + 1))
+        bounds = np.searchsorted(first, begin)
         for k in range(j - i):
-            a, z = bounds[k], bounds[k + 1]
-            hashes.append(h[a:z])
-            numbers.append(number[a:z])
-            prints.append(np.flatnonzero(marked[a:z]))
-            longs.append(np.flatnonzero(is_long[a:z]))
-    return hashes, numbers, prints, longs
+            x = slice(bounds[k], bounds[k + 1])
+            out.append((h[mark[x]].view(np.int64), mark[x] - begin[k], first[x] - begin[k], run[x].view(np.int64), number[first[x]], number[last[x]]))
+    return out
 
 
-def _ragged(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
+_RUN = ("mark", "at", "start", "run", "low", "high")
 
 
-def _sequences(long_words: int | None):
+def _runs(long_words: int | None):
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                arrays = line_hashes(*K.texts(batch.column(1)), long_words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(_ragged, arrays)], names=["d", "hashes", "numbers", "prints", "longs"])
+            if not batch.num_rows:
+                continue
+            rows = runs_of(*K.texts(batch.column(1)), long_words)
+            own = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+            cols = [np.concatenate(x) for x in zip(*rows, strict=True)]
+            for a in range(0, len(own), 1 << 18):
+                z = slice(a, a + (1 << 18))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[z])), *[pa.array(c[z], pa.int64()) for c in cols]], names=["d", *_RUN])
 
     return run
 
 
-def later_runs(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(d, start, n): the filled lines start .. start + n - 1 of d equal an earlier run; and the cut sequences."""
+def _joined(rows: DataFrame, values: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` with the matching row of ``values`` (one for each ``key``, with ``k``, how many of the ``n``
+    rows have it). Keys of more than n / HOT rows, at most HOT, are broadcast; no other is hot."""
+    hot = F.col("k") > n / HOT
+    names = [c for c in values.columns if c not in (key, "k")]
+    near = rows.join(F.broadcast(values.filter(hot).select(key, F.struct("k", *names).alias("v"))), key, "left")
+    direct = near.filter("v is not null").select(*rows.columns, "v.*")
+    rest = near.filter("v is null").drop("v").join(values.filter(~hot), key)
+    return direct.unionByName(rest)
+
+
+def later_runs(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(d, low, high): lines low .. high of d are a run that equals an earlier one."""
     src = docs.filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t"))
-    longs = T.ArrayType(T.LongType())
-    seqs = cut(src.mapInArrow(_sequences(long_words), T.StructType([src.schema["d"], *[T.StructField(c, longs) for c in ("hashes", "numbers", "prints", "longs")]])), "lines")
-    spots = seqs.select("d", "hashes", F.explode("prints").alias("p"))
-    hit = F.get("hashes", F.col("p").cast("int"))
-    again = seqs.select(F.explode(F.transform("prints", lambda p: F.get("hashes", p.cast("int")))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    near = spots.withColumn("h", hit).join(again, "h", "left_semi")
-    first = F.greatest(F.col("p") - (RUN - 1), F.lit(0))
-    last = F.least(F.col("p"), F.size("hashes") - RUN)
-    runs = near.filter(last >= first).select("d", "hashes", F.explode(F.sequence(first, last)).alias("start"))
-    runs = runs.select("d", "start", F.xxhash64(F.slice("hashes", F.col("start").cast("int") + 1, RUN)).alias("run"), F.lit(RUN).alias("n"))
-    if long_words:
-        one = seqs.select("d", "hashes", F.explode("longs").alias("start"))
-        runs = runs.unionByName(one.select("d", "start", F.xxhash64(F.slice("hashes", F.col("start").cast("int") + 1, 1)).alias("run"), F.lit(1).alias("n")))
-    runs = cut(runs.distinct(), "runs")
-    firsts = runs.groupBy("run").agg(F.min(F.struct("d", "start")).alias("at"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("run", "at")
-    later = runs.join(firsts, "run").filter(F.struct("d", "start") > F.col("at")).select("d", "start", "n")
-    return later, seqs
-
-
-def removed_lines(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(d, gone array<long> of 0-based line numbers), for documents that lose lines; and the cut sequences."""
-    later, seqs = later_runs(docs, long_words)
-    per = later.groupBy("d").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
-    joined = seqs.select("d", "numbers").distinct().join(per, "d")
-    spans = F.transform("starts", lambda s: F.sequence(F.get("numbers", s["start"].cast("int")), F.get("numbers", (s["start"] + s["n"] - 1).cast("int"))))
-    return joined.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list(spans))))).alias("gone")), seqs
-
-
-def _kept(text: Column, gone: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    spots = cut(src.mapInArrow(_runs(long_words), T.StructType([src.schema["d"], *[T.StructField(c, T.LongType()) for c in _RUN]])), "lines")
+    n = spots.count()
+    place = F.struct("d", "at")
+    again = spots.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("mark", "k")
+    near = cut(_joined(spots, again, "mark", n).select("d", "start", "run", "low", "high").distinct(), "runs")
+    n = near.count()
+    firsts = near.groupBy("run").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return _joined(near, firsts, "run", n).filter(F.struct("d", "start") > F.col("first")).select("d", "low", "high")
+
+
+def removed_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(d, gone array<long> of 0-based line numbers, in order), for documents that lose lines."""
+    per = later_runs(docs, long_words).groupBy("d").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    lost = F.flatten(F.transform("spans", lambda s: F.sequence(s["low"], s["high"])))
+    return per.select("d", F.array_sort(F.array_distinct(lost)).alias("gone"))
+
+
+@F.pandas_udf(T.StringType())
+def _kept(text: pd.Series, gone: pd.Series) -> pd.Series:
+    def left(t, lost):
+        if t is None:
+            return None
+        keep = np.array(t.split("\n"), dtype=object)
+        mask = np.ones(len(keep), dtype=bool)
+        lost = np.asarray(lost, dtype=np.int64)
+        mask[lost[lost < len(keep)]] = False  # another row of the same doc_id may be longer
+        return "\n".join(keep[mask])
+
+    return pd.Series([left(t, g) if g is not None else None for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
 def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
-    """All documents without their later repeated runs; column __n_gone counts the lines that went."""
-    gone, _ = removed_lines(docs, long_words)
-    out = docs.join(gone.withColumnRenamed("d", "__d").withColumnRenamed("gone", "__gone"), F.col("doc_id") == F.col("__d"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__gone")))
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_gone"))
+    """(row: the columns of ``docs`` as they were, text: without later repeated runs, n_gone: lines that went)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(removed_lines(docs, long_words), F.col("row.doc_id") == F.col("d"), "left")
+    whole = F.col("row.text").cast("string")
+    # only texts that lose lines go to Python
+    left = _kept(F.when(F.col("gone").isNotNull(), whole), F.col("gone"))
+    return out.select("row", F.when(F.col("gone").isNull(), whole).otherwise(left).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("__n_gone").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select("row.doc_id", F.col("n_gone").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without later repeated runs and long lines; those of which nothing is left go, n_chars follows the text."""
     out = dedup_lines(docs, LONG_WORDS)
-    out = out.filter((F.col("__n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.when(F.col("__n_gone") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    out = out.filter((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    told = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[F.when(F.col("n_gone") > 0, told[c]).otherwise(F.col("row").getField(c)).alias(c) if c in told else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
