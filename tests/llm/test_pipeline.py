@@ -117,4 +117,4 @@ def test_line_stage_deletes_later_copies_of_single_long_lines(spark):
     want = brute_lines(data)
     assert 2 not in want and want[1] == "z\n\nu" and want[6] == f"v\n{line('c', 60)}\nw" and want[5] == short and want[7] == "k"
     assert {x.doc_id: x.text for x in linededup.line_stage(spark, docs, "").collect()} == want
-    assert {x.doc_id: x.text for x in linededup.dedup_lines(docs).collect()} == dict(data) | {7: "k"}
+    assert {x.row.doc_id: x.text for x in linededup.dedup_lines(docs).collect()} == dict(data) | {7: "k"}

@@ -14,7 +14,8 @@ blank and letters, numbers or others; contractions; white space.
 
 Cases: null text counts as empty and has no tokens; any text decodes to itself; long
 runs without a boundary are merged with a heap in n log n; the cache is cleared when
-full; an empty table gives no rows; other columns are carried along or ignored.
+full; an empty table gives no rows; other columns, of any name, are carried along or
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -338,36 +339,39 @@ def _chunks(batch: pa.RecordBatch, path: str):
         yield batch.slice(i, j - i), ids, begin - np.repeat(o[:-1], np.diff(upto)), upto
 
 
+def _row(df: DataFrame, *without: str) -> Column:
+    """The other columns as one struct, whose field names can't clash with those of a result."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("row")
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """All columns but the text, then ids array<int> and offsets array<long> (byte of each token in its text)."""
+    """(row: struct of all columns but the text, ids array<int>, offsets array<long>: byte of each token in its text)."""
     path = path or rank_path()
-    others = [c for c in docs.columns if c != text]
-    src = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__text"))
+    src = docs.select(_row(docs, text), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for rows, flat, begin, upto in _chunks(batch, path):
                 ends = pa.array(upto.astype(np.int32))
                 ids, at = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(begin, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], ids, at], names=[*batch.schema.names[:-1], "ids", "offsets"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), ids, at], names=["row", "ids", "offsets"])
 
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType()))])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, T.StructType([src.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType()))]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """The columns of ``encoded`` but ids and offsets, then the text; null ids give an empty text."""
+    """(row, text) of rows with row and ids; null ids give an empty text."""
     path = path or rank_path()
-    others = [c for c in encoded.columns if c not in ("ids", "offsets")]
-    src = encoded.select(*[F.col(f"`{c}`") for c in others], F.col("ids"))
+    src = encoded.select("row", "ids")
 
     def run(batches):
         for batch in batches:
             enc = encoder(path)
-            out = [enc.decode(np.array(x or [], dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "text"])
+            out = [enc.decode(np.array(x or [], dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("text", T.StringType())]))
+    return src.mapInArrow(run, T.StructType([src.schema["row"], T.StructField("text", T.StringType())]))
 
 
 def _digests(path: str):
@@ -391,6 +395,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their texts in place of the texts, and the number of ids."""
+    """The documents with the ids of their texts in place of the texts, and the number of ids. Columns of
+    the documents that are called ids or n_tokens get an underscore, or as many as make the name new."""
+    others = [c for c in docs.columns if c != "text"]
+    taken, named = {"ids", "n_tokens", *others}, {}
+    for c in others:
+        new = c
+        while c in ("ids", "n_tokens") and new in taken:
+            new += "_"
+        named[c] = new
+        taken.add(new)
     out = encode(docs)
-    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "offsets"], F.size("ids").cast("long").alias("n_tokens"))
+    return out.select(*[F.col("row").getField(c).alias(named[c]) for c in others], "ids", F.size("ids").cast("long").alias("n_tokens"))

@@ -59,16 +59,19 @@ def paths(nodes: DataFrame) -> DataFrame:
 
 
 def format_trees(nodes: DataFrame, best: int | None = None) -> DataFrame:
-    """(tree, leaf, branch_rank, branch_score, formatted), the ``best`` branches of each tree or all."""
+    """(tree, leaf, branch_rank, branch_score, formatted), the ``best`` branches of each tree or all.
+    Branches are ranked by ids and scores alone; only those that are chosen get their texts."""
     reach = paths(nodes.select("tree", "node", "parent"))
-    turn = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NL)), F.lit("\n"), escape(F.col("text")), F.lit(f"{END}\n"))
-    body = nodes.select("tree", "node", turn.alias("turn"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
-    rows = reach.join(body, ["tree", "node"])
-    out = rows.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn"))).alias("turns"))
-    out = out.select("tree", "leaf", "branch_score", F.array_join(F.col("turns.turn"), "").alias("formatted"))
+    scores = nodes.select("tree", "node", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    branches = reach.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
-    out = out.withColumn("branch_rank", rank)
-    return out if best is None else out.filter(F.col("branch_rank") <= best)
+    branches = branches.withColumn("branch_rank", rank)
+    if best is not None:
+        branches = branches.filter(F.col("branch_rank") <= best)
+    turn = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NL)), F.lit("\n"), escape(F.col("text")), F.lit(f"{END}\n"))
+    rows = reach.join(branches, ["tree", "leaf"]).join(nodes.select("tree", "node", turn.alias("turn")), ["tree", "node"])
+    out = rows.groupBy("tree", "leaf", "branch_rank", "branch_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn"))).alias("turns"))
+    return out.select("tree", "leaf", "branch_score", F.array_join(F.col("turns.turn"), "").alias("formatted"), "branch_rank")
 
 
 def parse(formatted: Column) -> Column:

@@ -84,19 +84,25 @@ def hits(docs: DataFrame, bench: DataFrame, *ids: str) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in ids], "n_words", "item_id", "width", "start")
 
 
-def _scan(rows: DataFrame, spots: DataFrame, ks: list[int], first: int) -> DataFrame:
-    """Hits of one part. Everything up to ``near`` runs in one generated stage, in which the words of a
-    document are never copied for each of its words."""
+def word_rows(rows: DataFrame, ks: list[int], first: int) -> DataFrame:
+    """A row for each word and each gram width of ``ks``: ``pos``, and ``h``, the hash of the gram that starts
+    there. Row numbers ``i`` begin at ``first``: at _SEED each document has one more row, of hash 0.
+    ``rows`` has words ``w`` and ``n_words``; joined with a broadcast of grams, all this is one
+    generated stage, in which the words of a document are never copied for each of its words."""
     m = len(ks)
     last = F.col("n_words") * m - 1
     at = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
     words = rows.select("*", F.explode(at).alias("i"))
-    pos = F.col("i") if m == 1 else F.floor(F.col("i") / m).cast("int")
-    words = words.withColumn("pos", pos)
+    words = words.withColumn("pos", F.col("i") if m == 1 else F.floor(F.col("i") / m).cast("int"))
     h = _gram(F.col("w"), F.col("pos"), ks[-1])
     for j, k in enumerate(ks[:-1]):
         h = F.when(F.col("i") % m == j, _gram(F.col("w"), F.col("pos"), k)).otherwise(h)
-    joined = words.withColumn("h", F.when(F.col("i") == _SEED, F.lit(0).cast("long")).otherwise(h)).join(spots, "h")
+    return words.withColumn("h", F.when(F.col("i") == _SEED, F.lit(0).cast("long")).otherwise(h))
+
+
+def _scan(rows: DataFrame, spots: DataFrame, ks: list[int], first: int) -> DataFrame:
+    """Hits of one part."""
+    joined = word_rows(rows, ks, first).join(spots, "h")
     low = F.greatest(F.col("pos") - (STEP - 1), F.lit(0))
     near = joined.withColumn("near", F.slice("w", low + 1, F.greatest(F.col("pos"), F.lit(0)) - low + N)).drop("w")
     return near.withColumn("start", F.explode(F.when(F.col("i") == _SEED, F.array(F.lit(_SEED))).otherwise(_starts())))

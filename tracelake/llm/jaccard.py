@@ -11,10 +11,13 @@ the stage of the pipeline takes ``STAGE_SHINGLE`` and ``STAGE_PERCENT``. The pla
    which any partner must share one.
 3. Sets with the same size and prefix collapse into a group. Groups that share a prefix
    shingle are connected into clusters, by ids only.
-4. The sets of a cluster meet in one task, which expands groups and verifies members
-   exactly, skipping pairs that are connected already. A cluster over ``TASK_ITEMS`` is
-   cut by size bands and hash into blocks, and all pairs of blocks whose sizes allow a
-   link get a task each, so no task is unbounded and no pair is lost.
+4. The sets of a cluster meet in one task. It joins groups by their prefix shingles, filters
+   the pairs of groups by size and by what the places of the first shared shingle leave
+   possible, expands those that pass and verifies their members exactly, skipping pairs
+   that are connected already. A cluster over ``TASK_ITEMS`` is cut by size bands and hash
+   into blocks; a piece of a group goes to the tasks of those pairs of blocks in which it
+   has a prefix shingle in common with the other side. So no task is unbounded, blocks
+   that share nothing never meet, and no pair is lost.
 5. Links of the tasks are joined to components.
 
 The result is a component for each document; pairs inside a class or a component are
@@ -22,9 +25,9 @@ never all written out.
 
 Cases: null or empty text has an empty set and links with nothing; texts under
 one shingle's width are one shingle; rows that share a doc_id are vertices of one
-document, so its component joins theirs; a null doc_id gets a null component and joins
-nothing; an empty table gives no rows; other columns are ignored or, in the stage,
-carried along.
+document, so its component joins theirs, and the stage keeps one of them; a null doc_id gets
+a null component, joins nothing and stays; an empty table gives no rows; other columns, of
+any name, are ignored or, in the stage, carried along.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import counts as C
@@ -142,7 +145,8 @@ def _block_sets(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sid, n, grp, tokens array<long>, items binary) of the sets that can have a partner."""
+    """(sid, n, grp, tokens array<long>, places array<int>, items binary) of the sets that can have a
+    partner: tokens are the prefix shingles that occur elsewhere, places where they stand in the prefix."""
     _, size = C.sizes(docs)
     n_blocks, n_buckets = max(1, -(-size // C.BLOCK_BYTES)), max(1, -(-size // (6 * C.BUCKET_ITEMS)))
     packed = _pack(docs, n_blocks, width)
@@ -166,39 +170,75 @@ def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
             order = np.lexsort((own, f))[: n[i] - _least(n[i], percent) + 1]
             head = own[order]
             grp = int(_sum(K.mix(head + _U(n[i])), np.array([0, len(head)]))[0])
-            rows.append((int(sid[i]), int(n[i]), grp, head[f[order] > 1].view(np.int64), own.tobytes()))
-        return pa.table({"sid": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "grp": pa.array([r[2] for r in rows], pa.int64()), "tokens": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "items": pa.array([r[4] for r in rows], pa.binary())})
+            spots = np.flatnonzero(f[order] > 1)
+            rows.append((int(sid[i]), int(n[i]), grp, head[spots].view(np.int64), spots.astype(np.int32), own.tobytes()))
+        return pa.table({"sid": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "grp": pa.array([r[2] for r in rows], pa.int64()), "tokens": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "places": pa.array([r[4] for r in rows], pa.list_(pa.int32())), "items": pa.array([r[5] for r in rows], pa.binary())})
 
-    rows = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(pick, "sid long, n long, grp long, tokens array<long>, items binary")
+    rows = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(pick, "sid long, n long, grp long, tokens array<long>, places array<int>, items binary")
     return cut(rows, "sets")
 
 
-def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class _Prefixes:
+    """Groups by prefix shingle, filled while groups are taken in order of size."""
+
+    def __init__(self, tokens: list[np.ndarray], places: list[np.ndarray], n: np.ndarray, percent: int):
+        self.bounds = np.append(0, np.cumsum([len(t) for t in tokens]))
+        self.token = np.unique(np.concatenate(tokens), return_inverse=True)[1] if self.bounds[-1] else np.empty(0, np.int64)
+        self.place, self.n, self.percent = places, n, percent
+        self.groups: list[list[int]] = [[] for _ in range(int(self.token.max()) + 1 if len(self.token) else 0)]
+        self.left: list[list[int]] = [[] for _ in self.groups]  # shingles of the group from that place on
+
+    def partners(self, g: int) -> np.ndarray:
+        """Groups taken before, in which a member may reach the percentage with one of ``g``; then takes ``g``."""
+        own = self.token[self.bounds[g] : self.bounds[g + 1]]
+        rest = self.n[g] - self.place[g]
+        near = [np.array(self.groups[t], dtype=np.int64) for t in own]
+        found = np.empty(0, np.int64)
+        if sum(map(len, near)):
+            other = np.concatenate(near)
+            most = np.minimum(np.concatenate([np.array(self.left[t], dtype=np.int64) for t in own]), np.repeat(rest, [len(x) for x in near]))
+            order = np.argsort(other, kind="stable")
+            other, most = other[order], most[order]
+            head = np.flatnonzero(np.append(True, other[1:] != other[:-1]))
+            # the first shared shingle leaves the most: what stands before it is not shared
+            other, most = other[head], np.maximum.reduceat(most, head)
+            size = self.n[other]
+            found = other[(size >= _least(self.n[g], self.percent)) & ((100 + self.percent) * most >= self.percent * (size + self.n[g]))]
+        for t, r in zip(own.tolist(), rest.tolist(), strict=True):
+            self.groups[t].append(g)
+            self.left[t].append(r)
+        return found
+
+
+def verify(sid: np.ndarray, n: np.ndarray, grp: np.ndarray, tokens: list[np.ndarray], places: list[np.ndarray], items: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all pairs that reach ``percent`` (a spanning forest); ``side`` tells
     two blocks apart of which only pairs across are asked for."""
-    order = np.argsort(n, kind="stable")
+    order = np.lexsort((sid, grp, n))
     bounds = np.append(0, np.cumsum([len(items[i]) for i in order]))
     _, flat = np.unique(np.concatenate([items[i] for i in order]), return_inverse=True)
-    tb = np.append(0, np.cumsum([len(tokens[i]) for i in order]))
-    tflat = np.unique(np.concatenate([tokens[i] for i in order]), return_inverse=True)[1] if tb[-1] else np.empty(0, np.int64)
-    post: list[list[int]] = [[] for _ in range(int(tflat.max()) + 1 if len(tflat) else 0)]
+    size, own_grp = n[order], grp[order]
+    first = np.flatnonzero(np.append(True, own_grp[1:] != own_grp[:-1]))
+    ends = np.append(first[1:], len(order))
+    joined = _Prefixes([tokens[order[i]] for i in first], [places[order[i]] for i in first], size[first], percent)
     flag = np.zeros(int(flat.max()) + 1 if len(flat) else 0, dtype=bool)
     comp = np.arange(len(order))
-    size = n[order]
     sides = side[order] if side is not None else None
     made_a, made_b = [], []
-    group: dict[int, list[int]] = {}
-    for x in range(len(order)):
-        own = tflat[tb[x] : tb[x + 1]]
-        near = np.unique(np.concatenate([np.array(post[t], dtype=np.int64) for t in own])) if len(own) else np.empty(0, np.int64)
-        if len(near):
-            ok = (size[near] >= _least(size[x], percent)) & (comp[near] != comp[x])
+    together: dict[int, list[int]] = {}
+    for g, (a, z) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+        near = joined.partners(g)
+        width = ends[near] - first[near]
+        members = np.repeat(first[near] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        for x in range(a, z):
+            near = np.concatenate([members, np.arange(a, x)])
+            ok = comp[near] != comp[x]
             near = near[ok if sides is None else ok & (sides[near] != sides[x])]
-        if len(near):
+            if not len(near):
+                continue
             mine = flat[bounds[x] : bounds[x + 1]]
             flag[mine] = True
-            for a in range(0, len(near), 2048):
-                c = near[a : a + 2048]
+            for i in range(0, len(near), 2048):
+                c = near[i : i + 2048]
                 c = c[comp[c] != comp[x]]
                 if not len(c):
                     continue
@@ -210,17 +250,18 @@ def verify(sid: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], items: list
                         made_a.append(x)
                         made_b.append(int(y))
                         u, v = comp[x], comp[y]
-                        small, big = (u, v) if len(group.get(u, (u,))) < len(group.get(v, (v,))) else (v, u)
-                        moved = group.pop(small, [small])
+                        small, big = (u, v) if len(together.get(u, (u,))) < len(together.get(v, (v,))) else (v, u)
+                        moved = together.pop(small, [small])
                         comp[moved] = big
-                        group.setdefault(big, [big]).extend(moved)
+                        together.setdefault(big, [big]).extend(moved)
             flag[mine] = False
-        for t in own:
-            post[t].append(x)
     ids = sid[order]
     return ids[np.array(made_a, dtype=np.int64)], ids[np.array(made_b, dtype=np.int64)]
 
 
+_SET = ("grp", "tokens", "places", "items")
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between sids, enough to connect every component."""
     groups = sets.select("grp", "n", "tokens").dropDuplicates(["grp"])
@@ -231,38 +272,38 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     tagged = sets.join(cluster.withColumnRenamed("node", "grp"), "grp", "left").withColumn("cluster", F.coalesce("label", "grp"))
     # only clusters of two sets or more have pairs
     total = tagged.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter("k > 1")
-    tagged = cut(tagged.join(total, "cluster").select("cluster", "sid", "n", "total", "tokens", "items"), "clusters")
+    tagged = cut(tagged.join(total, "cluster").select("cluster", "sid", "n", "total", *_SET), "clusters")
     items = tagged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
     shards = max(1, -(-items // TASK_ITEMS))
-    whole = tagged.filter(F.col("total") <= TASK_ITEMS).select(F.concat(F.lit("c"), F.pmod(F.xxhash64("cluster"), F.lit(shards))).alias("task"), F.lit(-1).alias("side"), "sid", "n", "tokens", "items")
+    whole = tagged.filter(F.col("total") <= TASK_ITEMS).select(F.concat(F.lit("c"), F.pmod(F.xxhash64("cluster"), F.lit(shards))).alias("task"), F.lit(-1).alias("side"), "sid", "n", *_SET)
     out = _verified(whole.unionByName(_blocks(tagged.filter(F.col("total") > TASK_ITEMS), percent)), percent)
     return cut(out, "links")
 
 
 def _blocks(large: DataFrame, percent: int) -> DataFrame:
-    """Rows of large clusters, once for each pair of blocks that they belong to."""
+    """Rows of large clusters, once for each pair of blocks that they belong to and share a prefix shingle in."""
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     rows = large.withColumn("band", band)
     parts = rows.groupBy("cluster", "band").agg(F.ceil(F.sum("n") * 2 / TASK_ITEMS).alias("m"))
-    near = parts.select("cluster", (F.col("band") + 1).alias("band"), F.col("m").alias("m_low"))
-    above = parts.select("cluster", (F.col("band") - 1).alias("band"), F.col("m").alias("m_high"))
-    plan = parts.join(near, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left")
-    rows = rows.join(plan, ["cluster", "band"]).withColumn("r", F.pmod(F.xxhash64("sid"), F.col("m")))
-    name = lambda lo, i, hi, j: F.concat_ws("/", F.lit("b"), F.col("cluster"), lo, i, hi, j)
-    upto = lambda m: F.when(F.coalesce(m, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), m.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    b, r = F.col("band"), F.col("r")
-    same = F.transform(upto(F.col("m")), lambda j: F.struct(name(b, F.least(r, j), b, F.greatest(r, j)).alias("task"), F.when(r == j, -1).otherwise((r > j).cast("int")).alias("side")))
-    down = F.transform(upto(F.col("m_low")), lambda j: F.struct(name(b - 1, j, b, r).alias("task"), F.lit(1).alias("side")))
-    up = F.transform(upto(F.col("m_high")), lambda j: F.struct(name(b, r, b + 1, j).alias("task"), F.lit(0).alias("side")))
-    return rows.select(F.inline(F.concat(same, down, up)), "sid", "n", "tokens", "items")
+    rows = cut(rows.join(parts, ["cluster", "band"]).withColumn("r", F.pmod(F.xxhash64("sid"), F.col("m"))), "blocks")
+    piece = ["cluster", "grp", "band", "r"]
+    spots = rows.select(*piece, F.explode("tokens").alias("token")).distinct()
+    there = spots.select("cluster", "token", F.col("band").alias("band2"), F.col("r").alias("r2")).distinct()
+    met = spots.join(there, ["cluster", "token"]).filter(F.abs(F.col("band") - F.col("band2")) <= 1).select(*piece, "band2", "r2").distinct()
+    own, other = F.struct("band", "r"), F.struct(F.col("band2").alias("band"), F.col("r2").alias("r"))
+    name = lambda x: F.concat_ws(":", x["band"], x["r"])
+    task = F.concat_ws("/", F.lit("b"), "cluster", name(F.least(own, other)), name(F.greatest(own, other)))
+    side = F.when(own == other, -1).otherwise((own > other).cast("int"))
+    return rows.join(met.select(*piece, task.alias("task"), side.alias("side")), piece).select("task", "side", "sid", "n", *_SET)
 
 
 def _verified(rows: DataFrame, percent: int) -> DataFrame:
     def run(key, t):
         side = t.column("side").to_numpy()
         tokens = [np.array(x, dtype=np.int64) for x in t.column("tokens").to_pylist()]
+        places = [np.array(x, dtype=np.int64) for x in t.column("places").to_pylist()]
         items = [np.frombuffer(x, _U) for x in t.column("items").to_pylist()]
-        a, b = verify(t.column("sid").to_numpy(), t.column("n").to_numpy(), tokens, items, None if (side < 0).all() else side, percent)
+        a, b = verify(*[t.column(c).to_numpy() for c in ("sid", "n", "grp")], tokens, places, items, None if (side < 0).all() else side, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
@@ -291,9 +332,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id."""
-    gone = components(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each component the document with the smallest doc_id, once."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = components(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti")
+    many = docs.groupBy(F.col("doc_id").alias("many")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and many is not null").select("many")
+    if not many.isEmpty():
+        one = left.join(many, F.col("row.doc_id") == F.col("many"), "left_semi")
+        order = Window.partitionBy("row.doc_id").orderBy("row.text", F.to_json("row"))
+        one = one.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row")
+        left = left.join(many, F.col("row.doc_id") == F.col("many"), "left_anti").unionByName(one)
+    return left.select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -176,7 +176,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     schema = "b int, c2 long, ch long, c1 long, times long"
     stats = blocks(docs.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD), n_blocks)
-    held = cut(stats.groupBy("block").cogroup(told.filter((F.col("cls") == HELD) & (F.col("block") >= 0)).drop("cls").groupBy("block")).applyInArrow(held_rows, schema), "held")
+    tuples = stats.groupBy("block").cogroup(told.filter((F.col("cls") == HELD) & (F.col("block") >= 0)).drop("cls").groupBy("block")).applyInArrow(held_rows, schema)
+    # distinct in each block so far; the rounds below read each tuple once
+    held = cut(tuples.groupBy("b", "c2", "ch", "c1").agg(F.sum("times").alias("times")), "held")
     n, n_rest, v, v_rest = told.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(4)]).first()
     a = np.array(fit_weights(held, n_rest, v_rest))
 
