@@ -379,6 +379,32 @@ def test_op9_counts_equal_a_new_encoding(docs, rows, odd, empty, spark):
     assert edit_counts.recount(docs, df.limit(0)).filter("n_before <> n_after").count() == 0
 
 
+def test_op9_kept_trees_serve_edit_after_edit(docs, rows, odd, spark, monkeypatch):
+    """Trees from one round are those of the next; with them only the edited parts are encoded."""
+    lib, r = library(), random.Random(14)
+    long = " ".join(str(r.random()) for _ in range(60_000))
+    data = [(i, t) for i, t in ((x[0], x[1] or "") for x in rows)] + [(5000, long)]
+    now = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    kept = edit_counts.trees(now)
+    for n in range(3):
+        ids = [d for d, _ in data]
+        edits = spark.createDataFrame([(d, r.randint(0, 150), r.choice([0, 3, 40]), r.choice([" new", "x", "", "'s\n"])) for d in ids for _ in range(3)] + [(5000, 700_000, 5, "!")], "doc_id long, start long, length long, insert string")
+        out = edit_counts.recount(now, edits, kept, texts=True).persist()
+        got = {x.doc_id: x for x in out.collect()}
+        fresh = {x.doc_id: x for x in edit_counts.recount(now, edits, texts=True).collect()}
+        for d in ids:
+            assert got[d].n_after == len(lib.encode_ordinary(got[d].text)), (n, d)
+            assert (got[d].n_before, got[d].text, got[d].n_pretokens) == (fresh[d].n_before, fresh[d].text, fresh[d].n_pretokens)
+        assert got[5000].n_pretokens > 50_000 and got[5000].n_reencoded < 1000
+        now, kept = out.select("doc_id", "text"), out.select("doc_id", "text_key", "leaves")
+    # none is encoded anew: a kept tree that is wrong on purpose shows
+    wrong = kept.withColumn("leaves", F.lit(edit_counts.Tree([10**6], [7], [3]).pack()))
+    assert {x.n_before for x in edit_counts.recount(now, edits.limit(0), wrong).collect()} == {7}
+    other = kept.withColumn("text_key", F.lit(b"other"))
+    assert {x.doc_id: x.n_before for x in edit_counts.recount(now, edits.limit(0), other).collect()} == {d: x.n_after for d, x in got.items()}
+    assert edit_counts.recount(odd, edits, edit_counts.trees(odd)).count() == odd.count()
+
+
 def brute_components(data):
     sets = {}
     for d, t in data:
