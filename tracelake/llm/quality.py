@@ -49,6 +49,8 @@ MIN_GROUP = 200
 CONFIDENCE = 0.9999
 #: Added to each variance; those of real texts are 1e-3 and more.
 RIDGE = 1e-6
+#: Groups up to which estimates are broadcast (some hundred bytes each); beyond, Spark splits the joins of large groups.
+MAX_GROUPS = 20_000
 #: Pseudo-counts of the features: words, and what a word is taken to have of each.
 PRIOR = 100
 FEATURES = ("f_len", "f_mark", "f_near")
@@ -189,27 +191,31 @@ def _moments() -> list[Column]:
     return [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in _PAIRS]]
 
 
-def _bins(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _few(df: DataFrame, groups: int) -> DataFrame:
+    """``df``, which has some rows for each group, to be joined without moving the rows of a large group into one task."""
+    return F.broadcast(df) if groups <= MAX_GROUPS else df
+
+
+def _bins(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """Moments by group, start and bin of distance, with the rows before each bin and in all."""
-    bins = rows.join(params, "group_key").withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE)).groupBy("group_key", "start", "bin").agg(*_moments())
+    bins = rows.join(_few(params, groups), "group_key").withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE)).groupBy("group_key", "start", "bin").agg(*_moments())
     run = Window.partitionBy("group_key", "start").orderBy("bin")
     before = F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return bins.withColumn("before", before).withColumn("total", F.sum("n").over(Window.partitionBy("group_key", "start")))
 
 
-def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
+def concentrate(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """One concentration step of every group and start."""
     take = F.least(F.lit(1.0), (SHARE * F.col("total") - F.col("before")) / F.col("n"))
-    closest = _bins(rows, params).withColumn("take", take).filter("take > 0")
+    closest = _bins(rows, params, groups).withColumn("take", take).filter("take > 0")
     return cut(closest.groupBy("group_key", "start").agg(*[F.sum(F.col(c) * F.col("take")).alias(c) for c in ("n", *_SUMS)]).mapInArrow(_estimates, _PARAM), "mcd")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
     """Estimates of the starting subsets (0 .. STARTS - 1) and of all rows (STARTS)."""
-    sizes = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("rows"))
     every = F.greatest(F.floor(F.col("rows") / START_ROWS), F.lit(1))
     drawn = F.filter(F.sequence(F.lit(0), F.lit(STARTS)), lambda s: (s == STARTS) | (F.pmod(F.xxhash64(s, *FEATURES), every) == 0))
-    return cut(rows.join(sizes, "group_key").select("group_key", *FEATURES, F.explode(drawn).alias("start")).groupBy("group_key", "start").agg(*_moments()).mapInArrow(_estimates, _PARAM), "mcd")
+    return cut(rows.join(_few(sizes, groups), "group_key").select("group_key", *FEATURES, F.explode(drawn).alias("start")).groupBy("group_key", "start").agg(*_moments()).mapInArrow(_estimates, _PARAM), "mcd")
 
 
 def _least(params: DataFrame, k: int) -> DataFrame:
@@ -219,13 +225,15 @@ def _least(params: DataFrame, k: int) -> DataFrame:
 
 def fit(rows: DataFrame) -> DataFrame:
     """(group_key, centre, inverse, scale): the estimates of all groups. ``rows`` has group_key and the
-    features, each vector once, and should be a cut table."""
-    params = _starts(rows)
+    features, each vector once, and should be a cut table. Groups under MIN_GROUP rows have none."""
+    sizes = cut(rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= MIN_GROUP), "mcd_sizes")
+    groups = sizes.count()
+    params = _starts(rows, sizes, groups)
     for _ in range(FIRST_STEPS):
-        params = concentrate(rows, params)
+        params = concentrate(rows, params, groups)
     params = _least(params, BEST)
     for _ in range(MAX_STEPS):
-        new = concentrate(rows, params)
+        new = concentrate(rows, params, groups)
         old = params.select("group_key", "start", F.col("log_det").alias("was"))
         moved = new.join(old, ["group_key", "start"]).filter(F.abs(F.col("log_det") - F.col("was")) > SETTLED)
         params = new
@@ -233,7 +241,7 @@ def fit(rows: DataFrame) -> DataFrame:
             break
     best = _least(params, 1)
     half = F.col("total") / 2
-    middle = _bins(rows, best).filter((F.col("before") <= half) & (F.col("before") + F.col("n") > half))
+    middle = _bins(rows, best, groups).filter((F.col("before") <= half) & (F.col("before") + F.col("n") > half))
     # the median inside its bin, by the share of the bin's rows that lie below it
     median = F.pow(F.lit(2.0), (F.col("bin") + (half - F.col("before")) / F.col("n")) / BINS_PER_OCTAVE)
     scale = middle.select("group_key", (F.lit(chi_square_quantile(0.5, _P)) / median).alias("scale"))
@@ -260,15 +268,15 @@ def estimates(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = sizes.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang_key")))
     level = F.when(F.col("n") >= MIN_GROUP, F.lit("own")).when(F.col("n_lang") >= MIN_GROUP, F.lit("lang")).otherwise(F.lit("all"))
     sizes = cut(sizes.select("own_key", "lang_key", level.alias("level")), "groups")
+    groups = sizes.count()
     # copies across the groups that are pooled count once as well
-    lang = vectors.join(sizes.filter("level = 'lang'").select("lang_key").distinct(), "lang_key", "left_semi").select(F.col("lang_key").alias("group_key"), *FEATURES).distinct()
+    lang = vectors.join(_few(sizes.filter("level = 'lang'").select("lang_key").distinct(), groups), "lang_key", "left_semi").select(F.col("lang_key").alias("group_key"), *FEATURES).distinct()
     every = vectors.select(F.lit("*").alias("group_key"), *FEATURES).distinct()
     if sizes.filter("level = 'all'").isEmpty():
         every = every.limit(0)
-    own = vectors.join(sizes.filter("level = 'own'").select("own_key"), "own_key", "left_semi").select(F.col("own_key").alias("group_key"), *FEATURES)
+    own = vectors.join(_few(sizes.filter("level = 'own'").select("own_key"), groups), "own_key", "left_semi").select(F.col("own_key").alias("group_key"), *FEATURES)
     rows = cut(own.unionByName(lang).unionByName(every), "mcd_rows")
-    enough = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_GROUP).select("group_key")
-    return sizes, fit(rows.join(enough, "group_key", "left_semi"))
+    return sizes, fit(rows)
 
 
 def judge(docs: DataFrame, keep: dict[str, Column], *, heavy: bool = False) -> DataFrame:
@@ -276,10 +284,11 @@ def judge(docs: DataFrame, keep: dict[str, Column], *, heavy: bool = False) -> D
     statistics are computed again for the verdict, so that no table with them is written."""
     base = cut(_judgeable(docs, {} if heavy else keep), "stats")
     sizes, params = estimates(base)
+    groups = sizes.count()
     rows = _judgeable(docs, keep) if heavy else base
     keys = _keys()
-    tagged = rows.withColumn("own_key", keys["own"]).join(sizes.select("own_key", "level"), "own_key", "left").withColumn("group_key", F.when(F.col("level") == "own", keys["own"]).when(F.col("level") == "lang", keys["lang"]).otherwise(keys["all"]))
-    out = tagged.join(params, "group_key", "left").withColumn("distance", _distance() * F.col("scale"))
+    tagged = rows.withColumn("own_key", keys["own"]).join(_few(sizes.select("own_key", "level"), groups), "own_key", "left").withColumn("group_key", F.when(F.col("level") == "own", keys["own"]).when(F.col("level") == "lang", keys["lang"]).otherwise(keys["all"]))
+    out = tagged.join(_few(params, groups), "group_key", "left").withColumn("distance", _distance() * F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return out.select(*[F.col(f"`k_{n}`").alias(n) for n in keep], *[F.col(c).alias(f"q_{c}") for c in _STATS], F.col("base_failed").alias("q_base_failed"), F.col("distance").alias("q_distance"), kept.alias("q_kept"))
 
