@@ -1,7 +1,7 @@
 """Array kernels over batches of texts, used inside Arrow tasks.
 
 A batch of texts is one byte buffer and an offset array. All kernels work on
-chunks of about a megabyte (a longer text is a chunk of its own), so their memory
+chunks of a quarter of a megabyte (a longer text is a chunk of its own), so their memory
 is bounded by the longest text, and cost a fixed number of passes over the bytes.
 Hashes are 64-bit polynomial prefix sums over random byte codes with a final mix;
 two different strings agree with a chance of about 2**-60.
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15

@@ -43,6 +43,9 @@ SHARD_BYTES = 4 << 20
 END = 0xFF
 _NO_ID = -(1 << 63)
 _U = np.uint64
+_BOTH = _U(0x9FB21C651E98DF25)
+#: Bytes of texts whose anchors are found at a time: its arrays stay in a core's cache.
+CHUNK = 1 << 17
 
 
 def _packed(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -109,11 +112,12 @@ def anchors(b: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM
 def _segments(buf: np.ndarray, off: np.ndarray):
     """Segments of a whole block, found chunk by chunk: (start, starts, gram hash, content hash)."""
     out = [[], [], [], []]
-    for i, _, b, o in K.chunks(buf, off):
+    for i, _, b, o in K.chunks(buf, off, CHUNK):
         s, n, h = anchors(b, o)
         for x, y in zip(out, (s + off[i], n, h, K.slice_hash(K.prefix(b, K.RAW_CODES), s, s + n + LENGTH - 1)), strict=True):
             x.append(y)
-    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+    kinds = (np.int64, np.int64, _U, _U)
+    return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
 def _distinct(rows: pa.Table, got: pa.Table):
@@ -124,7 +128,7 @@ def _distinct(rows: pa.Table, got: pa.Table):
     told = C.ordered(got)
     hot = (told[0] > 1)[back] if len(u) else np.zeros(0, bool)
     s, n, h, key = s[hot], n[hot], h[hot], key[hot]
-    _, first, back, times = np.unique(np.stack([h, key]) if len(h) else np.empty((2, 0), _U), axis=1, return_index=True, return_inverse=True, return_counts=True)
+    _, first, back, times = np.unique(K.mix(h + key * _BOTH), return_index=True, return_inverse=True, return_counts=True)
     return buf, off, ids, s, n, h, key, first, back.ravel(), times
 
 
