@@ -172,7 +172,7 @@ def test_live_state_resumes_and_equals_the_batch(spark, tmp_path):
 
     def drain():
         rows = spark.readStream.format("transcript_tail").option("pattern", f"{src}/*.txt").load()
-        rows = rows.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("session_id"), F.lpad(F.col("byte").cast("string"), 20, "0").alias("at"), "line")
+        rows = rows.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("session_id"), "generation", F.lpad(F.col("byte").cast("string"), 20, "0").alias("at"), "line")
         live.run(live.reduce(rows), out)
         return live.latest(spark, out).first()
 
@@ -189,6 +189,24 @@ def test_live_state_resumes_and_equals_the_batch(spark, tmp_path):
     assert [x.event for x in live.events_feed(m, "path").orderBy("idx").collect()] == ["prompt", "write", "compact"]
 
 
+def test_live_state_starts_again_when_the_file_is_replaced(spark, tmp_path):
+    spark.dataSource.register(TailSource)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    use = lambda i: [{"type": "tool_use", "id": i, "name": "Read", "input": {"file_path": "a"}}]
+    jsonl(f"{src}/7.txt", [assistant("2026-01-01T00:00:01Z", "m1", 10, use("t1")), "{broken", assistant("2026-01-01T00:00:02Z", "m2", 20, use("t1")), assistant("2026-01-01T00:00:03Z", "m3", 10, use("t2"))])
+
+    def drain():
+        rows = spark.readStream.format("transcript_tail").option("pattern", f"{src}/*.txt").load()
+        rows = rows.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("session_id"), "generation", F.lpad(F.col("byte").cast("string"), 20, "0").alias("at"), "line")
+        live.run(live.reduce(rows), out)
+        x = live.latest(spark, out).first()
+        return x.records, x.output_tokens, x.tool_calls, x.open_tools, x.bad_lines, x.generation
+
+    assert drain() == (3, 40, 2, 2, 1, 0)  # the second use of an id is ignored
+    jsonl(f"{src}/7.txt", [assistant("2026-01-01T00:00:09Z", "m1", 10, [{"type": "text", "text": "new"}])])
+    assert drain() == (1, 10, 0, 0, 0, 1)
+
+
 def test_agents_link_by_workflow_call_and_time(spark):
     from tracelake.operators import agents
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,21 @@ def link(agents: DataFrame, calls: DataFrame, segs: DataFrame, workflow: DataFra
     return out.select(key, "agent_id", F.coalesce(F.nullif(label, F.lit("")), F.col("label")).alias("label"), F.coalesce(wf_seg, F.col("c.seg_no"), F.col("t.seg_no")).alias("seg_no"), F.coalesce(wf_stage, F.col("c.stage"), F.col("t.stage")).alias("stage"), status.alias("status"))
 
 
+def launches(calls: DataFrame, runs: DataFrame, *, key: str = "session_id") -> DataFrame:
+    """(key, idx, run_id, name) of workflow calls (key, idx, result): the run (key, run_id, task_id, name) whose task id the
+    result tells; calls without one get the runs that are left, both in order. Calls without a run are left out."""
+    task = F.nullif(F.regexp_extract("result", r"Task ID:\s*(\S+)", 1), F.lit(""))
+    asked = calls.select(key, "idx", task.alias("task_id"))
+    one = runs.filter("task_id is not null").groupBy(key, "task_id").agg(F.max("run_id").alias("run_id"))
+    told = asked.join(one, [key, "task_id"], "left")
+    known = told.filter("run_id is not null").select(key, "idx", "run_id")
+    nth = lambda by: F.row_number().over(Window.partitionBy(key).orderBy(by))
+    open_ = told.filter("run_id is null").select(key, "idx", nth("idx").alias("_n"))
+    spare = runs.select(key, "run_id").join(known.select(key, "run_id").distinct(), [key, "run_id"], "left_anti").withColumn("_n", nth("run_id"))
+    out = known.unionByName(open_.join(spare, [key, "_n"]).select(key, "idx", "run_id"))
+    return out.join(runs.select(key, "run_id", "name"), [key, "run_id"]).select(key, "idx", "run_id", "name")
+
+
 def spawned(children: DataFrame, calls: DataFrame, *, key: str = "parent") -> DataFrame:
     """Children (key, id, agent_path) with the parent's first agent call (key, idx, brief) whose brief holds
     the child's leaf name."""

@@ -28,7 +28,10 @@ def assign(records: DataFrame, *, key: str = "session_id", skill: str = "skill")
 def segments(records: DataFrame, *, key: str = "session_id", skill: str = "skill") -> DataFrame:
     """(key, seg_no, stage, label, start_idx, end_idx, start_ms, end_ms): times are the least and the
     greatest inside. A session of one stage is called ``session``; a stage's later runs are numbered."""
-    rows = assign(records, key=key, skill=skill)
+    return _labelled(assign(records, key=key, skill=skill), key)
+
+
+def _labelled(rows: DataFrame, key: str) -> DataFrame:
     segs = rows.groupBy(key, "seg_no").agg(F.first("stage").alias("stage"), F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"))
     alone = F.count(F.lit(1)).over(Window.partitionBy(key)) == 1
     segs = segs.withColumn("stage", F.when(alone, F.lit("session")).otherwise(F.col("stage")))
@@ -37,6 +40,50 @@ def segments(records: DataFrame, *, key: str = "session_id", skill: str = "skill
     return segs.select(key, "seg_no", "stage", label.alias("label"), "start_idx", "end_idx", "start_ms", "end_ms")
 
 
+def boundaries(marks: DataFrame, skill_calls: DataFrame | None = None, launches: DataFrame | None = None, *, key: str = "session_id", skill: str = "skill") -> DataFrame:
+    """(key, idx, stage), one for each place: where the attribution ``skill`` of the records ``marks`` changes; the first
+    call (key, idx, skill) of each skill that a session never attributes a record to; and each launch (key, idx,
+    name) of a workflow, as ``wf:name``. Of several at one place the least name counts."""
+    w = Window.partitionBy(key).orderBy("idx")
+    named = marks.filter(F.col(skill).isNotNull())
+    out = named.withColumn("_p", F.lag(skill).over(w)).filter(~F.col(skill).eqNullSafe(F.col("_p"))).select(key, "idx", F.col(skill).alias("stage"))
+    if skill_calls is not None:
+        never = skill_calls.select(key, "idx", F.col(skill).alias("stage")).join(out.select(key, "stage").distinct(), [key, "stage"], "left_anti")
+        out = out.unionByName(never.groupBy(key, "stage").agg(F.min("idx").alias("idx")))
+    if launches is not None:
+        out = out.unionByName(launches.select(key, "idx", F.concat(F.lit("wf:"), "name").alias("stage")))
+    return out.groupBy(key, "idx").agg(F.min("stage").alias("stage"))
+
+
+def segments_at(records: DataFrame, bounds: DataFrame, *, key: str = "session_id") -> DataFrame:
+    """As ``segments``, with a stage for each of ``bounds`` (key, idx, stage), also if it has the name of the one before;
+    records before the first are ``setup``."""
+    w = Window.partitionBy(key).orderBy("idx")
+    rows = records.select(key, "idx", "t_ms").join(bounds.select(key, "idx", F.col("stage").alias("_stage")), [key, "idx"], "left")
+    rows = rows.withColumn("_first", F.row_number().over(w) == 1)
+    rows = _numbered(rows, F.col("_stage").isNotNull() | F.col("_first"), key)
+    stage = F.coalesce(F.last("_stage", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("setup"))
+    return _labelled(rows.withColumn("stage", stage), key)
+
+
+#: The tool with which a session stops to ask its user (fixed value).
+QUESTION = "AskUserQuestion"
+
+
+def question_stalls(tools: DataFrame, *, key: str = "session_id", question: str = QUESTION) -> DataFrame:
+    """(key, a_ms, b_ms, kind, idx) as of ``stalls``: the time that a question waits for its user. No record resumes it."""
+    asked = tools.filter((F.col("name") == question) & (F.col("dur_ms") > 0))
+    return asked.select(key, F.col("t_ms").alias("a_ms"), (F.col("t_ms") + F.col("dur_ms")).alias("b_ms"), F.lit("user").alias("kind"), F.lit(None).cast("long").alias("idx"))
+
+
+def busy(tools: DataFrame, agents: DataFrame | None = None, *, key: str = "session_id", question: str = QUESTION) -> DataFrame:
+    """(key, a_ms, b_ms): tools at work, but for questions, and the lives (key, start_ms, end_ms) of agents."""
+    out = tools.filter((F.col("name") != question) & (F.col("dur_ms") > 0)).select(key, F.col("t_ms").alias("a_ms"), (F.col("t_ms") + F.col("dur_ms")).alias("b_ms"))
+    if agents is None:
+        return out
+    return out.unionByName(agents.filter("end_ms > start_ms").select(key, F.col("start_ms").alias("a_ms"), F.col("end_ms").alias("b_ms")))
+
+
 def asof(rows: DataFrame, segs: DataFrame, *, key: str = "session_id", at: str = "idx", start: str = "start_idx") -> DataFrame:
     """Rows with the last segment that starts at or before them (below the first: the first), by one
     union and window instead of a range join."""

@@ -62,20 +62,22 @@ def record_index(spark, d):
     return frame(spark, d, "v_rec").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx"), F.count_distinct("idx").alias("n_idx"))
 
 
-@query("fork_trim", "SELECT r.session_id, r.idx FROM v_rec r JOIN (SELECT session_id, max(idx) AS f FROM v_rec WHERE event_type = 'signup' GROUP BY session_id) m ON m.session_id = r.session_id AND r.idx >= m.f")
+@query("fork_trim", "SELECT r.session_id, r.idx FROM v_rec r LEFT JOIN (SELECT session_id, max(idx) AS f FROM v_rec WHERE event_type = 'signup' GROUP BY session_id) m ON m.session_id = r.session_id WHERE r.idx >= coalesce(m.f, 0)")
 def fork_trim(spark, d):
     from tracelake.sources.transcripts import trim_to_fork
 
     return trim_to_fork(frame(spark, d, "v_rec"), F.col("event_type") == "signup", "session_id").select("session_id", "idx")
 
 
-@query("session_lookup", """WITH s AS (SELECT DISTINCT CAST(session_id AS VARCHAR) AS id FROM v_rec), p AS (SELECT unnest(['1', '14', '149']) AS prefix)
-    SELECT prefix, count(id) AS matches, count(id) = 1 AS is_unique, CASE WHEN count(id) = 1 THEN min(id) END AS chosen FROM p LEFT JOIN s ON starts_with(id, prefix) GROUP BY prefix""")
+@query("session_lookup", """WITH s AS (SELECT CAST(session_id AS VARCHAR) AS id, 'Proj-' || (session_id % 7) AS project, max(t_ms) AS mtime FROM v_rec GROUP BY session_id), p AS (SELECT unnest(['1', '14', '149', 'PROJ-3', 'oj-', 'none']) AS target),
+    h AS (SELECT target, id, project, mtime, starts_with(id, target) AS own, contains(lower(project), lower(target)) AS low FROM p, s)
+    SELECT target, count_if(own) AS matches, count_if(own) = 1 AS is_unique, count(DISTINCT CASE WHEN low THEN project END) AS projects, CASE WHEN count_if(own) = 1 THEN max(CASE WHEN own THEN id END) WHEN count_if(own) = 0 THEN arg_max(id, (mtime, id)) FILTER (WHERE low) END AS chosen FROM h GROUP BY target""")
 def session_lookup(spark, d):
     from tracelake.sources.transcripts import lookup
 
-    ids = frame(spark, d, "v_rec").select(F.col("session_id").cast("string").alias("id")).distinct()
-    return lookup(ids, ["1", "14", "149"])
+    sid = F.col("session_id")
+    sessions = frame(spark, d, "v_rec").groupBy(sid).agg(F.max("t_ms").alias("mtime")).select(sid.cast("string").alias("id"), F.concat(F.lit("Proj-"), (sid % 7).cast("string")).alias("project"), "mtime")
+    return lookup(sessions, ["1", "14", "149", "PROJ-3", "oj-", "none"])
 
 
 @query("recent_sessions", "SELECT session_id, max(t_ms) AS last_ms FROM v_rec GROUP BY session_id ORDER BY last_ms DESC, session_id LIMIT 20")
@@ -99,10 +101,44 @@ def stage_segments(spark, d):
     b AS (SELECT session_id, idx, name AS stage, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS seg_no FROM c WHERE p IS NULL OR p <> name)
     SELECT session_id, seg_no, stage, idx AS start_idx, lead(idx) OVER (PARTITION BY session_id ORDER BY idx) - 1 AS end_idx FROM b""")
 def stage_segments_calls(spark, d):
-    calls = frame(spark, d, "v_call")
-    w = Window.partitionBy("session_id").orderBy("idx")
-    opens = calls.withColumn("_p", F.lag("name").over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col("name")))
-    return opens.select("session_id", (F.row_number().over(w).cast("long") - 1).alias("seg_no"), F.col("name").alias("stage"), F.col("idx").alias("start_idx"), (F.lead("idx").over(w) - 1).alias("end_idx"))
+    runs = segments.assign(frame(spark, d, "v_call"), skill="name").groupBy("session_id", "seg_no").agg(F.first("stage").alias("stage"), F.min("idx").alias("start_idx"))
+    w = Window.partitionBy("session_id").orderBy("seg_no")
+    return runs.withColumn("end_idx", F.lead("start_idx").over(w) - 1)
+
+
+DERIVED["d_bounds_all"] = """SELECT session_id, idx, min(stage) AS stage FROM (SELECT session_id, idx, stage FROM d_bound
+    UNION ALL SELECT session_id, min(idx), name FROM v_call WHERE name IN ('tool1', 'tool2') GROUP BY session_id, name
+    UNION ALL SELECT session_id, idx, 'wf:w' || (k % 3) FROM v_rec WHERE event_type IN ('purchase', 'view') AND k % 20 = 0) GROUP BY session_id, idx"""
+
+
+@query("stage_boundaries", "SELECT session_id, idx, stage FROM d_bounds_all")
+def stage_boundaries(spark, d):
+    calls = frame(spark, d, "v_call").filter("name in ('tool1', 'tool2')").withColumnRenamed("name", "skill")
+    runs = frame(spark, d, "v_rec").filter("event_type in ('purchase', 'view') and k % 20 = 0").select("session_id", "idx", F.concat(F.lit("w"), (F.col("k") % 3).cast("string")).alias("name"))
+    return segments.boundaries(frame(spark, d, "v_stage_mark"), calls, runs)
+
+
+@query("stage_assembly", """WITH b AS (SELECT * FROM d_bounds_all UNION ALL SELECT session_id, 0, 'setup' FROM v_rec WHERE idx = 0 AND session_id NOT IN (SELECT session_id FROM d_bounds_all WHERE idx = 0)),
+    s AS (SELECT session_id, row_number() OVER w - 1 AS seg_no, stage, idx AS a, coalesce(lead(idx) OVER w, 1000000000) AS z, count(*) OVER (PARTITION BY session_id) AS k FROM b WINDOW w AS (PARTITION BY session_id ORDER BY idx)),
+    t AS (SELECT s.session_id, seg_no, CASE WHEN s.k = 1 THEN 'session' ELSE stage END AS stage, min(r.idx) AS start_idx, max(r.idx) AS end_idx, min(t_ms) AS start_ms, max(t_ms) AS end_ms FROM s JOIN v_rec r ON r.session_id = s.session_id AND r.idx >= a AND r.idx < z GROUP BY ALL)
+    SELECT session_id, seg_no, stage, CASE WHEN n > 1 THEN stage || ' ·' || n ELSE stage END AS label, start_idx, end_idx, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY session_id, stage ORDER BY seg_no) AS n FROM t)""")
+def stage_assembly(spark, d):
+    """Stages opened by attribution, by calls of skills that are never attributed, and by workflows."""
+    return segments.segments_at(frame(spark, d, "v_rec"), stage_boundaries(spark, d))
+
+
+@query("workflow_launches", """WITH c AS (SELECT session_id, idx, CASE WHEN k % 3 = 0 THEN 'T' || (k % 4) END AS task FROM v_rec WHERE event_type = 'purchase'), r AS (SELECT DISTINCT session_id, k % 4 AS t FROM v_rec WHERE event_type = 'signup'),
+    n AS (SELECT c.session_id, c.idx, 'run' || r.t AS run_id FROM c JOIN r ON r.session_id = c.session_id AND c.task = 'T' || r.t), o AS (SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.session_id = c.session_id AND n.idx = c.idx)),
+    s AS (SELECT session_id, 'run' || t AS run_id, row_number() OVER (PARTITION BY session_id ORDER BY t) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.session_id = r.session_id AND n.run_id = 'run' || r.t))
+    SELECT session_id, idx, run_id, 'w' || substr(run_id, 4) AS name FROM (SELECT * FROM n UNION ALL SELECT o.session_id, o.idx, s.run_id FROM o JOIN s ON s.session_id = o.session_id AND s.n = o.n)""")
+def workflow_launches(spark, d):
+    from tracelake.operators import agents
+
+    r = frame(spark, d, "v_rec")
+    calls = r.filter("event_type = 'purchase'").select("session_id", "idx", F.when(F.col("k") % 3 == 0, F.concat(F.lit("started. Task ID: T"), (F.col("k") % 4).cast("string"), F.lit(" now"))).otherwise("started").alias("result"))
+    n = (F.col("k") % 4).cast("string")
+    runs = r.filter("event_type = 'signup'").select("session_id", F.concat(F.lit("run"), n).alias("run_id"), F.concat(F.lit("T"), n).alias("task_id"), F.concat(F.lit("w"), n).alias("name")).distinct()
+    return agents.launches(calls, runs)
 
 
 @query("asof_stage", "SELECT r.session_id, r.idx, s.seg_no, s.stage FROM v_rec r JOIN d_seg s ON s.session_id = r.session_id AND r.idx BETWEEN s.start_idx AND s.end_idx")
@@ -168,6 +204,22 @@ def stalls(spark, d):
     return segments.stalls(frame(spark, d, "v_turn"))
 
 
+@query("question_windows", "SELECT session_id, a_ms, b_ms, kind, idx FROM d_stalls UNION ALL SELECT session_id, t_ms, t_ms + dur_ms, 'user', NULL FROM d_pair WHERE name = 'tool4' AND dur_ms > 0")
+def question_windows(spark, d):
+    """Closed turns, and the questions (here tool4) that wait for the user."""
+    tools = pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result"))
+    return segments.stalls(frame(spark, d, "v_turn")).unionByName(segments.question_stalls(tools, question="tool4"))
+
+
+@query("busy_windows", """WITH b AS (SELECT session_id, t_ms AS a_ms, t_ms + dur_ms AS b_ms FROM d_pair WHERE name <> 'tool4' AND dur_ms > 0 UNION ALL SELECT session_id, a_ms, b_ms FROM v_busy WHERE b_ms > a_ms),
+    r AS (SELECT session_id, a_ms, b_ms, sum(n) OVER (PARTITION BY session_id ORDER BY a_ms, b_ms ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN a_ms <= max(b_ms) OVER (PARTITION BY session_id ORDER BY a_ms, b_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM b))
+    SELECT session_id, min(a_ms) AS a_ms, max(b_ms) AS b_ms FROM r GROUP BY session_id, run""")
+def busy_windows(spark, d):
+    """Merged time of tools but for questions, and of agents."""
+    lives = frame(spark, d, "v_busy").select("session_id", F.col("a_ms").alias("start_ms"), F.col("b_ms").alias("end_ms"))
+    return intervals.union(segments.busy(pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result")), lives, question="tool4"), ["session_id"], "a_ms", "b_ms")
+
+
 @query("busy_union", "SELECT session_id, a_ms, b_ms FROM d_busy")
 def busy_union(spark, d):
     return intervals.union(frame(spark, d, "v_busy"), ["session_id"], "a_ms", "b_ms")
@@ -213,9 +265,9 @@ def cost(spark, d):
     return rows.select("session_id", "model", F.round(F.col("usd_in") + F.col("usd_read") + F.col("usd_write") + F.col("usd_out"), 9).alias("usd"))
 
 
-@query("cost_buckets", "SELECT session_id, round(sum(usd_read), 9) AS cread, round(sum(usd_write), 9) AS cw, round(sum(usd_in), 9) AS inp, round(sum(usd_out), 9) AS out FROM d_cost WHERE session_id < 10 GROUP BY session_id")
+@query("cost_buckets", "SELECT session_id, round(sum(usd_read), 9) AS cread, round(sum(usd_write), 9) AS cw, round(sum(usd_in), 9) AS inp, round(sum(usd_out), 9) AS out FROM d_cost GROUP BY session_id")
 def cost_buckets(spark, d):
-    rows = usage.priced(usage.billing(usage.settle(frame(spark, d, "v_usage")))).filter("session_id < 10")
+    rows = usage.priced(usage.billing(usage.settle(frame(spark, d, "v_usage"))))
     return rows.groupBy("session_id").agg(*[F.round(F.sum(c), 9).alias(n) for n, c in (("cread", "usd_read"), ("cw", "usd_write"), ("inp", "usd_in"), ("out", "usd_out"))])
 
 

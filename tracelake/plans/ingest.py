@@ -33,12 +33,13 @@ def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     stamp = F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     n = lambda c: F.col(c).cast("string")
     use = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.floor(F.col("idx") / 4).cast("string")).alias("id"), F.concat(F.lit("tool"), n("k")).alias("name"), F.struct(F.concat(F.lit("f"), n("k")).alias("path")).alias("input"))
-    got = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.floor(F.col("idx") / 4).cast("string")).alias("tool_use_id"), (F.col("k") % 10 == 0).alias("is_error"), F.lit("out").alias("content"))
+    got = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.floor(F.col("idx") / 4).cast("string")).alias("tool_use_id"), (F.col("k") % 10 == 0).alias("is_error"), F.when(F.col("k") % 3 == 0, " ").otherwise(F.concat(F.lit(" out "), n("k"))).alias("content"))
+    told = F.struct(F.when(F.col("k") % 2 == 0, "\n").otherwise(F.concat(F.lit("std "), n("k"))).alias("stdout"), F.concat(F.lit("err "), n("k"), F.lit("\n")).alias("stderr"))
     mark = F.struct(F.floor("value").cast("long").alias("input_tokens"), F.col("k").alias("output_tokens"), F.col("k").alias("cache_read_input_tokens"), (F.col("k") % 5).alias("cache_creation_input_tokens"))
     said = F.struct(F.concat(F.lit("m"), F.floor(F.col("idx") / 3).cast("string")).alias("id"), F.lit("m1").alias("model"), F.array(use).alias("content"), mark.alias("usage"))
     body = (
         F.when(F.col("event_type") == "click", F.to_json(F.struct(stamp.alias("timestamp"), F.lit("assistant").alias("type"), said.alias("message"))))
-        .when(F.col("event_type") == "view", F.to_json(F.struct(stamp.alias("timestamp"), F.lit("user").alias("type"), F.struct(F.array(got).alias("content")).alias("message"))))
+        .when(F.col("event_type") == "view", F.to_json(F.struct(stamp.alias("timestamp"), F.lit("user").alias("type"), F.struct(F.array(got).alias("content")).alias("message"), told.alias("toolUseResult"))))
         .when(F.col("event_type") == "signup", F.to_json(F.struct(stamp.alias("timestamp"), F.lit("user").alias("type"), F.lit("typed").alias("promptSource"), F.struct(F.concat(F.lit("do  it "), n("k")).alias("content")).alias("message"))))
         .when(F.col("event_type") == "error", F.concat(F.lit("{broken "), n("idx")))
         .otherwise(F.to_json(F.struct(stamp.alias("timestamp"), F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"))))
@@ -54,9 +55,12 @@ def written(spark: SparkSession, d: str) -> str:
     return path
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.scan(spark, written(spark, d)).withColumn("session_id", F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long"))
+
+
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    rows = transcripts.scan(spark, written(spark, d)).withColumn("session_id", F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long"))
-    return transcripts.messages(rows, "session_id")
+    return transcripts.messages(_records(spark, d), "session_id")
 
 
 _TRACE = "SELECT session_id, idx, event_type, t_ms, k, value, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS n FROM v_rec WHERE event_type <> 'error'"
@@ -89,12 +93,35 @@ def transcript_prompts(spark, d):
     return transcripts.prompts(_messages(spark, d), "session_id").select("session_id", "idx", "prompt")
 
 
+@query("tool_snippets", f"SELECT session_id, n AS idx, CASE WHEN k % 3 <> 0 THEN 'out ' || k WHEN k % 2 = 1 THEN 'std ' || k ELSE 'err ' || k END AS snippet FROM ({_TRACE}) WHERE event_type = 'view'")
+def tool_snippets(spark, d):
+    return transcripts.tool_results(_messages(spark, d), "session_id").select("session_id", "idx", "snippet")
+
+
+@query("markers", f"SELECT session_id, n AS idx FROM ({_TRACE}) WHERE event_type NOT IN ('click', 'view', 'signup')")
+def markers(spark, d):
+    return transcripts.markers(_messages(spark, d), "session_id").select("session_id", "idx")
+
+
+@query("record_text", f"SELECT session_id, n AS idx, 'do  it ' || k || chr(10) || 'typed' || chr(10) || strftime(epoch_ms(t_ms), '%Y-%m-%dT%H:%M:%S.%gZ') || chr(10) || 'user' AS text FROM ({_TRACE}) WHERE event_type = 'signup'")
+def record_text(spark, d):
+    rows = _records(spark, d).filter(transcripts.text("rec", "$.promptSource") == "typed")
+    return transcripts.record_text(rows, ["session_id", "idx"])
+
+
+@query("manifest", "SELECT DISTINCT 's=s' || session_id AS project, 1 AS files FROM v_rec")
+def manifest(spark, d):
+    root = written(spark, d)
+    files = transcripts.manifest(spark, root, (".txt",)).filter("bytes > 0")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("project")).agg(F.count(F.lit(1)).cast("int").alias("files"))
+
+
 @query("catalog", "SELECT DISTINCT 's=s' || session_id AS project, 'session' AS format FROM v_rec WHERE event_type <> 'error'")
 def catalog(spark, d):
     return transcripts.catalog(spark, written(spark, d)).select("project", "format")
 
 
-@query("live_counts", """SELECT session_id, count(*) AS records, count_if(event_type = 'click') AS tool_calls, count_if(event_type = 'signup') AS prompts, CAST(coalesce((SELECT sum(k) FROM (SELECT arg_max(k, idx) AS k FROM v_rec u WHERE u.session_id = v.session_id AND event_type = 'click' GROUP BY idx // 3)), 0) AS BIGINT) AS output_tokens
+@query("live_counts", """SELECT session_id, count(*) AS records, count(DISTINCT CASE WHEN event_type = 'click' THEN idx // 4 END) AS tool_calls, count_if(event_type = 'signup') AS prompts, CAST(coalesce((SELECT sum(k) FROM (SELECT arg_max(k, idx) AS k FROM v_rec u WHERE u.session_id = v.session_id AND event_type = 'click' GROUP BY idx // 3)), 0) AS BIGINT) AS output_tokens
     FROM v_rec v WHERE event_type <> 'error' GROUP BY session_id""")
 def live_counts(spark, d):
     """The live state after a stream over the transcript files; equal to the batch result."""

@@ -196,25 +196,26 @@ def digest(spark, d):
 _METRICS = ["stages", "dur_ms", "calls", "fails", "req", "out_total", "ctx_peak"]
 
 
-@query("compare_overview", f"WITH u AS (UNPIVOT (SELECT session_id, {', '.join(_METRICS)} FROM d_digest WHERE session_id < 10) ON {', '.join(_METRICS)} INTO NAME metric VALUE value) SELECT metric, session_id, value, value = min(value) OVER (PARTITION BY metric) AS is_least FROM u")
+@query("compare_overview", f"WITH u AS (UNPIVOT (SELECT session_id, {', '.join(_METRICS)} FROM d_digest) ON {', '.join(_METRICS)} INTO NAME metric VALUE value) SELECT metric, session_id, value, value = min(value) OVER (PARTITION BY metric) AS is_least FROM u")
 def compare_overview(spark, d):
-    rows = _digest(spark, d).filter("session_id < 10").select("session_id", *[F.col(m).cast("long").alias(m) for m in _METRICS]).unpivot("session_id", _METRICS, "metric", "value")
-    return rows.select("metric", "session_id", "value", (F.col("value") == F.min("value").over(Window.partitionBy("metric"))).alias("is_least"))
+    rows = _digest(spark, d).select("session_id", *[F.col(m).cast("long").alias(m) for m in _METRICS]).unpivot("session_id", _METRICS, "metric", "value")
+    least = rows.groupBy("metric").agg(F.min("value").alias("least"))  # one row for each metric
+    return rows.join(F.broadcast(least), "metric").select("metric", "session_id", "value", (F.col("value") == F.col("least")).alias("is_least"))
 
 
-@query("skill_matrix", """WITH n AS (SELECT name, session_id, count(*) AS n FROM v_call WHERE session_id < 10 GROUP BY ALL), t AS (SELECT name FROM n GROUP BY name ORDER BY sum(n) DESC, name LIMIT 16)
+@query("skill_matrix", """WITH n AS (SELECT name, session_id, count(*) AS n FROM v_call GROUP BY ALL), t AS (SELECT name FROM n GROUP BY name ORDER BY sum(n) DESC, name LIMIT 16)
     SELECT name, session_id, n, round(n / max(n) OVER (), 6) AS intensity FROM n WHERE name IN (SELECT name FROM t)""")
 def skill_matrix(spark, d):
-    n = frame(spark, d, "v_call").filter("session_id < 10").groupBy("name", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    n = frame(spark, d, "v_call").groupBy("name", "session_id").agg(F.count(F.lit(1)).alias("n"))
     top = n.groupBy("name").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "name").limit(16).select("name")
     rows = n.join(F.broadcast(top), "name")
     return rows.crossJoin(F.broadcast(rows.agg(F.max("n").alias("m")))).select("name", "session_id", "n", F.round(F.col("n") / F.col("m"), 6).alias("intensity"))
 
 
-@query("stage_share", """WITH o AS (SELECT s.session_id, s.stage, CAST(sum(out_tok) AS BIGINT) AS out_tok FROM d_settled u JOIN d_seg s ON s.session_id = u.session_id AND u.idx BETWEEN start_idx AND end_idx WHERE s.session_id < 10 GROUP BY ALL)
+@query("stage_share", """WITH o AS (SELECT s.session_id, s.stage, CAST(sum(out_tok) AS BIGINT) AS out_tok FROM d_settled u JOIN d_seg s ON s.session_id = u.session_id AND u.idx BETWEEN start_idx AND end_idx GROUP BY ALL)
     SELECT session_id, stage, out_tok, round(out_tok / nullif(sum(out_tok) OVER (PARTITION BY session_id), 0), 6) AS share FROM o""")
 def stage_share(spark, d):
-    use = segments.asof(usage.settle(frame(spark, d, "v_usage")).select("session_id", "idx", "out_tok").filter("session_id < 10"), seg(spark, d))
+    use = segments.asof(usage.settle(frame(spark, d, "v_usage")).select("session_id", "idx", "out_tok"), seg(spark, d))
     o = use.groupBy("session_id", "stage").agg(F.sum("out_tok").alias("out_tok"))
     return o.select("session_id", "stage", "out_tok", F.round(F.try_divide(F.col("out_tok"), F.sum("out_tok").over(Window.partitionBy("session_id"))), 6).alias("share"))
 

@@ -135,11 +135,6 @@ def prompts(spark, d):
     return frame(spark, d, "conversations").filter((F.col("role") == "user") & (text != "")).select("conv_id", "turn", F.substring(text, 1, 400).alias("prompt"))
 
 
-@query("markers", "SELECT conv_id, turn FROM conversations WHERE role = 'system'")
-def markers(spark, d):
-    return frame(spark, d, "conversations").filter("role = 'system'").select("conv_id", "turn")
-
-
 _PATCH = """SELECT conv_id, turn * 1000 + n AS line_no, text FROM (SELECT conv_id, turn, 0 AS n, '*** ' || CASE turn % 3 WHEN 0 THEN 'Add' WHEN 1 THEN 'Update' ELSE 'Delete' END || ' File: src/t' || turn || '.ts ' AS text FROM conversations
     UNION ALL SELECT conv_id, turn, 1 + generate_subscripts(string_split(text, chr(10)), 1), CASE WHEN generate_subscripts(string_split(text, chr(10)), 1) % 2 = 1 THEN '+' ELSE '-' END || unnest(string_split(text, chr(10))) FROM conversations)"""
 
@@ -166,12 +161,15 @@ def tool_failed(spark, d):
     return frame(spark, d, "v_rec").select("session_id", "idx", records.tool_failed(F.concat(F.lit("Exit code: "), (F.col("k") % 3).cast("string"))).alias("failed"))
 
 
-@query("spawn_match", """SELECT p_brand AS brand, arg_min(p_partkey, p_partkey) FILTER (WHERE contains(lower(p_name), lower(string_split(p_type, ' ')[-1]))) AS first_match, count(*) AS n FROM part GROUP BY p_brand""")
+@query("spawn_match", """WITH p AS (SELECT p_brand AS parent, p_partkey AS idx, lower(p_name) AS brief, lower(string_split(p_type, ' ')[-1]) AS leaf FROM part), c AS (SELECT DISTINCT parent, leaf FROM p)
+    SELECT c.parent, c.leaf, min(p.idx) AS idx, arg_min(p.brief, p.idx) AS brief FROM c LEFT JOIN p ON p.parent = c.parent AND contains(p.brief, c.leaf) GROUP BY ALL""")
 def spawn_match(spark, d):
-    p = frame(spark, d, "part")
-    leaf = F.lower(F.element_at(F.split("p_type", " "), -1))
-    hit = F.lower("p_name").contains(leaf)
-    return p.groupBy(F.col("p_brand").alias("brand")).agg(F.min(F.when(hit, F.col("p_partkey"))).alias("first_match"), F.count(F.lit(1)).alias("n"))
+    """Children are the last words of types, calls are parts, parents are brands."""
+    from tracelake.operators.agents import spawned
+
+    p = frame(spark, d, "part").select(F.col("p_brand").alias("parent"), F.col("p_partkey").alias("idx"), F.lower("p_name").alias("brief"), F.lower(F.element_at(F.split("p_type", " "), -1)).alias("leaf"))
+    children = p.select("parent", "leaf").distinct().select("parent", "leaf", F.concat_ws("/", "parent", "leaf").alias("id"), F.concat(F.lit("root/"), "leaf").alias("agent_path"))
+    return spawned(children, p.select("parent", "idx", "brief")).select("parent", "leaf", "idx", "brief")
 
 
 @query("agent_tree", """WITH RECURSIVE t AS (SELECT id, parent, grp, label, 0 AS depth FROM v_tree WHERE id = 1 UNION ALL SELECT v.id, v.parent, v.grp, t.label, t.depth + 1 FROM t JOIN v_tree v ON v.parent = t.id AND v.grp = t.grp AND v.id <> 1) SELECT id, parent, depth, label FROM t""")
@@ -213,9 +211,13 @@ DERIVED["d_block"] = """SELECT item_id, doc_id, min(s_line) AS start_line, max(s
 DERIVED["d_unique"] = """SELECT DISTINCT o.item_id, s.doc_id, s.line_no AS start_line FROM v_out_lines o JOIN (SELECT trim(text) AS t, min(doc_id) AS doc_id, min(line_no) AS line_no FROM v_doc_lines WHERE length(trim(text)) >= 8 GROUP BY 1 HAVING count(*) = 1) s ON s.t = trim(o.text)"""
 
 
-@query("visible_blocks", "SELECT item_id, doc_id, start_line, n FROM d_block")
+DERIVED["d_shown_block"] = DERIVED["d_block"].replace("v_out_lines", "v_shown")
+
+
+@query("visible_blocks", "SELECT item_id, doc_id, start_line, n FROM d_shown_block")
 def visible_blocks(spark, d):
-    return documents.visible_blocks(frame(spark, d, "v_out_lines"), frame(spark, d, "v_doc_lines"))
+    """Outputs are the documents whose id is divisible by 20 without each fifth line, against all documents."""
+    return documents.visible_blocks(frame(spark, d, "v_shown"), frame(spark, d, "v_doc_lines"))
 
 
 @query("visible_unique", "SELECT item_id, doc_id, start_line, CAST(1 AS BIGINT) AS n FROM d_unique")

@@ -23,17 +23,18 @@ VIEWS = {
         CAST(FLOOR(value) AS BIGINT) AS inp, k AS cread, k % 7 AS cw5, k % 5 AS cw1h, k AS out_tok, k % 11 AS ch_think, k % 13 AS ch_text, k % 3 AS ch_tool FROM v_rec""",
     "v_call": """SELECT session_id, idx, t_ms, CONCAT('tool', CAST(k % 5 AS VARCHAR(4))) AS name, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx) AS BIGINT) AS tool_id FROM v_rec WHERE event_type = 'click'""",
     "v_result": """SELECT session_id, idx, t_ms, k % 10 <> 0 AS ok, CAST(FLOOR(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx) * 4 / 5) AS BIGINT) AS tool_id FROM v_rec WHERE event_type = 'view'""",
-    "v_read_span": """SELECT session_id, idx, event_type, CONCAT('f', CAST(k % 20 AS VARCHAR(4))) AS path, 1 + (event_id * 7) % 400 AS start_line, CAST(FLOOR(value) AS BIGINT) % 40 AS n FROM v_rec WHERE event_type IN ('click', 'view')""",
-    "v_inventory": """SELECT CONCAT('f', CAST(p_partkey + 4 AS VARCHAR(8))) AS path, CAST(100 + p_size * 5 AS BIGINT) AS n_lines, p_partkey % 2 = 0 AS is_code FROM part WHERE p_partkey BETWEEN 1 AND 20""",
+    "v_read_span": """SELECT session_id, idx, event_type, CONCAT('f', CAST(event_id * 13 % (SELECT COUNT(*) FROM part) AS VARCHAR(20))) AS path, 1 + (event_id * 7) % 400 AS start_line, CAST(FLOOR(value) AS BIGINT) % 40 AS n FROM v_rec WHERE event_type IN ('click', 'view')""",
+    "v_inventory": """SELECT CONCAT('f', CAST(p_partkey + 4 AS VARCHAR(20))) AS path, CAST(100 + p_size * 5 AS BIGINT) AS n_lines, p_partkey % 2 = 0 AS is_code FROM part""",
     "v_write": """SELECT session_id, session_id % 10 AS lineage, idx, t_ms, CONCAT('w', CAST(event_id % 4 AS VARCHAR(4))) AS path,
         CASE event_type WHEN 'signup' THEN 'set' ELSE 'delta' END AS kind, CASE event_type WHEN 'signup' THEN k + 1 ELSE k - 50 END AS val FROM v_rec WHERE event_type IN ('signup', 'purchase')""",
     "v_turn": """SELECT session_id, idx, t_ms, CASE event_type WHEN 'error' THEN 'close' WHEN 'click' THEN 'user' WHEN 'purchase' THEN 'assistant' ELSE 'other' END AS role FROM v_rec""",
     "v_busy": """SELECT session_id, t_ms AS a_ms, t_ms + CAST(FLOOR(value) AS BIGINT) * 60000 AS b_ms FROM v_rec WHERE event_type = 'view'""",
     "v_counter": """SELECT session_id, idx, event_type, CAST(SUM(k) OVER (PARTITION BY session_id, seg ORDER BY idx) AS BIGINT) AS total
         FROM (SELECT session_id, idx, event_type, k, SUM(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx) AS seg FROM v_rec) q""",
-    "v_tree": """SELECT c_custkey AS id, CAST(FLOOR(c_custkey / 2) AS BIGINT) AS parent, c_nationkey % 2 AS grp, c_mktsegment AS label FROM customer""",
+    "v_tree": """SELECT c_custkey AS id, CAST(FLOOR(c_custkey / 2) AS BIGINT) AS parent, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS grp, c_mktsegment AS label FROM customer""",
     "v_doc_lines": "{LINES:documents,doc_id}",
     "v_out_lines": "{LINES:benchmark,item_id}",
+    "v_shown": "SELECT doc_id AS item_id, line_no, CASE WHEN line_no % 2 = 0 THEN text ELSE CONCAT(text, '  ') END AS text FROM v_doc_lines WHERE doc_id % 20 = 0 AND line_no % 5 <> 4",
 }
 
 

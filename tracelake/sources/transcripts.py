@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: The message that marks where a forked rollout begins its own work (fixed value).
 FORK_MARKER = "You are an agent in a team of agents"
+SNIPPET = 220
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -109,15 +110,18 @@ def tool_uses(msgs: DataFrame, key: str = "path") -> DataFrame:
 
 
 def tool_results(msgs: DataFrame, key: str = "path") -> DataFrame:
-    """(key, idx, t_ms, tool_id, ok, output, read_start, read_n, read_total)."""
+    """(key, idx, t_ms, tool_id, ok, output, snippet, read_start, read_n, read_total)."""
     b = _blocks(msgs, key).filter("kind = 'tool_result'")
     own = block_text(text("block", "$.content", "variant"))
     streams = F.concat_ws("\n", F.nullif(text("result", "$.stdout"), F.lit("")), F.nullif(text("result", "$.stderr"), F.lit("")))
     rest = block_text(text("result", "$.content", "variant"))
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"\S")
     output = F.when(~blank(own), own).when(~blank(streams), streams).otherwise(F.coalesce(rest, F.lit("")))
+    # a snippet is of the first that is not blank
+    one = [own, text("result", "$.stdout"), text("result", "$.stderr"), rest]
+    snippet = F.substring(F.regexp_replace(F.coalesce(*[F.when(~blank(c), c) for c in one], F.lit("")), r"^\s+|\s+$", ""), 1, SNIPPET)
     n = text("result", "$.file.numLines", "long")
-    return b.select(key, "idx", "t_ms", text("block", "$.tool_use_id").alias("tool_id"), (~F.coalesce(text("block", "$.is_error", "boolean"), F.lit(False))).alias("ok"), output.alias("output"), F.when(n.isNotNull(), F.coalesce(text("result", "$.file.startLine", "long"), F.lit(1))).alias("read_start"), n.alias("read_n"), text("result", "$.file.totalLines", "long").alias("read_total"))
+    return b.select(key, "idx", "t_ms", text("block", "$.tool_use_id").alias("tool_id"), (~F.coalesce(text("block", "$.is_error", "boolean"), F.lit(False))).alias("ok"), output.alias("output"), snippet.alias("snippet"), F.when(n.isNotNull(), F.coalesce(text("result", "$.file.startLine", "long"), F.lit(1))).alias("read_start"), n.alias("read_n"), text("result", "$.file.totalLines", "long").alias("read_total"))
 
 
 def usage(msgs: DataFrame, key: str = "path") -> DataFrame:
@@ -149,17 +153,62 @@ def turns(msgs: DataFrame, key: str = "path") -> DataFrame:
 
 
 def trim_to_fork(records: DataFrame, marker: Column, key: str) -> DataFrame:
-    """Records from the last one that ``marker`` holds for, of each key that has one."""
+    """Records from the last one that ``marker`` holds for; all records of a key that has none."""
     fork = records.filter(marker).groupBy(key).agg(F.max("idx").alias("_fork"))
-    return records.join(fork, key).filter(F.col("idx") >= F.col("_fork")).drop("_fork")
-
-
-def lookup(ids: DataFrame, prefixes: list[str]) -> DataFrame:
-    """For each prefix: how many ids start with it, and the id if it is the only one."""
-    wanted = ids.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
-    hit = F.broadcast(wanted).join(ids, F.col("id").startswith(F.col("prefix")), "left")
-    n = F.count("id")
-    return hit.groupBy("prefix").agg(n.alias("matches"), (n == 1).alias("is_unique"), F.when(n == 1, F.min("id")).alias("chosen"))
+    return records.join(fork, key, "left").filter(F.col("idx") >= F.coalesce("_fork", F.lit(0))).drop("_fork")
+
+
+def lookup(sessions: DataFrame, targets: list[str]) -> DataFrame:
+    """For each target: how many ids of ``sessions`` (id, project, mtime) start with it, whether it is one, the
+    projects that hold it in any case, and the session chosen: the only id, or where no id starts with the
+    target the newest session of those projects."""
+    wanted = F.broadcast(sessions.sparkSession.createDataFrame([(t,) for t in targets], "target string"))
+    own, low = F.col("id").startswith(F.col("target")), F.lower("project").contains(F.lower("target"))
+    hit = wanted.join(sessions, own | low, "left").withColumn("own", F.coalesce(own, F.lit(False))).withColumn("low", F.coalesce(low, F.lit(False)))
+    n = F.count_if("own")
+    newest = F.max_by(F.when(F.col("low"), F.col("id")), F.when(F.col("low"), F.struct("mtime", "id")))
+    chosen = F.when(n == 1, F.max(F.when(F.col("own"), F.col("id")))).when(n == 0, newest)
+    return hit.groupBy("target").agg(n.alias("matches"), (n == 1).alias("is_unique"), F.count_distinct(F.when(F.col("low"), F.col("project"))).alias("projects"), chosen.alias("chosen"))
+
+
+def manifest(spark: SparkSession, root: str, endings: tuple[str, ...] = (".jsonl", ".meta.json", ".json", ".js")) -> DataFrame:
+    """(session, path, relative_path, bytes): the record files of each session below ``root`` (project/session.jsonl
+    and all that project/session/ holds), relative to the project's folder. Files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    # file:///x and file:/x are the same folder
+    below = F.regexp_extract("path", f"^(?:file:/*)?/*{_quoted(root.removeprefix('file:').strip('/'))}/+(.*)$", 1)
+    rest = F.substring_index(below, "/", -1)
+    rows = files.withColumn("_rel", below).withColumn("relative_path", F.regexp_replace("_rel", "^[^/]*/", "")).filter(F.col("_rel").contains("/"))
+    own = F.array(*[F.lower(rest).endswith(e) for e in endings])
+    session = F.regexp_replace(F.substring_index("relative_path", "/", 1), r"\.jsonl$", "")
+    return rows.filter(F.exists(own, lambda x: x)).select(session.alias("session"), "path", "relative_path", "bytes")
+
+
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or c in "/_-" else f"\\{c}" for c in text)
+
+
+#: Keys whose strings are not text of a record (fixed values), and bounds of what is read.
+NO_TEXT = ("thinking", "signature")
+TEXT_DEPTH, TEXT_PARTS = 8, 181
+
+
+def record_text(records: DataFrame, keys: list[str], col: str = "rec") -> DataFrame:
+    """(keys, text): the strings of each record that are not blank, trimmed, one a line; those under NO_TEXT keys
+    or deeper than TEXT_DEPTH are left out, and those behind the first TEXT_PARTS. Fields come in the order of
+    their names, as a VARIANT keeps them. One narrow step for each level of nesting."""
+    level = records.select(*keys, F.array().cast("array<int>").alias("_at"), F.col(col).alias("_v"))
+    found = None
+    for depth in range(TEXT_DEPTH + 1):
+        kind = F.schema_of_variant("_v")
+        own = level.filter(kind == "STRING").select(*keys, "_at", F.trim(F.regexp_replace(F.try_variant_get("_v", "$", "string"), r"^\s+|\s+$", "")).alias("_s")).filter("_s <> ''")
+        found = own if found is None else found.unionByName(own)
+        if depth < TEXT_DEPTH:
+            named = ", ".join(f"t.`{k}`" for k in keys)
+            skip = ", ".join(f"'{k}'" for k in NO_TEXT)
+            level = records.sparkSession.sql(f"SELECT {named}, array_append(t._at, e.pos) AS _at, e.value AS _v FROM {{t}} t, LATERAL variant_explode(t._v) e WHERE e.key IS NULL OR e.key NOT IN ({skip})", t=level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+    parts = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), 1, TEXT_PARTS)
+    return found.groupBy(*keys).agg(F.array_join(parts, "\n").alias("text"))
 
 
 def workflow_runs(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:

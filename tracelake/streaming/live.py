@@ -1,9 +1,12 @@
 """Live state of sessions: a stateful reduction of record streams, and its snapshot.
 
-State of a session: usage of each message (the latest record wins, whole numbers are
-added as differences), open tool calls, counters, status and stage. The sink keeps one
-row for each session and batch; a snapshot is the newest row of each. Run to the end
-of the input, it equals the batch operators on the same files.
+State of a session (one file): usage of each message (the latest record wins, whole
+numbers are added as differences), tool calls, counters, status and stage. A file that
+shrank or was replaced comes with the next generation: the state before it is dropped,
+and so is what still arrives of older generations. A call whose id was seen before is
+ignored; broken lines are counted. The sink keeps one row for each session and batch; a
+snapshot is the newest row of each. Run to the end of the input, it equals the batch
+operators on the same files.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tracelake.streaming.shared import shared_folder
 from tracelake.streaming.tail import TailSource
 
-OUT = "session_id long, records long, tool_calls long, failed long, open_tools long, prompts long, output_tokens long, covered_lines long, status string, stage string"
+OUT = "session_id long, records long, tool_calls long, failed long, open_tools long, prompts long, output_tokens long, covered_lines long, bad_lines long, generation long, status string, stage string"
 EVENTS = 80
 
 
@@ -32,64 +35,87 @@ def parse(line: str) -> dict | None:
 
 
 class SessionReducer(StatefulProcessor):
-    """Reduces rows (session_id, at, line) of one session; ``at`` orders the records of a batch."""
+    """Reduces rows (session_id, generation, at, line) of one session; ``at`` orders the records of a batch."""
+
+    _NEW = {"records": 0, "tool_calls": 0, "failed": 0, "open": 0, "prompts": 0, "output": 0, "covered": 0, "bad": 0, "generation": 0, "status": "waiting", "stage": "setup"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.usage = handle.getMapState("usage", "msg string", "out long")
-        self.open = handle.getMapState("open", "id string", "path string")
+        self.calls = handle.getMapState("calls", "id string", "path string, done boolean")
         self.spans = handle.getMapState("spans", "path string", "spans string")
-        self.counts = handle.getValueState("counts", "records long, tool_calls long, failed long, prompts long, output long, covered long, status string, stage string")
+        self.counts = handle.getValueState("counts", ", ".join(f"{k} {'string' if isinstance(v, str) else 'long'}" for k, v in self._NEW.items()))
 
     def handleInputRows(self, key, rows, timerValues):
-        lines = pd.concat(list(rows)).sort_values("at")["line"]
-        c = list(self.counts.get()) if self.counts.exists() else [0, 0, 0, 0, 0, 0, "waiting", "setup"]
-        for line in lines:
+        got = pd.concat(list(rows))
+        c = dict(zip(self._NEW, self.counts.get(), strict=True)) if self.counts.exists() else dict(self._NEW)
+        newest = int(got["generation"].max())
+        if newest > c["generation"]:
+            for state in (self.usage, self.calls, self.spans):
+                state.clear()
+            c = self._NEW | {"generation": newest}
+        for line in got[got["generation"] == c["generation"]].sort_values("at")["line"]:
             rec = parse(line)
             if rec is not None:
                 self._record(rec, c)
-        self.counts.update(tuple(c))
-        n_open = sum(1 for _ in self.open.keys())
-        yield pd.DataFrame([(key[0], c[0], c[1], c[2], n_open, *c[3:])], columns=[x.split()[0] for x in OUT.split(", ")])
+            elif line.strip():
+                c["bad"] += 1
+        self.counts.update(tuple(c.values()))
+        yield pd.DataFrame([(key[0], *c.values())], columns=[x.split()[0] for x in OUT.split(", ")])
 
-    def _record(self, rec: dict, c: list) -> None:
-        c[0] += 1
+    def _record(self, rec: dict, c: dict) -> None:
+        c["records"] += 1
         msg = rec.get("message") if isinstance(rec.get("message"), dict) else {}
         content, kind = msg.get("content"), rec.get("type")
         blocks = [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
         if kind == "user" and rec.get("promptSource") == "typed" and isinstance(content, str) and content.strip():
-            c[3] += 1
-            c[6] = "running"
+            c["prompts"] += 1
+            c["status"] = "running"
         skill = str(rec.get("attributionSkill") or "").split(":")[-1]
         if skill:
-            c[7] = skill
+            c["stage"] = skill
         use = msg.get("usage")
         if isinstance(use, dict) and not str(msg.get("model") or "").startswith("<"):
-            mid, out = str(msg.get("id") or f"#{c[0]}"), int(use.get("output_tokens") or 0)
+            mid, out = str(msg.get("id") or f"#{c['records']}"), int(use.get("output_tokens") or 0)
             old = self.usage.getValue((mid,))[0] if self.usage.containsKey((mid,)) else 0
             self.usage.updateValue((mid,), (out,))
-            c[4] += out - old
+            c["output"] += out - old
         for b in blocks:
             if b.get("type") == "tool_use":
-                c[1] += 1
-                c[6] = "running"
-                given = b.get("input") if isinstance(b.get("input"), dict) else {}
-                self.open.updateValue((str(b.get("id")),), (str(given.get("file_path") or "") if b.get("name") == "Read" else "",))
-            elif b.get("type") == "tool_result" and self.open.containsKey((str(b.get("tool_use_id")),)):
-                path = self.open.getValue((str(b.get("tool_use_id")),))[0]
-                self.open.removeKey((str(b.get("tool_use_id")),))
-                c[2] += bool(b.get("is_error"))
-                got = rec.get("toolUseResult")
-                shown = got.get("file") if isinstance(got, dict) and isinstance(got.get("file"), dict) else {}
-                if path and shown.get("numLines"):
-                    c[5] += self._cover(path, int(shown.get("startLine") or 1), int(shown["numLines"]))
+                self._call(b, c)
+            elif b.get("type") == "tool_result":
+                self._result(b, rec.get("toolUseResult"), c)
         text = content if isinstance(content, str) else " ".join(b.get("text") or "" for b in blocks)
         if "request interrupted" in text.lower():
-            c[6] = "interrupted"
+            c["status"] = "interrupted"
         elif kind == "assistant":
             stop = msg.get("stop_reason")
             calls = any(b.get("type") == "tool_use" for b in blocks)
             if stop in ("end_turn", "stop_sequence") or (stop is None and text.strip() and not calls):
-                c[6] = "waiting"
+                c["status"] = "waiting"
+
+    def _call(self, block: dict, c: dict) -> None:
+        name = (str(block.get("id")),)
+        if self.calls.containsKey(name):
+            return
+        given = block.get("input") if isinstance(block.get("input"), dict) else {}
+        self.calls.updateValue(name, (str(given.get("file_path") or "") if block.get("name") == "Read" else "", False))
+        c["tool_calls"] += 1
+        c["open"] += 1
+        c["status"] = "running"
+
+    def _result(self, block: dict, told, c: dict) -> None:
+        name = (str(block.get("tool_use_id")),)
+        if not self.calls.containsKey(name):
+            return
+        path, done = self.calls.getValue(name)
+        if done:
+            return
+        self.calls.updateValue(name, (path, True))
+        c["open"] -= 1
+        c["failed"] += bool(block.get("is_error"))
+        shown = told.get("file") if isinstance(told, dict) and isinstance(told.get("file"), dict) else {}
+        if path and shown.get("numLines"):
+            c["covered"] += self._cover(path, int(shown.get("startLine") or 1), int(shown["numLines"]))
 
     def _cover(self, path: str, start: int, n: int) -> int:
         """Adds a line span of a file to its merged spans; how many lines are new."""
@@ -108,7 +134,7 @@ class SessionReducer(StatefulProcessor):
 
 
 def reduce(lines: DataFrame) -> DataFrame:
-    """The stateful stream over streaming rows (session_id, at, line)."""
+    """The stateful stream over streaming rows (session_id, generation, at, line)."""
     return lines.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionReducer(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
@@ -143,7 +169,7 @@ def snapshot(spark: SparkSession, root: str, session: Column) -> DataFrame:
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     lines = spark.readStream.format("transcript_tail").option("pattern", f"{root}/**/*.txt").load()
     at = F.concat_ws("/", "path", F.lpad(F.col("byte").cast("string"), 20, "0"))
-    run(reduce(lines.select(session, at.alias("at"), "line")), folder)
+    run(reduce(lines.select(session, "generation", at.alias("at"), "line")), folder)
     return latest(spark, folder)
 
 
