@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import pairs, usage
 from tracelake.plans.views import frame, sql
-from tracelake.sources import transcripts
+from tracelake.sources import rollouts, transcripts
 from tracelake.streaming import live
 from tracelake.streaming.shared import shared_folder
 
@@ -157,3 +157,63 @@ def head_signature(spark, d):
     """Files with a signature of their first 128 bytes, by which a replaced file is known."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(written(spark, d))
     return files.select("path", F.sha1(F.substring("content", 1, 128)).alias("head")).agg(F.count("head").alias("files"))
+
+
+def rollout_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(session_id, idx, value): every event as an envelope record of the rollout format, behind one meta record."""
+    r = frame(spark, d, "v_rec")
+    stamp = F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    n = lambda c: F.col(c).cast("string")
+    env = lambda kind, payload: F.to_json(F.struct(stamp.alias("timestamp"), F.lit(kind).alias("type"), payload.alias("payload")))
+    call = F.concat(F.lit("c"), F.floor(F.col("idx") / 4).cast("string"))
+    shell = F.concat(F.lit('tools.shell_command({command: "cat  f'), n("k"), F.lit(' /skills/s1/SKILL.md"})'))
+    patch = F.concat(F.lit('tools.apply_patch("*** Begin Patch\\n*** Add File: p'), n("k"), F.lit('.ts\\n+a\\n+b\\n*** Update File: q.ts\\n-a\\n*** End Patch")'))
+    script = lambda text, name: F.struct(F.lit("custom_tool_call").alias("type"), F.lit("exec").alias("name"), name.alias("call_id"), text.alias("input"))
+    args = F.to_json(F.struct(F.concat(F.lit("w"), n("k")).alias("task_name"), F.concat(F.lit("do "), n("k")).alias("message"), F.concat(F.lit("f"), n("k")).alias("file_path")))
+    asked = F.struct(F.lit("function_call").alias("type"), F.when(F.col("k") % 2 == 0, "spawn_agent").otherwise("update_plan").alias("name"), F.concat(F.lit("s"), n("idx")).alias("call_id"), args.alias("arguments"))
+    got = F.struct(F.lit("custom_tool_call_output").alias("type"), call.alias("call_id"), F.concat(F.lit("Exit code: "), (F.col("k") % 3).cast("string")).alias("output"))
+    total = F.struct(F.lit("token_count").alias("type"), F.struct(F.struct(F.col("total").alias("output_tokens"), (F.col("total") * 2).alias("input_tokens")).alias("total_token_usage")).alias("info"))
+    body = (
+        F.when(F.col("event_type") == "click", env("response_item", script(shell, call)))
+        .when(F.col("event_type") == "view", env("response_item", got))
+        .when(F.col("event_type") == "purchase", env("response_item", script(F.when(F.col("k") % 2 == 0, patch).otherwise(F.concat(F.lit("let  x = "), n("k"))), F.concat(F.lit("p"), n("idx")))))
+        .when(F.col("event_type") == "signup", env("response_item", asked))
+        .otherwise(env("event_msg", total))
+    )
+    rows = r.join(frame(spark, d, "v_counter").select("session_id", "idx", "total"), ["session_id", "idx"]).select("session_id", "idx", body.alias("value"))
+    sid = F.col("session_id").cast("string")
+    meta = r.select("session_id").distinct().select("session_id", F.lit(-1).cast("long").alias("idx"), F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(sid.alias("id"), sid.alias("session_id"), F.lit("/w").alias("cwd")).alias("payload"))).alias("value"))
+    return meta.unionByName(rows)
+
+
+def _rollouts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(own records, metas) of rollout files written from the events."""
+    path = f"{shared_folder(spark)}/rollouts-{uuid.uuid4().hex}"
+    lines = rollout_lines(spark, d).repartition("session_id").sortWithinPartitions("session_id", "idx")
+    lines.select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("s"), "value").write.partitionBy("s").text(path)
+    rec = transcripts.scan(spark, path)
+    metas = rollouts.files(rec)
+    return rollouts.local(rec, metas), metas
+
+
+@query("rollout_tools", """WITH o AS (SELECT session_id, idx // 4 AS c, arg_max(k % 3 = 0, idx) AS ok FROM v_rec WHERE event_type = 'view' GROUP BY ALL),
+    t AS (SELECT session_id, idx + 1 AS idx, 0 AS part, 'PowerShell' AS name, 'cat f' || k || ' /skills/s1/SKILL.md' AS brief, 's1' AS skills, NULL AS agent_type, NULL AS agent_desc, NULL AS kind, NULL AS val, idx // 4 AS c FROM v_rec WHERE event_type = 'click'
+      UNION ALL SELECT session_id, idx + 1, 1, 'Write', 'p' || k || '.ts', NULL, NULL, NULL, 'set', 2, NULL FROM v_rec WHERE event_type = 'purchase' AND k % 2 = 0
+      UNION ALL SELECT session_id, idx + 1, 2, 'Edit', 'q.ts', NULL, NULL, NULL, 'delta', -1, NULL FROM v_rec WHERE event_type = 'purchase' AND k % 2 = 0
+      UNION ALL SELECT session_id, idx + 1, 0, 'exec', 'let x = ' || k, NULL, NULL, NULL, NULL, NULL, NULL FROM v_rec WHERE event_type = 'purchase' AND k % 2 = 1
+      UNION ALL SELECT session_id, idx + 1, 0, CASE WHEN k % 2 = 0 THEN 'Agent' ELSE 'update_plan' END, 'f' || k, NULL, CASE WHEN k % 2 = 0 THEN 'w' || k END, CASE WHEN k % 2 = 0 THEN 'do ' || k END, NULL, NULL, NULL FROM v_rec WHERE event_type = 'signup')
+    SELECT t.session_id, row_number() OVER (PARTITION BY t.session_id ORDER BY idx, name, part) - 1 AS seq, idx, name, brief, skills, agent_type, agent_desc, kind, val, o.ok FROM t LEFT JOIN o ON o.session_id = t.session_id AND o.c = t.c""")
+def rollout_tools(spark, d):
+    """The tool table of rollout files: shell calls, files of patches, scripts, agents and plain calls in one order."""
+    rows, metas = _rollouts(spark, d)
+    out = rollouts.tools(rollouts.calls(rows), metas).join(metas.select("path", "id"), "path")
+    return out.select(F.col("id").cast("long").alias("session_id"), "seq", "idx", "name", "brief", F.nullif(F.array_join("skills", ","), F.lit("")).alias("skills"), "agent_type", "agent_desc", "kind", "val", "ok")
+
+
+@query("rollout_usage", """WITH c AS (SELECT session_id, idx, total FROM v_counter WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')), l AS (SELECT session_id, idx + 1 AS idx, total, coalesce(lag(total) OVER (PARTITION BY session_id ORDER BY idx), 0) AS p FROM c)
+    SELECT session_id, idx, CASE WHEN total < p THEN total ELSE total - p END AS delta FROM l WHERE CASE WHEN total < p THEN total ELSE total - p END > 0""")
+def rollout_usage(spark, d):
+    """Output tokens of rollout files, from their cumulative counters."""
+    rows, metas = _rollouts(spark, d)
+    own = rollouts.counters(rows).join(metas.select("path", "id"), "path").select(F.col("id").cast("long").alias("session_id"), "idx", F.col("output_tokens").alias("total"))
+    return usage.deltas(own)

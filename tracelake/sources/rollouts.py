@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import records as R
-from tracelake.sources.transcripts import FORK_MARKER, block_text, ms, text
+from tracelake.operators.documents import patch_ops
+from tracelake.sources.transcripts import FORK_MARKER, SNIPPET, block_text, ms, text
 
 COUNTERS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
 
@@ -100,3 +101,38 @@ def patch_rows(made: DataFrame) -> DataFrame:
     """(source, idx, patch_no, line_no, text): lines of the patches inside scripts, for ``documents.patch_ops``."""
     one = made.select(F.col("path").alias("source"), "idx", F.posexplode(R.patch_texts(F.col("raw"))).alias("patch_no", "patch"))
     return one.select("source", "idx", "patch_no", F.posexplode(F.split("patch", "\n")).alias("line_no", "text"))
+
+
+def tools(made: DataFrame, metas: DataFrame) -> DataFrame:
+    """(path, seq, idx, call_id, name, brief, skills, agent_type, agent_desc, wlines, kind, val, action, ok, dur_ms,
+    snippet): one table of tool calls for both formats. An ``exec`` is a PowerShell row for each shell call and a
+    Write or Edit row for each file of its patches, or else one row of its script; spawn_agent is called Agent. seq
+    is the place by idx, name and place in the call."""
+    raw = F.col("raw")
+    src = made.join(metas.select("path", "cwd"), "path", "left").withColumn("snippet", F.substring(F.trim(F.coalesce("output", F.lit(""))), 1, SNIPPET))
+    keep = ["path", "idx", "call_id", "ok", "dur_ms", "snippet"]
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def row(df: DataFrame, name: Column, brief: Column, part: Column, **more: Column) -> DataFrame:
+        kinds = {"skills": "array<string>", "agent_type": "string", "agent_desc": "string", "wlines": "long", "kind": "string", "val": "long", "action": "string"}
+        return df.select(*keep, name.alias("name"), brief.alias("brief"), part.cast("int").alias("_part"), *[(more[k].cast(t) if k in more else null(t)).alias(k) for k, t in kinds.items()])
+
+    scripts = src.filter("name = 'exec'").withColumn("_shells", R.shell_calls(raw, F.col("cwd"))).withColumn("_patches", R.patch_texts(raw))
+    shells = scripts.select(*keep, F.posexplode("_shells").alias("_n", "_call"))
+    shell = F.substring(R.squeeze(F.col("_call.command")), 1, 300)
+    out = row(shells, F.lit("PowerShell"), shell, F.col("_n"), skills=R.skill_mentions(F.col("_call.command")))
+    lines = scripts.select(F.col("path").alias("_source"), "idx", F.posexplode("_patches").alias("_patch", "_text")).select("_source", "idx", "_patch", F.posexplode(F.split("_text", "\n")).alias("line_no", "text"))
+    ops = patch_ops(lines, ["_source", "idx", "_patch"]).select(F.col("_source").alias("path"), "idx", "_patch", "ord", "action", F.col("path").alias("_file"), "added", "kind", "val")
+    files_ = scripts.select(*keep).join(ops, ["path", "idx"])
+    out = out.unionByName(row(files_, F.when(F.col("action") == "Add", "Write").otherwise("Edit"), F.col("_file"), 1000 * (1 + F.col("_patch")) + F.col("ord"), wlines=F.col("added"), kind=F.col("kind"), val=F.col("val"), action=F.col("action")))
+    whole = scripts.filter((F.size("_shells") <= 0) & (F.size("_patches") <= 0))
+    out = out.unionByName(row(whole, F.lit("exec"), F.substring(R.squeeze(raw), 1, 300), F.lit(0)))
+    rest = src.filter("name <> 'exec'").withColumn("_args", decoded(raw))
+    get = lambda k: F.get_json_object("_args", f"$.{k}")
+    agent = F.col("name") == "spawn_agent"
+    said = F.coalesce(get("message"), F.lit(""))
+    # a message that starts like this is encrypted (fixed value)
+    said = F.when(said.startswith("gAAAA"), F.coalesce(get("task_name"), F.lit(""))).otherwise(F.substring(said, 1, 240))
+    out = out.unionByName(row(rest, F.when(agent, "Agent").otherwise(F.col("name")), R.tool_brief(F.col("_args")), F.lit(0), agent_type=F.when(agent, F.coalesce(F.nullif(get("task_name"), F.lit("")), F.lit("codex-subagent"))), agent_desc=F.when(agent, said)))
+    seq = F.row_number().over(Window.partitionBy("path").orderBy("idx", "name", "_part")).cast("long") - 1
+    return out.withColumn("seq", seq).drop("_part")
