@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keys of a tool's input that say what it works on, in order (fixed values).
+# Names, words and patterns that the two transcript formats prescribe.
+#: Keys of a tool's input that say what it works on, in order.
 BRIEF_KEYS = ["file_path", "path", "pattern", "skill", "command", "description", "prompt", "query", "url", "notebook_path"]
+#: What a record says when its user stopped it, and what the service says when it fails.
+STOPPED = ["request interrupted", "stopped by the user"]
+SERVICE_FAILED, LINE_FAILED = "api error", "connection"
+EXIT_CODE = r"exit code:\s*(-?\d+)"
+WALL_TIME = r"(?i)Wall time\s+([0-9.]+)\s+seconds"
+SKILL_FILE = r"(?i)(?:\\+|/)+skills(?:\\+|/)+([a-z0-9_-]+)(?:\\+|/)+SKILL\.md"
+JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+SCRIPT_NAME = r"[A-Za-z_$][\w$]*"
+SCRIPT_CALL = r"\btools\.{tool}\s*\("
+SCRIPT_FIELD = rf'(?s)(?:"?{{key}}"?)\s*:\s*({JSON_STRING})'
+SCRIPT_VARIABLE = rf"(?s)\b(?:const|let|var)\s+({SCRIPT_NAME})\s*=\s*({JSON_STRING})\s*;"
+PATCH_CALL = rf"(?s)\btools\.apply_patch\s*\(\s*({JSON_STRING}|{SCRIPT_NAME})\s*\)"
+PATCH_HEAD = "*** Begin Patch"
+SHELL_VARIABLE = r"(?s)\$([A-Za-z_]\w*)\s*=\s*(?:@?\()?\s*(['\"])(.*?)\2"
+GET_CONTENT = "(?i)\\bGet-Content\\b(?:(?![;|\\r\\n]).)*?(?:-(?:LiteralPath|Path)\\s+)?(\\$[A-Za-z_]\\w*|'[^']+'|\"[^\"]+\")"
 
 
 def squeeze(text: Column) -> Column:
@@ -32,13 +48,11 @@ def line_count(text: Column) -> Column:
 def abort_reason(kind: Column, text: Column, stop_reason: Column) -> Column:
     """How a stream ended, from its last record: interrupted, api_error, or null for a normal end."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    api = low.contains("api error")
-    return (
-        F.when(low.contains("request interrupted") | low.contains("stopped by the user"), "interrupted")
-        .when(~kind.eqNullSafe(F.lit("assistant")), "interrupted")
-        .when(stop_reason.isNotNull() & (stop_reason != "end_turn"), F.when(api, "api_error").otherwise("interrupted"))
-        .when(api & low.contains("connection"), "api_error")
-    )
+    own = kind.eqNullSafe(F.lit("assistant"))
+    whole = own & F.coalesce(stop_reason == "end_turn", F.lit(True))
+    stopped = F.exists(F.array(*map(F.lit, STOPPED)), lambda x: low.contains(x))
+    lost = own & low.contains(SERVICE_FAILED) & (~whole | low.contains(LINE_FAILED))
+    return F.when(stopped | (~whole & ~lost), "interrupted").when(lost, "api_error")
 
 
 def is_terminal(stop_reason: Column, text: Column, has_tool_use: Column) -> Column:
@@ -48,18 +62,18 @@ def is_terminal(stop_reason: Column, text: Column, has_tool_use: Column) -> Colu
 
 def tool_failed(output: Column) -> Column:
     low = F.lower(F.coalesce(output, F.lit("")))
-    code = F.regexp_extract(low, r"exit code:\s*(-?\d+)", 1)
+    code = F.regexp_extract(low, EXIT_CODE, 1)
     return low.contains("script failed") | F.replace(low, F.lit(" "), F.lit("")).contains('"iserror":true') | ((code != "") & (F.try_to_number(code, F.lit("S9999999999")) != 0))
 
 
 def wall_ms(output: Column, start: Column, end: Column) -> Column:
     """The longest wall time that an output reports, else the time between two stamps."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(output, F.lit("")), F.lit(r"(?i)Wall time\s+([0-9.]+)\s+seconds"), F.lit(1)), lambda x: x.cast("double"))
+    found = F.transform(F.regexp_extract_all(F.coalesce(output, F.lit("")), F.lit(WALL_TIME), F.lit(1)), lambda x: x.cast("double"))
     return F.coalesce((F.array_max(found) * 1000).cast("long"), F.timestamp_diff("MILLISECOND", start, end))
 
 
 def skill_mentions(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(?:\\+|/)+skills(?:\\+|/)+([a-z0-9_-]+)(?:\\+|/)+SKILL\.md"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SKILL_FILE), F.lit(1))
     return F.array_distinct(found)
 
 
@@ -78,11 +92,8 @@ def query_terms(query: Column) -> Column:
 
 def nested_segments(source: Column, tool: str) -> Column:
     """The stretches of a script that begin with a call of tools.<tool>."""
-    parts = F.split(F.coalesce(source, F.lit("")), rf"(?=\btools\.{tool}\s*\()")
-    return F.filter(parts, lambda p: p.rlike(rf"^tools\.{tool}\s*\("))
-
-
-_STRING = r'"(?:[^"\\]|\\.)*"'
+    call = SCRIPT_CALL.format(tool=tool)
+    return F.filter(F.split(F.coalesce(source, F.lit("")), f"(?={call})"), lambda p: p.rlike(f"^{call}"))
 
 
 def unquote(token: Column) -> Column:
@@ -91,7 +102,7 @@ def unquote(token: Column) -> Column:
 
 
 def script_field(segment: Column, key: str) -> Column:
-    token = F.regexp_extract(segment, rf'(?s)(?:"?{key}"?)\s*:\s*({_STRING})', 1)
+    token = F.regexp_extract(segment, SCRIPT_FIELD.format(key=key), 1)
     return F.when(token != "", unquote(token))
 
 
@@ -104,27 +115,26 @@ def shell_calls(source: Column, cwd: Column) -> Column:
 def patch_texts(source: Column) -> Column:
     """Patches passed to tools.apply_patch, as a literal or by the name of a variable."""
     src = F.coalesce(source, F.lit(""))
-    var = rf"(?s)\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*({_STRING})\s*;"
-    names, values = F.regexp_extract_all(src, F.lit(var), F.lit(1)), F.regexp_extract_all(src, F.lit(var), F.lit(2))
-    args = F.regexp_extract_all(src, F.lit(rf"(?s)\btools\.apply_patch\s*\(\s*({_STRING}|[A-Za-z_$][\w$]*)\s*\)"), F.lit(1))
+    names, values = (F.regexp_extract_all(src, F.lit(SCRIPT_VARIABLE), F.lit(i)) for i in (1, 2))
+    args = F.regexp_extract_all(src, F.lit(PATCH_CALL), F.lit(1))
     # the last assignment of a name counts
     place = lambda a: F.size(names) - F.array_position(F.reverse(names), a).cast("int") + 1
     text = F.transform(args, lambda a: F.when(a.startswith('"'), unquote(a)).when(F.array_contains(names, a), unquote(F.get(values, place(a) - 1))))
-    return F.filter(text, lambda t: F.coalesce(t, F.lit("")).contains("*** Begin Patch"))
+    return F.filter(text, lambda t: F.coalesce(t, F.lit("")).contains(PATCH_HEAD))
 
 
 def shell_variables(command: Column) -> tuple[Column, Column]:
     """Names (lower case) and values of variables that a PowerShell command assigns a quoted text."""
-    rx = r"(?s)\$([A-Za-z_]\w*)\s*=\s*(?:@?\()?\s*(['\"])(.*?)\2"
     c = F.coalesce(command, F.lit(""))
-    return F.transform(F.regexp_extract_all(c, F.lit(rx), F.lit(1)), lambda x: F.lower(x)), F.regexp_extract_all(c, F.lit(rx), F.lit(3))
+    names, values = (F.regexp_extract_all(c, F.lit(SHELL_VARIABLE), F.lit(i)) for i in (1, 3))
+    return F.transform(names, lambda x: F.lower(x)), values
 
 
 def content_paths(command: Column) -> Column:
     """Files that Get-Content names, by a quoted path or a variable; each once. Wild cards and unknown
     variables name nothing."""
     names, values = shell_variables(command)
-    raw = F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit("(?i)\\bGet-Content\\b(?:(?![;|\\r\\n]).)*?(?:-(?:LiteralPath|Path)\\s+)?(\\$[A-Za-z_]\\w*|'[^']+'|\"[^\"]+\")"), F.lit(1))
+    raw = F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit(GET_CONTENT), F.lit(1))
     last = lambda n: F.size(names) - F.array_position(F.reverse(names), n).cast("int")
     value = F.transform(raw, lambda r: F.when(~r.startswith("$"), F.substr(r, F.lit(2), F.length(r) - 2)).when(F.array_contains(names, F.lower(F.substr(r, F.lit(2)))), F.get(values, last(F.lower(F.substr(r, F.lit(2)))))))
     return F.array_distinct(F.filter(value, lambda v: v.isNotNull() & ~v.rlike("[$%*?]")))
