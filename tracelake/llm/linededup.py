@@ -47,8 +47,8 @@ HOT = 10_000
 
 
 def runs_of(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) -> list[tuple[np.ndarray, ...]]:
-    """For each text, arrays of one length over the runs of lines around its fingerprints: hash and
-    index of the fingerprint, index of the run's first filled line, hash of the run, first and last line number."""
+    """For each text, arrays of one length over the runs of lines around its fingerprints: hash of the
+    fingerprint, 1 for one row of each of its places (else 0), index of the run's first filled line, hash of the run, first and last line number."""
     out = []
     for i, j, b, o in K.chunks(buf, off):
         s, e, doc = lines(b, o)
@@ -74,15 +74,17 @@ def runs_of(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) ->
         mark, first, run, last = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(first, kind="stable")
         mark, first, run, last = mark[order], first[order], run[order], last[order]
+        lead = np.zeros(len(mark), dtype=np.int64)
+        lead[np.unique(mark, return_index=True)[1]] = 1
         begin = np.searchsorted(doc, np.arange(j - i + 1))
         bounds = np.searchsorted(first, begin)
         for k in range(j - i):
             x = slice(bounds[k], bounds[k + 1])
-            out.append((h[mark[x]].view(np.int64), mark[x] - begin[k], first[x] - begin[k], run[x].view(np.int64), number[first[x]], number[last[x]]))
+            out.append((h[mark[x]].view(np.int64), lead[x], first[x] - begin[k], run[x].view(np.int64), number[first[x]], number[last[x]]))
     return out
 
 
-_RUN = ("mark", "at", "start", "run", "low", "high")
+_RUN = ("mark", "lead", "start", "run", "low", "high")
 
 
 def _runs(long_words: int | None):
@@ -116,11 +118,11 @@ def later_runs(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     src = docs.filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t"))
     spots = cut(src.mapInArrow(_runs(long_words), T.StructType([src.schema["d"], *[T.StructField(c, T.LongType()) for c in _RUN]])), "lines")
     n = spots.count()
-    place = F.struct("d", "at")
-    again = spots.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("mark", "k")
+    again = cut(spots.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.sum("lead").alias("places")).filter("places > 1").select("mark", "k"), "marks")
     near = cut(_joined(spots, again, "mark", n).select("d", "start", "run", "low", "high").distinct(), "runs")
     n = near.count()
     firsts = near.groupBy("run").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    firsts = cut(firsts, "firsts")
     return _joined(near, firsts, "run", n).filter(F.struct("d", "start") > F.col("first")).select("d", "low", "high")
 
 
