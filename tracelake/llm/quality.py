@@ -111,18 +111,15 @@ def lines(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return s, e, d
 
 
-def _stats(batches):
-    for batch in batches:
-        if batch.num_rows:
-            arrays = text_stats(*K.texts(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, arrays)], names=[*batch.schema.names[:-1], *_STATS])
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _STATS]))
+def _stats(text: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(x) for x in text_stats(*K.texts(text))], names=list(_STATS))
 
 
 def with_stats(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
-    """The ``keep`` columns and the statistics of column ``text``, one row for each row."""
-    src = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in _STATS]])
-    return src.mapInArrow(_stats, schema)
+    """The ``keep`` columns and the statistics of column ``text``, one row for each row. Only texts go to Python."""
+    out = docs.select(*[c.alias(n) for n, c in keep.items()], _stats(F.col("text").cast("string")).alias("stats"))
+    return out.select(*keep, "stats.*")
 
 
 def features() -> list[Column]:
