@@ -228,6 +228,22 @@ def test_op4_against_all_substrings(docs, rows, odd, empty, spark):
     assert suffix.dedup(empty).count() == 0
 
 
+def test_op4_splits_grams_with_much_different_text_around_them(docs, odd, spark, monkeypatch):
+    r = random.Random(3)
+    shared = "".join(r.choice("abcdefgh") for _ in range(90))
+    around = lambda: "".join(r.choice("klmnopqr ") for _ in range(r.randint(60, 400)))
+    tail = around()
+    few = spark.createDataFrame([(i, around() + shared + (tail if i % 3 == 0 else around())) for i in range(60)], "doc_id long, text string")
+    key = lambda x: tuple((y is not None, y) for y in x)
+    for df in (docs, odd, few):
+        want = sorted(map(tuple, suffix.dedup(df).collect()), key=key)
+        monkeypatch.setattr(suffix, "HOT", 1)
+        got = sorted(map(tuple, suffix.dedup(df).collect()), key=key)
+        monkeypatch.undo()
+        assert got == want
+    assert sum(x[3] for x in want) > 0
+
+
 def test_op5_phrases_templates_and_edits(docs, rows, odd, empty, spark):
     got = by_id(licenses.scan(docs))
     for r in rows:

@@ -10,9 +10,12 @@ others each block of documents sends every distinct segment once to the shard of
 anchor gram, with the number of its copies. The shard sorts the suffixes of all its
 segments and answers which starts are repeated, and the block removes the bytes.
 
-So the suffixes sorted are those of distinct suspicious segments, a very common passage
-costs one segment for each block, and a shard with very many different segments goes
-beyond memory to the sorter's disk queues.
+So the suffixes sorted are those of distinct suspicious segments, and a very common passage
+costs one segment for each block. A gram that many segments hold with different text around
+it (``HOT``) is split: its segments fall into parts of ``STEP`` distances to the anchor, and
+a part goes to the shard of the bytes that all strings of its distances have in common.
+Equal strings have the same distance and so the same shard. Runs of the sorter's queues go
+to disk beyond its memory.
 
 Cases: null or empty text has no bytes; texts under ``LENGTH`` bytes lose none; matches
 never cross documents; equal rows are copies of each other; rows are returned one for
@@ -40,6 +43,10 @@ GRAM = 40
 BLOCK_BYTES = 5 << 20
 #: Bytes of documents for each shard; what a shard sorts is the suspicious part of as many.
 SHARD_BYTES = 4 << 20
+#: Segments of one gram from which they are split by the text around it.
+HOT = 4096
+#: Distances to the anchor in one part of a split segment.
+STEP = 41
 END = 0xFF
 _NO_ID = -(1 << 63)
 _U = np.uint64
@@ -78,13 +85,13 @@ def _block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, off, np.concatenate([np.frombuffer(r["ids"], np.int64) for r in parts]) if parts else np.empty(0, np.int64)
 
 
-def anchors(b: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, gram hash) of each segment: consecutive starts of strings of
-    ``length`` bytes inside one text that have the same anchor."""
+def anchors(b: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, gram hash, anchor place) of each segment: consecutive starts of
+    strings of ``length`` bytes inside one text that have the same anchor."""
     n, w = len(b), length - gram + 1
     if n < length:
         e = np.empty(0, np.int64)
-        return e, e, e.astype(_U)
+        return e, e, e.astype(_U), e
     sums, (_, inv) = K.prefix(b, K.RAW_CODES), K.powers(n + 1)
     h = K.mix((sums[gram:] - sums[:-gram]) * inv[: n - gram + 1])
     m = len(h)
@@ -103,31 +110,57 @@ def anchors(b: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM
     at = np.flatnonzero(np.cumsum(room[:k]) > 0)
     if not len(at):
         e = np.empty(0, np.int64)
-        return e, e, e.astype(_U)
+        return e, e, e.astype(_U), e
     place = place[at]
     head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (np.diff(at) > 1)))
-    return at[head], np.diff(np.append(head, len(at))), h[place[head]]
+    return at[head], np.diff(np.append(head, len(at))), h[place[head]], place[head]
 
 
 def _segments(buf: np.ndarray, off: np.ndarray):
-    """Segments of a whole block, found chunk by chunk: (start, starts, gram hash, content hash)."""
-    out = [[], [], [], []]
+    """Segments of a whole block, found chunk by chunk: (start, starts, gram hash, content hash, anchor place)."""
+    out = [[], [], [], [], []]
     for i, _, b, o in K.chunks(buf, off, CHUNK):
-        s, n, h = anchors(b, o)
-        for x, y in zip(out, (s + off[i], n, h, K.slice_hash(K.prefix(b, K.RAW_CODES), s, s + n + LENGTH - 1)), strict=True):
+        s, n, h, place = anchors(b, o)
+        for x, y in zip(out, (s + off[i], n, h, K.slice_hash(K.prefix(b, K.RAW_CODES), s, s + n + LENGTH - 1), place + off[i]), strict=True):
             x.append(y)
-    kinds = (np.int64, np.int64, _U, _U)
+    kinds = (np.int64, np.int64, _U, _U, np.int64)
     return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
+def _parts(buf: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray):
+    """Segments cut into parts of ``STEP`` distances: (start, starts, hash of the distances and of the bytes that
+    all strings of these have in common, content hash)."""
+    out = [[], [], [], []]
+    for i in range(0, len(s), 1 << 12):
+        s0, n0, p0 = s[i : i + (1 << 12)], n[i : i + (1 << 12)], place[i : i + (1 << 12)]
+        width = n0 + LENGTH - 1
+        sums = K.prefix(buf[_ranges(s0, width)], K.RAW_CODES)
+        shift = np.cumsum(width) - width - s0
+        far, near = p0 - s0, p0 - s0 - n0 + 1
+        for low in range(0, LENGTH - GRAM + 1, STEP):
+            top = min(low + STEP - 1, LENGTH - GRAM)
+            own = np.flatnonzero((far >= low) & (near <= top))
+            hi, lo, p = np.minimum(far[own], top), np.maximum(near[own], low), p0[own]
+            core = K.slice_hash(sums, p - low + shift[own], p - top + LENGTH + shift[own])
+            content = K.slice_hash(sums, p - hi + shift[own], p - lo + LENGTH + shift[own])
+            for x, y in zip(out, (p - hi, hi - lo + 1, K.mix(core + _U(low)), content), strict=True):
+                x.append(y)
+    return [np.concatenate(x) for x in out]
+
+
 def _distinct(rows: pa.Table, got: pa.Table):
-    """Block bytes, offsets, ids; suspicious segments (start, starts, gram, content); and the first of each content, sorted by shard order."""
+    """Block bytes, offsets, ids; suspicious segments (start, starts, hash that deals them, content); the first of each content, which of these each segment has, and how many have it."""
     buf, off, ids = _block(rows)
-    s, n, h, key = _segments(buf, off)
+    s, n, h, key, place = _segments(buf, off)
     u, back = np.unique(h, return_inverse=True)
     told = C.ordered(got)
-    hot = (told[0] > 1)[back] if len(u) else np.zeros(0, bool)
-    s, n, h, key = s[hot], n[hot], h[hot], key[hot]
+    seen = told[0][back.ravel()] if len(u) else np.zeros(0, np.int64)
+    few, many = seen == 2, seen > 2
+    if many.any():
+        cut_up = _parts(buf, s[many], n[many], place[many])
+        s, n, h, key = (np.append(x[few], y) for x, y in zip((s, n, h, key), cut_up, strict=True))
+    else:
+        s, n, h, key = s[few], n[few], h[few], key[few]
     _, first, back, times = np.unique(K.mix(h + key * _BOTH), return_index=True, return_inverse=True, return_counts=True)
     return buf, off, ids, s, n, h, key, first, back.ravel(), times
 
@@ -142,15 +175,17 @@ def removal(docs: DataFrame):
     """(packed documents, answers): what ``_removed`` needs of each block."""
     _, size = C.sizes(docs)
     n_blocks, n_buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // (64 * C.BUCKET_ITEMS)))
-    n_shards = max(1, -(-size // SHARD_BYTES))
+    n_shards, hot = max(1, -(-size // SHARD_BYTES)), HOT
     packed = _packed(docs, n_blocks)
 
     def request(key, t):
         buf, off, _ = _block(t)
-        u, n = np.unique(_segments(buf, off)[2], return_counts=True)
-        return C.ask(key[0].as_py(), 0, u, np.minimum(n, 2), n_buckets)
+        _, _, h, content, _ = _segments(buf, off)
+        u, n = np.unique(h, return_counts=True)
+        kinds = np.bincount(np.searchsorted(u, h[np.unique(K.mix(h + content * _BOTH), return_index=True)[1]]), minlength=len(u))
+        return C.ask(key[0].as_py(), 0, u, np.maximum(np.minimum(n, 2), kinds), n_buckets)
 
-    told = cut(C.answers(packed.groupBy("block").applyInArrow(request, C._ASK), lambda cls: [1.0], lambda cls, sums: [np.minimum(sums[0], 2)], lambda u, sums: []), "grams").filter("block >= 0").select("block", "bucket", "sums")
+    told = cut(C.answers(packed.groupBy("block").applyInArrow(request, C._ASK), lambda cls: [1.0], lambda cls, sums: [np.where(sums[0] > hot, 3, np.minimum(sums[0], 2))], lambda u, sums: []), "grams").filter("block >= 0").select("block", "bucket", "sums")
 
     def send(key, t, got):
         buf, _, _, s, n, h, content, first, _, times = _distinct(t, got)
