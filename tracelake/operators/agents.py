@@ -64,6 +64,34 @@ def inherit_stage(tree: DataFrame, own: DataFrame) -> DataFrame:
     )
 
 
+def rollup(tools: DataFrame, settled: DataFrame, said: DataFrame, skills: DataFrame, ends: DataFrame, *, key: str = "session_id") -> DataFrame:
+    """A row for each agent that called a tool: times, tool uses and their counts, results by state, output tokens, skills by
+    name, the first 300 characters of its last text (key, idx, text), and why it broke off (key, aborted), null at a normal end."""
+    calls = tools.groupBy(key, "name").agg(F.count(F.lit(1)).alias("m"), F.min("t_ms").alias("a"), F.max("t_ms").alias("b"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad"), F.count_if(F.col("ok").isNull()).alias("open"))
+    names = F.array_sort(F.collect_list(F.struct("name", "m")))
+    one = calls.groupBy(key).agg(
+        F.min("a").alias("first_ms"), F.max("b").alias("last_ms"), F.sum("m").alias("tool_uses"), F.array_join(F.transform(names, lambda x: x["name"]), ",").alias("tools"),
+        F.array_join(F.transform(names, lambda x: F.concat_ws("=", x["name"], x["m"])), ",").alias("tool_counts"), F.sum("ok").alias("n_ok"), F.sum("bad").alias("n_failed"), F.sum("open").alias("n_open"),
+    )
+    out = settled.groupBy(key).agg(F.sum("out_tok").alias("output_tokens"))
+    last = said.groupBy(key).agg(F.substring(F.max_by("text", "idx"), 1, 300).alias("last_text"))
+    used = skills.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("skill")), ",").alias("skills"))
+    for part in (out, last, used, ends.select(key, "aborted")):
+        one = one.join(part, key, "left")
+    return one.fillna(0, ["output_tokens"]).fillna("", ["skills"])
+
+
+def waste(rows: DataFrame, scope: str) -> DataFrame:
+    """Per scope: agents, those that broke off, all output tokens, and those of the broken ones."""
+    broken = F.col("aborted").isNotNull()
+    return rows.groupBy(scope).agg(F.count(F.lit(1)).alias("agents"), F.count_if(broken).alias("aborted_agents"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.when(broken, F.col("output_tokens")).otherwise(0)).alias("waste_output_tokens"))
+
+
+def skill_stats(calls: DataFrame, *, main: str = "is_main") -> DataFrame:
+    """Per name: calls of the main thread and of sub-agents, failures, time of all calls and of the longest."""
+    return calls.groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.count_if(main).alias("main_calls"), F.count_if(~F.col(main)).alias("sub_calls"), F.count_if(~F.col("ok")).alias("failures"), F.sum("dur_ms").alias("dur_ms"), F.max("dur_ms").alias("longest_ms"))
+
+
 def facts(tables: dict[str, DataFrame], folder: str, partition: str = "format") -> None:
     """Writes every fact table below ``folder``, partitioned where it has the column."""
     for name, df in tables.items():

@@ -12,14 +12,27 @@ def joined(c: str | Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(c)), ",")
 
 
-def accumulate(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys (with the path): reads, cumulative lines with repeats, lines once, last line touched."""
+def accumulate(reads: DataFrame, keys: list[str], source: str | None = None) -> DataFrame:
+    """Per keys (with the path): reads, cumulative lines with repeats, lines once, last line touched, and the
+    names in the column ``source``, if one is named."""
     ok = reads.filter("n > 0")
-    cum = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("reads"), F.sum("n").alias("lines_cum"), F.max(F.col("start_line") + F.col("n") - 1).alias("last_line"))
+    more = [joined(source).alias("sources")] if source else []
+    cum = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("reads"), F.sum("n").alias("lines_cum"), F.max(F.col("start_line") + F.col("n") - 1).alias("last_line"), *more)
     once = intervals.line_spans(ok, keys).groupBy(*keys).agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines_dedup"))
     return cum.join(once, keys)
 
 
+def chain(reads: DataFrame, writes: DataFrame, handed: DataFrame, *, scope: str = "lineage", agent: str = "session_id") -> DataFrame:
+    """(scope, source, document, output, first_agents, second_agents): an agent reads a source and writes a document, which
+    another agent reads (``handed``) that writes the output. Both halves are counted before they meet at the document."""
+    side = lambda df, name: df.select(scope, agent, F.col("path").alias(name)).distinct()
+    w = side(writes, "document")
+    half = lambda left, right, by, n: left.join(right, [scope, agent]).groupBy(scope, *by).agg(F.count(F.lit(1)).alias(n))
+    first = half(side(reads, "source"), w, ["source", "document"], "first_agents")
+    second = half(side(handed, "document"), w.withColumnRenamed("document", "output"), ["document", "output"], "second_agents")
+    return first.join(second.filter("document <> output"), [scope, "document"])
+
+
 def edges(reads: DataFrame, writes: DataFrame, dropped: DataFrame, scope: str = "lineage", agent: str = "session_id") -> DataFrame:
     """(scope, path, readers, writers): agents by path, without the ``dropped`` ones."""
     side = lambda df, kind: df.join(dropped.select(agent), agent, "left_anti").select(scope, "path", agent, F.lit(kind).alias("kind")).distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators import intervals, pairs, replay, segments, usage
+from tracelake.functions import records
+from tracelake.operators import agents, intervals, pairs, replay, segments, usage
 from tracelake.plans.views import DERIVED, frame, sql
 
 QUERIES: dict = {}
@@ -132,8 +133,6 @@ def stage_assembly(spark, d):
     s AS (SELECT session_id, 'run' || t AS run_id, row_number() OVER (PARTITION BY session_id ORDER BY t) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.session_id = r.session_id AND n.run_id = 'run' || r.t))
     SELECT session_id, idx, run_id, 'w' || substr(run_id, 4) AS name FROM (SELECT * FROM n UNION ALL SELECT o.session_id, o.idx, s.run_id FROM o JOIN s ON s.session_id = o.session_id AND s.n = o.n)""")
 def workflow_launches(spark, d):
-    from tracelake.operators import agents
-
     r = frame(spark, d, "v_rec")
     calls = r.filter("event_type = 'purchase'").select("session_id", "idx", F.when(F.col("k") % 3 == 0, F.concat(F.lit("started. Task ID: T"), (F.col("k") % 4).cast("string"), F.lit(" now"))).otherwise("started").alias("result"))
     n = (F.col("k") % 4).cast("string")
@@ -354,10 +353,29 @@ def session_totals(spark, d):
     return out.fillna(0, ["tool_calls", "fails", "tools", "files_touched"])
 
 
-@query("agent_rollup", """SELECT p.session_id, min(p.t_ms) AS first_ms, max(p.t_ms) AS last_ms, count(*) AS tool_uses, string_agg(DISTINCT name, ',' ORDER BY name) AS tools, count_if(ok) AS n_ok, count_if(ok = false) AS n_failed, count_if(ok IS NULL) AS n_open FROM d_pair p GROUP BY p.session_id""")
+DERIVED["d_agent"] = """WITH e AS (SELECT session_id, CASE WHEN arg_max(event_type, idx) <> 'purchase' THEN 'interrupted' WHEN arg_max(k, idx) % 2 = 0 THEN 'api_error' END AS aborted FROM v_rec GROUP BY session_id),
+    c AS (SELECT session_id, string_agg(name || '=' || m, ',' ORDER BY name) AS tool_counts FROM (SELECT session_id, name, count(*) AS m FROM d_pair GROUP BY ALL) GROUP BY session_id),
+    u AS (SELECT session_id, CAST(sum(out_tok) AS BIGINT) AS output_tokens FROM d_settled GROUP BY session_id), s AS (SELECT session_id, string_agg(DISTINCT skill, ',' ORDER BY skill) AS skills FROM v_stage_mark WHERE skill IS NOT NULL GROUP BY session_id),
+    t AS (SELECT session_id, 'done ' || arg_max(event_id, idx) AS last_text FROM v_rec WHERE event_type = 'purchase' GROUP BY session_id),
+    p AS (SELECT session_id, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(*) AS tool_uses, string_agg(DISTINCT name, ',' ORDER BY name) AS tools, count_if(ok) AS n_ok, count_if(ok = false) AS n_failed, count_if(ok IS NULL) AS n_open FROM d_pair GROUP BY session_id)
+    SELECT p.*, tool_counts, coalesce(output_tokens, 0) AS output_tokens, last_text, coalesce(skills, '') AS skills, aborted FROM p JOIN c USING (session_id) LEFT JOIN u USING (session_id) LEFT JOIN s USING (session_id) LEFT JOIN t USING (session_id) LEFT JOIN e USING (session_id)"""
+
+
+@query("agent_rollup", "SELECT * FROM d_agent")
 def agent_rollup(spark, d):
-    p = pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result"))
-    return p.groupBy("session_id").agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.count(F.lit(1)).alias("tool_uses"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("tools"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.count_if(F.col("ok").isNull()).alias("n_open"))
+    """Sessions are agents: a purchase is a text of the agent, and one that ends on another record was interrupted."""
+    r = frame(spark, d, "v_rec")
+    last = r.groupBy("session_id").agg(F.max_by(F.struct("event_type", "k"), "idx").alias("l"))
+    role, text = F.when(F.col("l.event_type") == "purchase", "assistant").otherwise("user"), F.when(F.col("l.k") % 2 == 0, "API Error: connection lost").otherwise("done")
+    ends = last.select("session_id", records.abort_reason(role, text, F.lit(None).cast("string")).alias("aborted"))
+    said = r.filter("event_type = 'purchase'").select("session_id", "idx", F.concat(F.lit("done "), F.col("event_id").cast("string")).alias("text"))
+    tools = pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result"))
+    return agents.rollup(tools, usage.settle(frame(spark, d, "v_usage")), said, frame(spark, d, "v_stage_mark").filter("skill is not null"), ends)
+
+
+@query("agent_waste", "SELECT session_id % 10 AS lineage, count(*) AS agents, count(aborted) AS aborted_agents, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN aborted IS NOT NULL THEN output_tokens ELSE 0 END) AS BIGINT) AS waste_output_tokens FROM d_agent GROUP BY 1")
+def agent_waste(spark, d):
+    return agents.waste(agent_rollup(spark, d).withColumn("lineage", F.col("session_id") % 10), "lineage")
 
 
 @query("block_chars", "SELECT session_id, msg_id, ch_think, ch_text, ch_tool FROM d_settled")
@@ -381,11 +399,13 @@ def topology(spark, d):
     return segments.asof(frame(spark, d, "v_call").select("session_id", "idx", "name"), seg(spark, d)).groupBy("session_id", "seg_no", "stage", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("skill_calls", "SELECT name, count(*) AS calls, count_if(ok = false) AS failures, CAST(sum(dur_ms) AS BIGINT) AS dur_ms FROM d_pair GROUP BY name")
+@query("skill_calls", "SELECT name, count(*) AS calls, count_if(session_id % 10 = 0) AS main_calls, count_if(session_id % 10 <> 0) AS sub_calls, count_if(ok = false) AS failures, CAST(sum(dur_ms) AS BIGINT) AS dur_ms, max(dur_ms) AS longest_ms FROM d_pair GROUP BY name")
 def skill_calls(spark, d):
-    return pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result")).groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.sum("dur_ms").alias("dur_ms"))
+    """Each tenth session is a main thread, the others are its sub-agents."""
+    calls = pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result"))
+    return agents.skill_stats(calls.withColumn("is_main", F.col("session_id") % 10 == 0))
 
 
-@query("record_density", """SELECT session_id, count(*) AS n, max(g) AS max_gap_ms, CAST(sum(g) AS BIGINT) AS span_ms FROM (SELECT session_id, t_ms - lag(t_ms) OVER (PARTITION BY session_id ORDER BY idx) AS g FROM v_rec) GROUP BY session_id""")
+@query("record_density", """SELECT session_id, count(*) AS n, max(g) AS max_gap_ms, CAST(sum(g) AS BIGINT) AS span_ms, round(quantile_cont(g, 0.5), 3) AS p50_gap_ms, round(quantile_cont(g, 0.9), 3) AS p90_gap_ms FROM (SELECT session_id, t_ms - lag(t_ms) OVER (PARTITION BY session_id ORDER BY idx) AS g FROM v_rec) GROUP BY session_id""")
 def record_density(spark, d):
-    return ms_between(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("gap_ms").alias("max_gap_ms"), F.sum("gap_ms").alias("span_ms"))
+    return ms_between(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("gap_ms").alias("max_gap_ms"), F.sum("gap_ms").alias("span_ms"), *[F.round(F.percentile("gap_ms", F.lit(q)), 3).alias(f"p{round(q * 100)}_gap_ms") for q in (0.5, 0.9)])

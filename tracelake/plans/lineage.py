@@ -69,9 +69,9 @@ def probe_only(spark, d):
     return probed.join(seen, on, "left_anti").groupBy("lineage", "stage").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("read_accum", "SELECT session_id, path, count(*) FILTER (WHERE l = start_line) AS reads, count(*) AS lines_cum, max(l) AS last_line, count(DISTINCT l) AS lines_dedup FROM (SELECT session_id, path, start_line, unnest(range(start_line, start_line + n)) AS l FROM v_read_span WHERE n > 0) GROUP BY session_id, path")
+@query("read_accum", "SELECT session_id, path, count(*) FILTER (WHERE l = start_line) AS reads, count(*) AS lines_cum, max(l) AS last_line, count(DISTINCT l) AS lines_dedup, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM (SELECT session_id, path, event_type, start_line, unnest(range(start_line, start_line + n)) AS l FROM v_read_span WHERE n > 0) GROUP BY session_id, path")
 def read_accum(spark, d):
-    return lineage.accumulate(reads(spark, d), ["session_id", "path"])
+    return lineage.accumulate(reads(spark, d), ["session_id", "path"], "event_type")
 
 
 def _dropped(spark, d) -> DataFrame:
@@ -169,6 +169,15 @@ def lineage_chain(spark, d):
     return r.join(w, "session_id").groupBy("source", "output").agg(F.count_distinct("session_id").alias("agents"))
 
 
+@query("lineage_chain_documents", """WITH a AS (SELECT lineage, source, document, count(*) AS first_agents FROM (SELECT DISTINCT lineage, session_id, path AS source FROM d_read) r JOIN (SELECT DISTINCT session_id, path AS document FROM v_write) w USING (session_id) GROUP BY ALL),
+    b AS (SELECT lineage, document, output, count(*) AS second_agents FROM (SELECT DISTINCT session_id % 10 AS lineage, session_id, 'w' || (event_id % 4) AS document FROM v_rec WHERE event_type = 'view') r JOIN (SELECT DISTINCT session_id, path AS output FROM v_write) w USING (session_id) WHERE document <> output GROUP BY ALL)
+    SELECT a.lineage, source, a.document, output, first_agents, second_agents FROM a JOIN b ON b.lineage = a.lineage AND b.document = a.document""")
+def lineage_chain_documents(spark, d):
+    """Views hand over documents that others of the lineage write."""
+    handed = frame(spark, d, "v_rec").filter("event_type = 'view'").select((F.col("session_id") % 10).alias("lineage"), "session_id", F.concat(F.lit("w"), (F.col("event_id") % 4).cast("string")).alias("path"))
+    return lineage.chain(reads(spark, d), frame(spark, d, "v_write"), handed)
+
+
 DERIVED["d_digest"] = """WITH s AS (SELECT session_id, count_if(stage <> 'setup') AS stages, max(end_ms) - min(start_ms) AS dur_ms FROM d_seg GROUP BY session_id), p AS (SELECT session_id, count(*) AS calls, count_if(ok = false) AS fails FROM d_pair GROUP BY session_id),
     u AS (SELECT session_id, count(*) AS req, CAST(sum(out_tok) AS BIGINT) AS out_total, max(inp + cread + cw5 + cw1h) AS ctx_peak FROM d_settled GROUP BY session_id), c AS (SELECT session_id, round(sum(usd_in + usd_read + usd_write + usd_out), 9) AS usd FROM d_cost GROUP BY session_id)
     SELECT s.session_id, stages, dur_ms, coalesce(calls, 0) AS calls, coalesce(fails, 0) AS fails, req, out_total, ctx_peak, usd FROM s LEFT JOIN p USING (session_id) JOIN u USING (session_id) JOIN c USING (session_id)"""
