@@ -6,7 +6,7 @@ import time
 import pytest
 
 import corpus_pipeline
-from tracelake.llm import bpe, decontaminate, linededup
+from tracelake.llm import bpe, decontaminate, jaccard, linededup
 
 #: Names that operators use inside, each once a column of the documents.
 NAMES = (
@@ -92,6 +92,11 @@ def test_anchors_in_parts(spark, monkeypatch):
     assert sorted(decontaminate.report(docs, bench).collect()) == want
 
 
+def test_op10_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, jaccard.components(docs).collect())) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_carry_columns_of_any_name(spark, tmp_path, stage):
     r = random.Random(7)

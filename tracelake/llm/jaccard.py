@@ -114,6 +114,8 @@ def _pack(docs: DataFrame, n_blocks: int, width: int) -> DataFrame:
             key, size = (np.concatenate([getattr(x, a) for x in sets]) for a in ("key1", "size"))
             rows = np.unique(np.where(size > 0, key, 0), return_index=True)[1]
             rows = rows[size[rows] > 0]
+            if not len(rows):
+                continue
             block = (key[rows].view(_U) % _U(n_blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             rows, block = rows[order], block[order]
