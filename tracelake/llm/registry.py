@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, quality, suffix
+from tracelake.llm import bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, mixing, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm.op1_lm_score,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_edit_counts": edit_counts.op9_edit_counts,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op13_source_mix": mixing.op13_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": linededup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_jaccard_join": jaccard.ORACLE_SQL,
+    "op13_source_mix": mixing.ORACLE_SQL,
 }
