@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import align, bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, mixing, quality, suffix
+from tracelake.llm import align, bpe, chat, decontaminate, edit_counts, jaccard, licenses, linededup, lm, mixing, quality, runs, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm.op1_lm_score,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_edit_counts": edit_counts.op9_edit_counts,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_token_align": align.op12_token_align,
     "op13_source_mix": mixing.op13_source_mix,
 }
