@@ -6,7 +6,8 @@ by the next character). A class is a transition function on eight states; the
 functions form a small monoid, so the state before every character comes from an
 associative scan: blocks are scanned side by side, their totals are scanned in turn,
 and the prefixes are composed in. State and class say where a slice starts. Distinct
-slices go through a cache to a pair merger that advances all of them together; ids
+slices go through a cache to a pair merger that advances all of them together; what comes
+out of the cache, which knows slices by a hash, is compared with the text byte for byte; ids
 come with the byte offset of each token, and decoding concatenates token bytes.
 
 The pattern that the state machine stands for is the one of the rank file: optional
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -164,21 +166,47 @@ def slices(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.append(s[1:], len(b))
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: printable Latin-1 stands for
+    itself, the others, in order, for the code points from 256."""
+    plain = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255]
+    others = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
+
+
+def _read(path: str) -> tuple[dict[bytes, int], dict[int, int]]:
+    """Ids of the byte strings of a rank file or of a vocabulary with merges, and the id, which is also the rank, of
+    each pair of ids that may be merged: by ranks, all whose bytes are a token; else those listed."""
+    if path.endswith(".json"):
+        letters = byte_letters()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        named = {name: bytes(map(letters.__getitem__, name)) for name in model["vocab"] if all(c in letters for c in name)}
+        ids = {b: model["vocab"][name] for name, b in named.items()}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in merges]
+        if made != sorted(made):
+            raise ValueError("ids must follow the order of merges")
+        return ids, {(model["vocab"][a] << 20) | model["vocab"][b]: i for (a, b), i in zip(merges, made, strict=True)}
+    with open(path, "rb") as f:
+        ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return ids, {(ids[b[:k]] << 20) | ids[b[k:]]: i for b, i in ids.items() for k in range(1, len(b)) if b[:k] in ids and b[k:] in ids}
+
+
 class Encoder:
     """The ranks of one file with a bounded cache of encoded slices. One for each task process."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranks = ranks
+        ranks, pairs = _read(path)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
-        self.size_of = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.strings = K.Strings(self.bytes_of)
+        self.size_of = self.strings.len
         self.single = np.zeros(256, dtype=np.int64)
         for i in range(256):
             self.single[i] = ranks[bytes([i])]
-        pairs = {(ranks[b[:k]] << 20) | ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.made = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self._clear()
@@ -235,12 +263,11 @@ class Encoder:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        ranks, name = self.ranks, self.bytes_of
-        heap = []
+        pairs, heap = self.pairs, []
 
         def push(i: int) -> None:
             j = right[i]
-            if j < n and (r := ranks.get(name[ids[i]] + name[ids[j]])) is not None:
+            if j < n and (r := pairs.get((ids[i] << 20) | ids[j])) is not None:
                 heap.append((r, i, ids[i], ids[j])) if building else heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         building = True
@@ -291,13 +318,9 @@ class Encoder:
         for i, x in enumerate(order.tolist()):
             self.known[h[x]] = k + i
 
-    def encode(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, byte offset of each token, tokens up to each text, pre-token starts, tokens of each pre-token)."""
-        s, e = slices(b, off)
-        if not len(s):
-            z = np.zeros(0, np.int64)
-            return z.astype(np.int32), z, np.zeros(len(off), np.int64), z, z
-        h, first, back = np.unique(K.slice_hash(K.prefix(b, K.RAW_CODES), s, e), return_index=True, return_inverse=True)
+    def _looked_up(self, b: np.ndarray, key: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all slices, and how many each has; slices with equal keys are encoded once."""
+        h, first, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_SLICES:
             self._clear()
         hs = h.tolist()
@@ -308,13 +331,27 @@ class Encoder:
         entry = np.fromiter((self.known[x] for x in hs), dtype=np.int64, count=len(hs))
         at, n = self.at[entry][back], self.len[entry][back]
         ends = np.cumsum(n)
-        ids = self.pool[np.repeat(at - (ends - n), n) + np.arange(ends[-1])]
+        return self.pool[np.repeat(at - (ends - n), n) + np.arange(ends[-1])], n
+
+    def encode(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, byte offset of each token, tokens up to each text, pre-token starts, tokens of each pre-token)."""
+        s, e = slices(b, off)
+        if not len(s):
+            z = np.zeros(0, np.int64)
+            return z.astype(np.int32), z, np.zeros(len(off), np.int64), z, z
+        ids, n = self._looked_up(b, K.slice_hash(K.prefix(b, K.RAW_CODES), s, e), s, e)
+        if not np.array_equal(self.strings.join(ids), b):  # a slice got the ids of another one with its hash
+            number: dict[bytes, int] = {}
+            own = [number.setdefault(b[i:j].tobytes(), len(number)) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+            self._clear()
+            ids, n = self._looked_up(b, np.array(own, dtype=np.uint64), s, e)
+            self._clear()
         width = self.size_of[ids]
         begin = np.cumsum(width) - width
         return ids, begin, np.searchsorted(begin, off), s, n
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return self.strings.join(ids).tobytes()
 
 
 @lru_cache(2)

@@ -12,7 +12,7 @@ With ``long_words``, a line of at least so many words is a run by itself: it is
 fingerprint, and its later copies are deleted whatever lines stand around them. The stage
 of the pipeline takes ``LONG_WORDS``; the query's contract is runs of ``RUN`` lines only.
 
-Only hashes of lines travel, each fingerprint with the runs that it lies in, so the rows of
+Only hashes of lines travel (two of each run, 122 bits in all, as equal hashes delete lines), each fingerprint with the runs that it lies in, so the rows of
 a document grow with its lines. Equal runs meet in an aggregate with map-side combine, and
 the few values that stand for more than a ``HOT``-th of all rows reach their rows by a
 broadcast of at most ``HOT`` of them; the join of the rest has no hot key.
@@ -48,7 +48,7 @@ HOT = 10_000
 
 def runs_of(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) -> list[tuple[np.ndarray, ...]]:
     """For each text, arrays of one length over the runs of lines around its fingerprints: hash of the
-    fingerprint, 1 for one row of each of its places (else 0), index of the run's first filled line, hash of the run, first and last line number."""
+    fingerprint, 1 for one row of each of its places (else 0), index of the run's first filled line, two hashes of the run, first and last line number."""
     out = []
     for i, j, b, o in K.chunks(buf, off):
         s, e, doc = lines(b, o)
@@ -58,7 +58,9 @@ def runs_of(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) ->
         number = np.arange(len(s)) - np.searchsorted(doc, np.arange(j - i))[doc]
         s, e, doc, number = s[filled], e[filled], doc[filled], number[filled]
         h = K.slice_hash(K.prefix(b, K.RAW_CODES), s, e)
+        other = K.slice_hash(K.prefix(b, K.RAW_CODES, 1), s, e)
         at, run = K.window_hash(h, doc, RUN)
+        _, run2 = K.window_hash(other, doc, RUN)
         marked = np.zeros(len(h), dtype=bool)
         low = at.copy()
         for k in range(1, W):
@@ -67,24 +69,24 @@ def runs_of(buf: np.ndarray, off: np.ndarray, long_words: int | None = None) ->
         parts = []
         for k in range(RUN):  # extended by k lines to the left, and by the rest to the right
             m = np.flatnonzero(marked[at + k])
-            parts.append((at[m] + k, at[m], run[m], at[m] + RUN - 1))
+            parts.append((at[m] + k, at[m], run[m], run2[m], at[m] + RUN - 1))
         if long_words:
             m = np.flatnonzero(n_words[filled] >= long_words)
-            parts.append((m, m, K.mix(h[m] + _U(1)), m))
-        mark, first, run, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append((m, m, K.mix(h[m] + _U(1)), K.mix(other[m] + _U(1)), m))
+        mark, first, run, run2, last = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(first, kind="stable")
-        mark, first, run, last = mark[order], first[order], run[order], last[order]
+        mark, first, run, run2, last = mark[order], first[order], run[order], run2[order], last[order]
         lead = np.zeros(len(mark), dtype=np.int64)
         lead[np.unique(mark, return_index=True)[1]] = 1
         begin = np.searchsorted(doc, np.arange(j - i + 1))
         bounds = np.searchsorted(first, begin)
         for k in range(j - i):
             x = slice(bounds[k], bounds[k + 1])
-            out.append((h[mark[x]].view(np.int64), lead[x], first[x] - begin[k], run[x].view(np.int64), number[first[x]], number[last[x]]))
+            out.append((h[mark[x]].view(np.int64), lead[x], first[x] - begin[k], run[x].view(np.int64), run2[x].view(np.int64), number[first[x]], number[last[x]]))
     return out
 
 
-_RUN = ("mark", "lead", "start", "run", "low", "high")
+_RUN = ("mark", "lead", "start", "run", "run2", "low", "high")
 
 
 def _runs(long_words: int | None):
@@ -102,12 +104,12 @@ def _runs(long_words: int | None):
     return run
 
 
-def _joined(rows: DataFrame, values: DataFrame, key: str, n: int) -> DataFrame:
+def _joined(rows: DataFrame, values: DataFrame, key: list[str], n: int) -> DataFrame:
     """``rows`` with the matching row of ``values`` (one for each ``key``, with ``k``, how many of the ``n``
     rows have it). Keys of more than n / HOT rows, at most HOT, are broadcast; no other is hot."""
     hot = F.col("k") > n / HOT
-    names = [c for c in values.columns if c not in (key, "k")]
-    near = rows.join(F.broadcast(values.filter(hot).select(key, F.struct("k", *names).alias("v"))), key, "left")
+    names = [c for c in values.columns if c not in (*key, "k")]
+    near = rows.join(F.broadcast(values.filter(hot).select(*key, F.struct("k", *names).alias("v"))), key, "left")
     direct = near.filter("v is not null").select(*rows.columns, "v.*")
     rest = near.filter("v is null").drop("v").join(values.filter(~hot), key)
     return direct.unionByName(rest)
@@ -119,11 +121,11 @@ def later_runs(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     spots = cut(src.mapInArrow(_runs(long_words), T.StructType([src.schema["d"], *[T.StructField(c, T.LongType()) for c in _RUN]])), "lines")
     n = spots.count()
     again = cut(spots.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.sum("lead").alias("places")).filter("places > 1").select("mark", "k"), "marks")
-    near = cut(_joined(spots, again, "mark", n).select("d", "start", "run", "low", "high").distinct(), "runs")
+    near = cut(_joined(spots, again, ["mark"], n).select("d", "start", "run", "run2", "low", "high").distinct(), "runs")
     n = near.count()
-    firsts = near.groupBy("run").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    firsts = near.groupBy("run", "run2").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     firsts = cut(firsts, "firsts")
-    return _joined(near, firsts, "run", n).filter(F.struct("d", "start") > F.col("first")).select("d", "low", "high")
+    return _joined(near, firsts, ["run", "run2"], n).filter(F.struct("d", "start") > F.col("first")).select("d", "low", "high")
 
 
 def removed_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:

@@ -92,8 +92,7 @@ def anchors(b: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM
     if n < length:
         e = np.empty(0, np.int64)
         return e, e, e.astype(_U), e
-    sums, (_, inv) = K.prefix(b, K.RAW_CODES), K.powers(n + 1)
-    h = K.mix((sums[gram:] - sums[:-gram]) * inv[: n - gram + 1])
+    h = K.rolling(b, gram)
     m = len(h)
     v = np.full(-(-m // w) * w + w, ~_U(0), dtype=_U)
     v[:m] = (h & ~_U(0xFFFFFFFF)) | np.arange(m, dtype=_U)  # ties go to the left
