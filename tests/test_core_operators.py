@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracelake.functions import paths, records
-from tracelake.operators import documents, intervals, lineage, pairs, replay, segments, usage
+from tracelake.operators import blocks, documents, intervals, lineage, pairs, replay, segments, usage
 
 
 def rnd_spans(r, n, keys=3, top=40):
@@ -96,8 +96,8 @@ def test_visible_lines_cases(spark):
     src = spark.createDataFrame([(1, i, x) for i, x in enumerate(JAVA)], "doc_id int, line_no long, text string")
     out = lambda *x: spark.createDataFrame([(7, i, t) for i, t in enumerate(x)], "item_id int, line_no long, text string")
     assert [tuple(x) for x in documents.visible_unique(out(JAVA[2]), src).collect()] == [(7, 1, 2, 1)]
-    assert [tuple(x) for x in documents.visible_blocks(out("noise here", *JAVA[1:3]), src).collect()] == [(7, 1, 1, 2)]
-    assert documents.visible_unique(out("Sample.java"), src).count() == documents.visible_blocks(out(""), src).count() == 0
+    assert [tuple(x) for x in blocks.matching_blocks(out("noise here", *JAVA[1:3]), src).collect()] == [(7, 1, 1, 2)]
+    assert documents.visible_unique(out("Sample.java"), src).count() == blocks.matching_blocks(out(""), src).count() == 0
     shown = spark.createDataFrame([(1, 1, "int alpha = 1;"), (1, 2, "int gamma = 3;")], "doc_id int, line_no long, text string")
     assert [tuple(x) for x in documents.visible_numbered(shown, src).collect()] == [(1, 1)]
 
@@ -106,7 +106,7 @@ def test_blank_lines_inside_a_block(spark):
     text = ["first long line", "", "second long line", "third long line"]
     src = spark.createDataFrame([(1, i, x) for i, x in enumerate(["x", *text, "y"])], "doc_id int, line_no long, text string")
     out = spark.createDataFrame([(7, i, x) for i, x in enumerate(text)], "item_id int, line_no long, text string")
-    assert [tuple(x) for x in documents.visible_blocks(out, src).collect()] == [(7, 1, 1, 4)]
+    assert [tuple(x) for x in blocks.matching_blocks(out, src).collect()] == [(7, 1, 1, 4)]
 
 
 def one(spark, c):

@@ -88,20 +88,6 @@ def carry_header(lines: DataFrame, keys: list[str], header: Column, order: str =
     return lines.withColumn("_own", header).withColumn("header", F.last("_own", ignorenulls=True).over(w)).filter("_own is null and header is not null").drop("_own")
 
 
-def visible_blocks(out: DataFrame, source: DataFrame, *, min_lines: int = 2, min_chars: int = 16) -> DataFrame:
-    """(item_id, doc_id, start_line, n): runs of equal lines, right-trimmed, in both texts. Blank lines are
-    left out of the join: an island keeps one distance in line numbers and in the numbers of filled
-    lines, so only blank lines lie in its gaps."""
-    number = lambda df, key: df.select(key, "line_no", F.rtrim("text").alias("t")).filter(F.trim("text") != "").withColumn("nb", F.row_number().over(Window.partitionBy(key).orderBy("line_no")).cast("long"))
-    o, s = number(out, "item_id"), number(source, "doc_id").withColumnRenamed("line_no", "s_line").withColumnRenamed("nb", "s_nb")
-    both = o.join(s, "t").withColumn("diag", F.col("s_line") - F.col("line_no")).withColumn("nb_diag", F.col("s_nb") - F.col("nb"))
-    w = Window.partitionBy("item_id", "doc_id", "diag", "nb_diag").orderBy("s_nb")
-    runs = both.withColumn("run", F.col("s_nb") - F.row_number().over(w))
-    found = runs.groupBy("item_id", "doc_id", "diag", "nb_diag", "run").agg(F.min("s_line").alias("start_line"), F.max("s_line").alias("end_line"), F.sum(F.length(F.trim("t"))).alias("chars"))
-    n = F.col("end_line") - F.col("start_line") + 1
-    return found.filter((n >= min_lines) & (F.col("chars") >= min_chars)).select("item_id", "doc_id", "start_line", n.alias("n"))
-
-
 def visible_unique(out: DataFrame, source: DataFrame, *, min_chars: int = 8) -> DataFrame:
     """(item_id, doc_id, start_line, n): lines of ``min_chars`` or more, trimmed, that only one source line equals."""
     real = source.select("doc_id", F.col("line_no").alias("start_line"), F.trim("text").alias("t")).filter(F.length("t") >= min_chars)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import paths, records
-from tracelake.operators import documents
+from tracelake.operators import blocks, documents
 from tracelake.plans.views import DERIVED, frame, sql
 
 QUERIES: dict = {}
@@ -204,20 +206,31 @@ def visible_headered(spark, d):
     return documents.visible_numbered(below, src)
 
 
-DERIVED["d_block"] = """SELECT item_id, doc_id, min(s_line) AS start_line, max(s_line) - min(s_line) + 1 AS n, sum(length(trim(t))) AS chars FROM (
-    SELECT *, s_nb - row_number() OVER (PARTITION BY item_id, doc_id, dg, ng ORDER BY s_nb) AS run FROM (SELECT o.item_id, s.doc_id, o.t, s.line_no AS s_line, s.nb AS s_nb, s.line_no - o.line_no AS dg, s.nb - o.nb AS ng
-    FROM (SELECT item_id, line_no, rtrim(text) AS t, row_number() OVER (PARTITION BY item_id ORDER BY line_no) AS nb FROM v_out_lines WHERE trim(text) <> '') o JOIN (SELECT doc_id, line_no, rtrim(text) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS nb FROM v_doc_lines WHERE trim(text) <> '') s ON s.t = o.t))
-    GROUP BY item_id, doc_id, dg, ng, run HAVING max(s_line) > min(s_line) AND sum(length(trim(t))) >= 16"""
+_TRIM = "regexp_replace(text, '[\\x09-\\x0D ]+$', '')"
+#: Neighbouring lines; runs of equal ones in pairs that share a pair of lines; the runs of each round of the recursion, clipped at
+#: the longest one of their rectangle; its results.
+DERIVED |= {
+    "d_out_edge": f"SELECT * FROM (SELECT item_id, line_no AS b, {_TRIM} AS t, lead({_TRIM}) OVER (PARTITION BY item_id ORDER BY line_no) AS nx FROM v_out_lines) WHERE nx IS NOT NULL",
+    "d_doc_edge": f"SELECT * FROM (SELECT doc_id, line_no AS a, {_TRIM} AS t, lead({_TRIM}) OVER (PARTITION BY doc_id ORDER BY line_no) AS nx FROM v_doc_lines) WHERE nx IS NOT NULL",
+    "d_near": "SELECT DISTINCT item_id, doc_id FROM d_out_edge o JOIN d_doc_edge s ON o.t = s.t AND o.nx = s.nx WHERE o.t <> '' OR o.nx <> ''",
+    "d_run": """SELECT item_id, doc_id, min(a) AS a, min(b) AS b, count(*) + 1 AS n FROM (SELECT c.item_id, c.doc_id, a, b, a - row_number() OVER (PARTITION BY c.item_id, c.doc_id, a - b ORDER BY a) AS g
+        FROM d_near c JOIN d_out_edge o ON o.item_id = c.item_id JOIN d_doc_edge s ON s.doc_id = c.doc_id AND s.t = o.t AND s.nx = o.nx) GROUP BY item_id, doc_id, a - b, g""",
+    "d_round": """SELECT item_id, doc_id, 0 AS it, CAST(0 AS BIGINT) AS rect, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(n AS BIGINT) AS n FROM d_run UNION ALL
+        SELECT item_id, doc_id, it + 1, CASE WHEN l > 1 THEN rect ELSE i + k END, CASE WHEN l > 1 THEN a ELSE a + p END, CASE WHEN l > 1 THEN b ELSE b + p END, CASE WHEN l > 1 THEN l ELSE n - p END
+        FROM (SELECT *, least(n, i - a, j - b) AS l, greatest(0, i + k - a, j + k - b) AS p FROM (SELECT *, first_value(a) OVER w AS i, first_value(b) OVER w AS j, first_value(n) OVER w AS k FROM d_round WINDOW w AS (PARTITION BY item_id, doc_id, rect ORDER BY n DESC, a, b))) WHERE l > 1 OR n - p > 1""",
+    "d_block": f"""SELECT q.item_id, q.doc_id, q.a AS start_line, q.n FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id, it, rect ORDER BY n DESC, a, b) AS r FROM d_round) q JOIN v_doc_lines v ON v.doc_id = q.doc_id AND v.line_no BETWEEN q.a AND q.a + q.n - 1
+        WHERE r = 1 GROUP BY q.item_id, q.doc_id, q.a, q.n HAVING sum(length(regexp_replace({_TRIM}, '^[\\x09-\\x0D ]+', ''))) >= 16""",
+}
 DERIVED["d_unique"] = """SELECT DISTINCT o.item_id, s.doc_id, s.line_no AS start_line FROM v_out_lines o JOIN (SELECT trim(text) AS t, min(doc_id) AS doc_id, min(line_no) AS line_no FROM v_doc_lines WHERE length(trim(text)) >= 8 GROUP BY 1 HAVING count(*) = 1) s ON s.t = trim(o.text)"""
 
 
-DERIVED["d_shown_block"] = DERIVED["d_block"].replace("v_out_lines", "v_shown")
+DERIVED |= {n.replace("d_", "d_shown_", 1): re.sub(r"\bd_(out_edge|near|run|round)\b", r"d_shown_\1", DERIVED[n]).replace("v_out_lines", "v_shown") for n in ("d_out_edge", "d_near", "d_run", "d_round", "d_block")}
 
 
-@query("visible_blocks", "SELECT item_id, doc_id, start_line, n FROM d_shown_block")
+@query("visible_blocks", "WITH RECURSIVE z AS (SELECT 1) SELECT item_id, doc_id, start_line, n FROM d_shown_block")
 def visible_blocks(spark, d):
     """Outputs are the documents whose id is divisible by 20 without each fifth line, against all documents."""
-    return documents.visible_blocks(frame(spark, d, "v_shown"), frame(spark, d, "v_doc_lines"))
+    return blocks.matching_blocks(frame(spark, d, "v_shown"), frame(spark, d, "v_doc_lines"))
 
 
 @query("visible_unique", "SELECT item_id, doc_id, start_line, CAST(1 AS BIGINT) AS n FROM d_unique")
@@ -225,7 +238,7 @@ def visible_unique(spark, d):
     return documents.visible_unique(frame(spark, d, "v_out_lines"), frame(spark, d, "v_doc_lines"))
 
 
-@query("visible_lines", """WITH u AS (SELECT item_id, doc_id, unnest(range(start_line, start_line + n)) AS l FROM d_block UNION SELECT item_id, doc_id, start_line FROM d_unique
+@query("visible_lines", """WITH RECURSIVE u AS (SELECT item_id, doc_id, unnest(range(start_line, start_line + n)) AS l FROM d_block UNION SELECT item_id, doc_id, start_line FROM d_unique
     UNION SELECT b.item_id, d.doc_id, unnest(range(length(substr(d.text, 1, instr(d.text, b.text) - 1)) - length(replace(substr(d.text, 1, instr(d.text, b.text) - 1), chr(10), '')), length(substr(d.text, 1, instr(d.text, b.text) - 1)) - length(replace(substr(d.text, 1, instr(d.text, b.text) - 1), chr(10), '')) + length(b.text) - length(replace(b.text, chr(10), '')) + 1)) FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     g AS (SELECT *, l - row_number() OVER (PARTITION BY item_id, doc_id ORDER BY l) AS g FROM u) SELECT item_id, doc_id, min(l) AS start_line, max(l) AS end_line FROM g GROUP BY item_id, doc_id, g""")
 def visible_lines(spark, d):
@@ -233,7 +246,7 @@ def visible_lines(spark, d):
 
     src, out = frame(spark, d, "v_doc_lines"), frame(spark, d, "v_out_lines")
     full = visible_full(spark, d)
-    rest = documents.visible_blocks(out, src).join(full.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    rest = blocks.matching_blocks(out, src).join(full.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     return line_spans(full.unionByName(rest).unionByName(documents.visible_unique(out, src)), ["item_id", "doc_id"])
 
 

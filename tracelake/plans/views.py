@@ -45,7 +45,7 @@ def _render(text: str, dialect: dict[str, str]) -> str:
 
 def _needs(text: str, known: dict[str, str], got: dict[str, None]) -> None:
     for name in re.findall(r"\b\w+\b", text):
-        if name in known and name not in got:
+        if name in known and name not in got and known[name] != text:  # a recursive one names itself
             _needs(known[name], known, got)
             got[name] = None
 
