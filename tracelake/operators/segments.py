@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import intervals
+
 
 def _numbered(records: DataFrame, starts: Column, key: str) -> DataFrame:
     """Records with seg_no, a running count of boundary records; ``starts`` also holds at the first record."""
@@ -101,11 +103,12 @@ def asof(rows: DataFrame, segs: DataFrame, *, key: str = "session_id", at: str =
 def containing(rows: DataFrame, segs: DataFrame, *, key: str = "session_id", at: str = "at_ms", fallback: bool = False) -> DataFrame:
     """Rows (key, at) with the first segment whose time range holds ``at``; else null, or with
     ``fallback`` the last one that started before, else the first."""
-    inside = F.col(at).between(F.col("start_ms"), F.col("end_ms"))
-    pairs = rows.join(segs.select(F.col(key).alias("_k"), "seg_no", "start_ms", "end_ms"), F.col(key) == F.col("_k"), "left")
-    out = pairs.groupBy(key, at).agg(F.min(F.when(inside, F.col("seg_no"))).alias("in_seg"), F.max_by("seg_no", F.struct("start_ms", "seg_no")).alias("_any"), F.max(F.when(F.col("start_ms") <= F.col(at), F.struct("start_ms", "seg_no"))).alias("_last"), F.min("seg_no").alias("_first"))
-    seg = F.coalesce("in_seg", "_last.seg_no", "_first") if fallback else F.col("in_seg")
-    return out.select(key, at, seg.alias("seg_no"))
+    one = [key] if isinstance(key, str) else list(key)
+    out = intervals.covered_by(rows, segs, one, at, "start_ms", "end_ms", "seg_no")
+    if not fallback:
+        return out.select(key, at, "seg_no")
+    last = asof(out.withColumnRenamed("seg_no", "_in"), segs, key=key, at=at, start="start_ms")
+    return last.select(key, at, F.coalesce("_in", "seg_no").alias("seg_no"))
 
 
 def stalls(turns: DataFrame, *, key: str = "session_id") -> DataFrame:
@@ -125,9 +128,21 @@ def stalls(turns: DataFrame, *, key: str = "session_id") -> DataFrame:
 def time_accounts(pieces: DataFrame, segs: DataFrame, *, key: str = "session_id") -> DataFrame:
     """Duration, active and waiting milliseconds of each segment: stalls are capped at the duration,
     waiting (stalls that a user ended) at the stalls."""
-    over = F.greatest(F.lit(0), F.least(F.col("b_ms"), F.col("end_ms")) - F.greatest(F.col("a_ms"), F.col("start_ms")))
-    near = segs.join(pieces.select(key, "a_ms", "b_ms", "kind"), key, "left").withColumn("_o", F.coalesce(over, F.lit(0)))
-    sums = near.groupBy(key, "seg_no", "stage", "start_ms", "end_ms").agg(F.sum("_o").alias("_stall"), F.sum(F.when(F.col("kind") == "user", F.col("_o")).otherwise(0)).alias("_wait"))
+    # the overlap of [s, e] with all pieces is what x -> min(max(x, s), e) adds up to over their ends, less over their starts:
+    # it takes the sums over the points up to s and up to e
+    point = lambda c, sign: F.struct(F.col(c).alias("t"), F.lit(sign).alias("d"))
+    points = pieces.filter("b_ms > a_ms").select(key, "kind", F.inline(F.array(point("a_ms", -1), point("b_ms", 1))))
+    seg = F.struct("seg_no", "stage", "start_ms", "end_ms").alias("_seg")
+    ends = segs.select(key, seg, F.inline(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(True).alias("_low")), F.struct(F.col("end_ms").alias("t"), F.lit(False).alias("_low")))))
+    both = points.withColumn("_seg", F.lit(None).cast(ends.schema["_seg"].dataType)).withColumn("_low", F.lit(None).cast("boolean")).unionByName(ends.withColumn("kind", F.lit(None).cast("string")).withColumn("d", F.lit(0)))
+    both = both.withColumn("t0", F.min("t").over(Window.partitionBy(key)))
+    w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x, user = F.col("t") - F.col("t0"), F.when(F.col("kind") == "user", F.col("d")).otherwise(0)
+    sums = {"n": F.sum("d"), "s": F.sum(F.col("d") * x), "nu": F.sum(user), "su": F.sum(user * x)}
+    both = both.select(key, "_seg", "_low", x.alias("x"), *[c.over(w).cast("long").alias(n) for n, c in sums.items()]).filter("_seg is not null")
+    at = lambda c, low: F.max(F.when(F.col("_low") == low, F.col(c)))
+    over = lambda n, s: at("x", True) * at(n, True) + at(s, False) - at(s, True) - at("x", False) * at(n, False)
+    sums = both.groupBy(key, "_seg").agg(over("n", "s").alias("_stall"), over("nu", "su").alias("_wait")).select(key, "_seg.*", "_stall", "_wait")
     duration = F.col("end_ms") - F.col("start_ms")
     stall = F.least(F.col("_stall"), duration)
     return sums.select(key, "seg_no", "stage", duration.alias("duration_ms"), (duration - stall).alias("active_ms"), F.least(F.col("_wait"), stall).alias("wait_ms"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import pairs, usage
 from tracelake.plans.views import frame, sql
 from tracelake.sources import rollouts, transcripts
-from tracelake.streaming import live
+from tracelake.streaming import live, sessions
 from tracelake.streaming.shared import shared_folder
 
 QUERIES: dict = {}
@@ -128,15 +128,77 @@ def live_counts(spark, d):
     return live.snapshot(spark, written(spark, d), F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long").alias("session_id")).select("session_id", "records", "tool_calls", "prompts", "output_tokens")
 
 
-@query("live_snapshot")
+def agent_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(session_id, agent, idx, value): every event as a record of its session's main transcript (agent '') or of one of two agents."""
+    r = frame(spark, d, "v_rec")
+    stamp = F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    n = lambda c: F.col(c).cast("string")
+    call = F.concat(F.lit("t"), F.floor(F.col("idx") / 4).cast("string"))
+    said = lambda blocks, stop: F.struct(F.concat(F.lit("m"), F.floor(F.col("idx") / 3).cast("string")).alias("id"), F.lit("m1").alias("model"), F.array(blocks).alias("content"), F.lit(stop).alias("stop_reason"), F.struct(F.col("k").alias("output_tokens")).alias("usage"))
+    use = F.struct(F.lit("tool_use").alias("type"), call.alias("id"), F.lit("Read").alias("name"), F.struct(F.concat(F.lit("f"), n("k")).alias("file_path")).alias("input"))
+    got = F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), (F.col("k") % 10 == 0).alias("is_error"), F.lit("").alias("content"))
+    told = F.struct(F.struct((F.col("k") + 1).alias("startLine"), (F.col("k") % 40 + 1).alias("numLines")).alias("file"))
+    body = (
+        F.when(F.col("event_type") == "click", F.to_json(F.struct(stamp, F.lit("assistant").alias("type"), said(use, "tool_use").alias("message"))))
+        .when(F.col("event_type") == "view", F.to_json(F.struct(stamp, F.lit("user").alias("type"), F.struct(F.array(got).alias("content")).alias("message"), told.alias("toolUseResult"))))
+        .when(F.col("event_type") == "signup", F.to_json(F.struct(stamp, F.lit("user").alias("type"), F.lit("typed").alias("promptSource"), F.struct(F.concat(F.lit("do  it "), n("k")).alias("content")).alias("message"))))
+        .when(F.col("event_type") == "error", F.concat(F.lit("{broken "), n("idx")))
+        .otherwise(F.to_json(F.struct(stamp, F.lit("assistant").alias("type"), said(F.struct(F.lit("text").alias("type"), F.lit("ok").alias("text")), "end_turn").alias("message"))))
+    )
+    return r.select("session_id", (F.col("k") % 3).alias("agent"), "idx", body.alias("value"))
+
+
+def _followed(spark: SparkSession, d: str) -> str:
+    """The folder of live sessions that followed the transcripts of ``agent_lines`` to their end."""
+    root, out = f"{shared_folder(spark)}/agents-{uuid.uuid4().hex}", f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    lines = agent_lines(spark, d).repartition("session_id", "agent").sortWithinPartitions("session_id", "agent", "idx")
+    lines.select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("s"), "agent", "value").write.partitionBy("s", "agent").text(root)
+    agent = F.regexp_extract("path", "/agent=([0-9]+)/", 1)
+    named = F.regexp_extract("path", "/s=s([0-9]+)/", 1), F.when(agent == "0", "").otherwise(agent)
+    sessions.advance(spark, root, out, frame(spark, d, "v_inventory"), pattern=r"\.txt$", named=named)
+    return out
+
+
+_STREAMS = """WITH e AS (SELECT session_id, k % 3 AS agent, idx, event_type, k, 't' || (idx // 4) AS tid, 'm' || (idx // 3) AS mid FROM v_rec),
+    c AS (SELECT session_id, agent, tid, min(idx) AS c_idx, 'f' || arg_min(k, idx) AS path FROM e WHERE event_type = 'click' GROUP BY ALL),
+    d AS (SELECT c.session_id, c.agent, c.tid, c.path, arg_min(e.k, e.idx) AS k FROM c JOIN e ON e.session_id = c.session_id AND e.agent = c.agent AND e.tid = c.tid AND e.event_type = 'view' AND e.idx > c.c_idx GROUP BY ALL),
+    l AS (SELECT DISTINCT session_id, d.path, unnest(range(k + 1, least(k + k % 40 + 1, n_lines) + 1)) AS line FROM d JOIN (SELECT path, max(n_lines) AS n_lines FROM v_inventory GROUP BY path) i ON i.path = d.path WHERE k % 10 <> 0),
+    u AS (SELECT session_id, agent, mid, arg_max(k, idx) AS out_tok FROM e WHERE event_type NOT IN ('view', 'signup', 'error') GROUP BY ALL),
+    s AS (SELECT session_id, agent, count_if(event_type <> 'error') AS records, count_if(event_type = 'error') AS bad, count_if(event_type = 'signup' AND agent = 0) AS prompts,
+      CASE WHEN agent = 0 THEN CASE arg_max(event_type, idx) FILTER (WHERE event_type NOT IN ('view', 'error')) WHEN 'click' THEN 'running' WHEN 'signup' THEN 'running' ELSE CASE WHEN count_if(event_type NOT IN ('view', 'error')) > 0 THEN 'waiting' ELSE 'idle' END END
+        ELSE CASE WHEN coalesce(arg_max(event_type, idx) FILTER (WHERE event_type <> 'error'), 'click') IN ('click', 'view', 'signup') THEN 'running' ELSE 'completed' END END AS status FROM e GROUP BY session_id, agent)"""
+
+
+@query("live_snapshot", f"""{_STREAMS}
+    SELECT CAST(session_id AS VARCHAR) AS session_id, CASE WHEN count_if(agent > 0 AND status = 'running') > 0 THEN 'running' WHEN max(status) FILTER (WHERE agent = 0) IN ('running', 'waiting') THEN max(status) FILTER (WHERE agent = 0) ELSE 'idle' END AS status,
+    CAST(sum(records) AS BIGINT) AS records, CAST(sum(bad) AS BIGINT) AS bad_lines, CAST(sum(prompts) AS BIGINT) AS prompts, (SELECT count(*) FROM c WHERE c.session_id = s.session_id) AS tool_calls, (SELECT count(*) FROM c WHERE c.session_id = s.session_id) - (SELECT count(*) FROM d WHERE d.session_id = s.session_id) AS open_tools,
+    coalesce((SELECT count_if(k % 10 = 0) FROM d WHERE d.session_id = s.session_id), 0) AS failed, CAST(coalesce((SELECT sum(out_tok) FROM u WHERE u.session_id = s.session_id), 0) AS BIGINT) AS output_tokens, (SELECT count(*) FROM l WHERE l.session_id = s.session_id) AS covered_lines, (SELECT count(DISTINCT path) FROM l WHERE l.session_id = s.session_id) AS covered_files,
+    CAST(0 AS BIGINT) AS generation, 'session' AS stage, 0 AS version FROM s GROUP BY session_id""")
 def live_snapshot(spark, d):
-    """All columns of the live state with the version that wrote them."""
-    return live.snapshot(spark, written(spark, d), F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long").alias("session_id"))
+    """The snapshot of all sessions after a stream over their transcripts and those of their agents."""
+    s = sessions.snapshot(spark, _followed(spark, d))
+    return s.select("session_id", "status", "records", "bad_lines", "prompts", "tool_calls", "open_tools", "failed", "output_tokens", "covered_lines", "covered_files", "generation", "stage", F.col("version").cast("int").alias("version"))
+
+
+@query("live_agents", f"""{_STREAMS}
+    SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(agent AS VARCHAR) AS agent_id, status, (SELECT count(*) FROM c WHERE c.session_id = s.session_id AND c.agent = s.agent) AS tool_uses, CAST(coalesce((SELECT sum(out_tok) FROM u WHERE u.session_id = s.session_id AND u.agent = s.agent), 0) AS BIGINT) AS output_tokens,
+    row_number() OVER (PARTITION BY session_id ORDER BY status <> 'running', agent) AS place FROM s WHERE agent > 0""")
+def live_agents(spark, d):
+    """The agents of each session in the order in which the snapshot lists them: running ones first."""
+    s = sessions.snapshot(spark, _followed(spark, d)).select("session_id", F.posexplode("agents").alias("place", "a"))
+    return s.select("session_id", "a.agent_id", "a.status", "a.tool_uses", "a.output_tokens", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("live_events", f"""{_STREAMS}, v AS (SELECT session_id, 'agent' AS kind FROM (SELECT DISTINCT session_id, agent FROM e WHERE agent > 0) UNION ALL SELECT session_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'prompt' ELSE 'agent' END FROM e
+    WHERE event_type = 'error' OR (event_type = 'signup' AND agent = 0) OR (event_type NOT IN ('click', 'view', 'signup', 'error') AND agent > 0)) SELECT CAST(session_id AS VARCHAR) AS session_id, kind, count(*) AS n FROM v GROUP BY ALL""")
+def live_events(spark, d):
+    """How many events of each kind the stream gave for each session."""
+    return sessions.events(spark, _followed(spark, d)).groupBy("session_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("live_usage", "SELECT session_id, CAST(sum(k) AS BIGINT) AS output_tokens FROM (SELECT session_id, idx // 3 AS m, arg_max(k, idx) AS k FROM v_rec WHERE event_type = 'click' GROUP BY ALL) GROUP BY session_id")
 def live_usage(spark, d):
-    return live_snapshot(spark, d).filter("output_tokens > 0").select("session_id", "output_tokens")
+    return live.snapshot(spark, written(spark, d), F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long").alias("session_id")).filter("output_tokens > 0").select("session_id", "output_tokens")
 
 
 @query("tail_source", "SELECT session_id, count(*) AS lines FROM v_rec GROUP BY session_id")

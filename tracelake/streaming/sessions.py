@@ -325,9 +325,10 @@ def names(path: Column) -> tuple[Column, Column]:
     return F.when(inside != "", inside).otherwise(own), F.regexp_extract(path, r"/subagents/(?:.*/)?agent-([^/]+?)(?:\.meta)?\.jsonl?$", 1)
 
 
-def reduce(lines: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """The chained stateful operators over streaming lines (path, generation, byte, line); ``inventory`` has path, n_lines, is_code."""
-    session, agent = names(F.col("path"))
+def reduce(lines: DataFrame, inventory: DataFrame | None = None, named: tuple[Column, Column] | None = None) -> DataFrame:
+    """The chained stateful operators over streaming lines (path, generation, byte, line); ``inventory`` has path, n_lines,
+    is_code. ``named`` are session and agent of a path, if not those of ``names``."""
+    session, agent = named or names(F.col("path"))
     rows = lines.select("path", session.alias("session_id"), agent.alias("agent_id"), F.col("generation").cast("long").alias("generation"), "byte", "line")
     kind = {"outputMode": "append", "timeMode": "none"}
     rows = rows.groupBy("path").transformWithStateInPandas(StreamState(), ROW, **kind)
@@ -447,8 +448,8 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def advance(spark: SparkSession, root: str, folder: str, inventory: DataFrame | None = None, *, pattern: str = r"\.jsonl$", max_bytes: int | None = None) -> int:
+def advance(spark: SparkSession, root: str, folder: str, inventory: DataFrame | None = None, *, pattern: str = r"\.jsonl$", max_bytes: int | None = None, named: tuple[Column, Column] | None = None) -> int:
     """One step of following ``root``: poll, reduce what was landed, publish. The version of the snapshot."""
     landing.poll(spark, root, folder, pattern=pattern, max_bytes=max_bytes)
-    drain(reduce(landing.lines(spark, folder), inventory), folder)
+    drain(reduce(landing.lines(spark, folder), inventory, named), folder)
     return publish(spark, root, folder)
