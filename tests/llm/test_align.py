@@ -7,18 +7,18 @@ import random
 import numpy as np
 import pytest
 
-from tracelake.llm import align
+from tracelake.llm import align, bpe
 
 SCHEMA = "doc_id long, text string, row int, block string, pair int, n_a int"
 TEXTS = [
     None, "", " ", "a", "Hello  world\n\n x", "naïve café 字典 \U0001f600 é", "a▁b", "<|endoftext|> <s> </s> <unk> <0x41>",
-    "tab\tand\r\nline", "the the the the", "of the of the of the", "zzzz" * 700, "\x00\x01 \x85﻿ x", "1234567 89", " lead and trail ",
+    "tab\tand\r\nline", "the the the the", "of the of the of the", "zzzz" * 700, "newer \u1c89b \ua7cbx \U00010d50y", "\x00\x01 \x85﻿ x", "1234567 89", " lead and trail ",
 ]
 
 
 def plain(rows):
     p = align.pair(*align.paths())
-    letters = align.byte_letters()
+    letters = bpe.byte_letters()
     docs, total = [], collections.Counter()
     for i, t in rows:
         out = (i, 0, 0, [], [])
@@ -73,6 +73,14 @@ def test_equals_the_plain_alignment(spark, monkeypatch, block_bytes):
     assert sum(w[1] == 0 for w in want) >= 3 and sum(w[3] for w in want) > 500
 
 
+def test_cached_merging_gives_the_ids_of_the_library():
+    p, r = align.pair(*align.paths()), random.Random(8)
+    texts = [t for _, t in sample() if t] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x20, 0x2FFF), r.randrange(0xE000)]) or 65) if r.random() < 0.9 else r.choice([" ", "'s", "'ll", "\n"]) for _ in range(300)) for _ in range(150)]
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["ab" * 3000, "x" * 999 + " y"]
+    ids, n = p.encode_a([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in p.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_groups_cover_all_tokens(spark):
     rows = sample()
     got = align.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm import bpe
 from tracelake.llm import kernels as K
 from tracelake.llm.store import cut, table
 
@@ -45,35 +47,13 @@ A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 WORK = 1 << 14
 BLOCK_BYTES = 4 << 20
-#: Tokens whose bytes are put together at once.
-SLICE = 1 << 18
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-class Strings:
-    """Byte strings by number, to be put together for arrays of numbers."""
-
-    def __init__(self, strings: list[bytes]):
-        self.flat = np.frombuffer(b"".join(strings), np.uint8)
-        self.len = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.start = np.cumsum(self.len) - self.len
-
-    def join(self, ids: np.ndarray) -> np.ndarray:
-        out = []
-        for i in range(0, len(ids), SLICE):
-            x = ids[i : i + SLICE]
-            n = self.len[x]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(self.start[x] - ends + n, n) + np.arange(ends[-1])])
-        return np.concatenate(out) if out else np.empty(0, np.uint8)
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter by which byte-level vocabularies write each byte: printable Latin-1 stands for
-    itself, the others, in order, for the code points from 256."""
-    plain = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255]
-    others = [x for x in range(256) if x not in plain]
-    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
+@lru_cache(1)
+def _unnamed() -> np.ndarray:
+    """Code points without a category in Python's tables, for which the libraries' tables may know one."""
+    return np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
 
 
 class Pair:
@@ -87,17 +67,34 @@ class Pair:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters, vocab = byte_letters(), self.a.get_vocab()
-        names = [b""] * (max(vocab.values()) + 1)
-        for name, i in vocab.items():
-            names[i] = bytes(map(letters.__getitem__, name)) if all(c in letters for c in name) else name.encode()
+        self.own = bpe.encoder(a_path)
+        names = self.own.bytes_of
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.a_bytes = Strings(names)
-        self.b_bytes = Strings([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces])
-        self.digits = Strings([b"%d," % i for i in range(max(len(names), len(pieces)))])
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        self.a_bytes = self.own.strings
+        self.b_bytes = K.Strings([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces])
+        self.digits = K.Strings([b"%d," % i for i in range(max(len(names), len(pieces)))])
+
+    def encode_a(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has: by the cached merging of ``bpe`` with the merges of the file. Texts with a
+        code point that Python has no category for go through the library."""
+        buf, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        ids, _, upto, _, _ = self.own.encode(buf, off)
+        if (buf > 0xC2).any():
+            cp, at = bpe.code_points(buf)
+            odd = np.unique(np.searchsorted(off, at[_unnamed()[cp]], side="right") - 1)
+            if len(odd):
+                parts = np.split(ids, upto[1:-1])
+                for i, x in zip(odd.tolist(), self.a.encode_batch([texts[i].decode() for i in odd.tolist()], add_special_tokens=False), strict=True):
+                    parts[i] = np.array(x.ids, dtype=np.int32)
+                return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        return ids, np.diff(upto)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, how many each text has, and the same of B; an empty text has none."""
+        a, n_a = self.encode_a([b" " + t.encode() if t else b"" for t in texts])
+        b = self.b.encode(texts, num_threads=1)
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        return a.astype(np.int64), n_a, np.fromiter((i for x in b for i in x), np.int64, int(n_b.sum())), n_b
 
 
 @lru_cache(2)
@@ -150,11 +147,8 @@ class Aligned:
     """Tokens and groups of some texts: ``upto_*[k]`` tokens or groups come before text k."""
 
     def __init__(self, p: Pair, texts: list[str | None]):
-        n = len(texts)
-        a, b = p.encode([t or "" for t in texts])
+        a, n_a, b, n_b = p.encode([t or "" for t in texts])
         size = np.array([1 + len(t.encode()) if t else 0 for t in texts], dtype=np.int64)
-        n_a, n_b = np.fromiter(map(len, a), np.int64, n), np.fromiter(map(len, b), np.int64, n)
-        a, b = (np.fromiter((i for y in x for i in y), np.int64, int(m.sum())) for x, m in ((a, n_a), (b, n_b)))
 
         def spread(ok: np.ndarray):
             return a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
