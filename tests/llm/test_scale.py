@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -114,3 +115,30 @@ def test_stages_carry_columns_of_any_name(spark, tmp_path, stage):
     else:
         assert len(got) == len(data) and "text" not in out.columns
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_op9_edits_at_one_place_cost_the_same():
+    """200 inserts of 900 bytes at one place, in calls of their own and in one call."""
+    import random
+
+    from tracelake.llm import bpe, edit_counts
+
+    r = random.Random(2)
+    enc, word = bpe.encoder(bpe.rank_path()), lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(1, 7)))
+    text = " ".join(word() for _ in range(4000)).encode()
+    tree, costs, now = None, [], text
+    for k in range(200):
+        insert = " ".join(word() for _ in range(200)).encode()[:900]
+        at = 3000 + 13 * (k % 3)
+        got, trees, texts = edit_counts.count_edits(enc, [now], [[(at, at, insert)]], [tree])
+        now = now[:at] + insert + now[at:]
+        assert texts[0].read(0) == now
+        costs.append(got[0][4])
+        tree = edit_counts._unpack(trees[0].pack())
+    assert max(costs) <= 2 * costs[0] and max(tree.pre[tree.width :]) <= 2 * edit_counts.LEAF + 1
+    want = len(enc.encode(np.frombuffer(now, np.uint8), np.array([0, len(now)]))[0])
+    assert tree.tokens[1] == want
+    got, trees, texts = edit_counts.count_edits(enc, [text], [[(3000, 3000, b" again and again" * 60)] * 100], [None])
+    assert got[0][4] < 100 * 3 * costs[0]
+    whole = texts[0].read(0)
+    assert got[0][1] == len(enc.encode(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0])

@@ -80,6 +80,12 @@ class Tree:
     def bytes_in(self, leaf: int) -> int:
         return self.size[leaf + self.width]
 
+    def with_leaves(self, a: int, b: int, parts: list[tuple[int, int, int]]) -> Tree:
+        """A tree with ``parts`` (size, tokens, pre-tokens) in place of the leaves a .. b; empty leaves go."""
+        w = self.width
+        old = list(zip(self.size[w : w + self.n], self.tokens[w : w + self.n], self.pre[w : w + self.n], strict=True))
+        leaves = [x for x in (*old[:a], *parts, *old[b + 1 :]) if x[0]]
+        return Tree(*map(list, zip(*leaves, strict=True)))
 
     def pack(self) -> bytes:
         """The leaves that hold bytes."""
@@ -175,25 +181,30 @@ def count_edits(enc: bpe.Encoder, texts: list[bytes], edits: list[list[tuple[int
                 regions[k].b = trees[todo[k]].n - 1
             for k, c in zip(late, _encode(enc, [(regions[k].body, b"") for k in late]), strict=True):
                 counts[k] = c
-        for i, g, (tokens, n) in zip(todo, regions, counts, strict=True):
+        for i, g, (sizes, tokens) in zip(todo, regions, counts, strict=True):
+            again[i] += len(sizes)
+            if len(sizes) > 2 * LEAF:  # a leaf that has grown is split, so an edit costs no more for those before it
+                heads = np.arange(0, len(sizes), LEAF)
+                held = np.diff(np.append(heads, len(sizes)))
+                parts = zip(*(x.tolist() for x in (np.add.reduceat(sizes, heads), np.add.reduceat(tokens, heads), held)), strict=True)
+                trees[i] = trees[i].with_leaves(g.a, g.b, list(parts))
+                continue
             for leaf in range(g.a + 1, g.b + 1):
                 if trees[i].bytes_in(leaf):
                     trees[i].put(leaf, 0, 0, 0)
-            trees[i].put(g.a, len(g.body), tokens, n)
-            again[i] += n
+            trees[i].put(g.a, len(g.body), int(tokens.sum()), len(sizes))
     return [(before[i], trees[i].tokens[1], len(edits[i]), pre[i], again[i]) for i in range(len(texts))], trees, now
 
 
-def _encode(enc: bpe.Encoder, parts: list[tuple[bytes, bytes]]) -> list[tuple[int, int] | None]:
-    """(tokens, pre-tokens) of each body before its tail; None if no pre-token starts with the tail."""
+def _encode(enc: bpe.Encoder, parts: list[tuple[bytes, bytes]]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Bytes and tokens of the pre-tokens of each body before its tail; None if no pre-token starts with the tail."""
     whole = [a + b for a, b in parts]
     off = np.append(0, np.cumsum([len(x) for x in whole]))
     _, _, _, s, n = enc.encode(np.frombuffer(b"".join(whole), dtype=np.uint8), off)
-    sums = np.append(0, np.cumsum(n))
     out = []
     for i, (a, b) in enumerate(parts):
         lo, cut = np.searchsorted(s, [off[i], off[i] + len(a)])
-        out.append((int(sums[cut] - sums[lo]), int(cut - lo)) if not b or (cut < len(s) and s[cut] == off[i] + len(a)) else None)
+        out.append((np.diff(np.append(s[lo:cut], off[i] + len(a))), n[lo:cut]) if not b or (cut < len(s) and s[cut] == off[i] + len(a)) else None)
     return out
 
 
