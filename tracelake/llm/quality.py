@@ -45,7 +45,8 @@ BEST = 2
 MAX_STEPS = 30
 #: Change of a log determinant under which a start has converged.
 SETTLED = 1e-3
-MIN_GROUP = 200
+#: Rows of a group with an estimate of its own: 20 for each feature.
+MIN_GROUP = 60
 CONFIDENCE = 0.9999
 #: Added to each variance; those of real texts are 1e-3 and more.
 RIDGE = 1e-6
