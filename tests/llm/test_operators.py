@@ -465,3 +465,18 @@ def test_op10_odd_rows(odd, empty, spark):
     assert len(got) == odd.count() and all(c == want.get(d) for d, c in got)
     assert jaccard.components(empty).count() == 0
     assert jaccard.jaccard_stage(spark, empty, "").columns == empty.columns
+
+
+def test_text_ids(spark, rows, docs):
+    """Operators that pack documents keep the type of doc_id."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("u-"), F.col("doc_id").cast("string")))
+    want = {f"u-{k}": v for k, v in by_id(suffix.dedup(docs)).items()}
+    got = by_id(suffix.dedup(named))
+    assert {k: tuple(v)[1:] for k, v in got.items()} == {k: tuple(v)[1:] for k, v in want.items()}
+    assert set(by_id(lm.score(named))) == set(want)
+    own = {f"u-{k}": v.n_shingles for k, v in by_id(jaccard.components(docs, 3, 90)).items()}
+    linked = by_id(jaccard.components(named, 3, 90))
+    assert {k: v.n_shingles for k, v in linked.items()} == own and all(v.component_id in own for v in linked.values())
+    small = spark.createDataFrame([("b", "one two three four", "x"), ("a", "one two three four", "x"), (None, None, "x")], "doc_id string, text string, k string")
+    assert {r.doc_id: r.component_id for r in jaccard.components(small, 3, 90).collect()} == {"a": "a", "b": "a", None: None}
+    assert [r.doc_id for r in jaccard.jaccard_stage(spark, small.filter("doc_id is not null"), "").collect()] == ["a"]

@@ -10,6 +10,7 @@ distinct items that the number of buckets bounds.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -60,6 +61,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_ids(ids: pa.Array) -> bytes:
+    """doc_ids of any type, as strings; null stays null."""
+    return json.dumps(ids.to_pylist()).encode()
+
+
+def unpack_ids(blob: bytes) -> list[str | None]:
+    return json.loads(blob)
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """Counts as bytes where they fit."""
     top = a.max() if len(a) else 0

@@ -37,6 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.llm import counts as C
 from tracelake.llm import kernels as K
@@ -88,7 +89,7 @@ def _least(n, percent: int):
 
 def members(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, key1, key2) of each row."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
+    src = docs.select("doc_id", F.col("text").cast("string").alias("t"))
 
     def run(batches):
         for batch in batches:
@@ -98,7 +99,7 @@ def members(docs: DataFrame, width: int) -> DataFrame:
                 cat = [np.concatenate([getattr(x, a) for x in sets]) for a in ("size", "key1", "key2")]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cat)], names=["doc_id", "n_shingles", "key1", "key2"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long")
+    return src.mapInArrow(run, T.StructType([src.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "key1", "key2")]]))
 
 
 def _pack(docs: DataFrame, n_blocks: int, width: int) -> DataFrame:
@@ -337,7 +338,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each component the document with the smallest doc_id, once."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     gone = components(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti")
+    left = rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti")
     many = docs.groupBy(F.col("doc_id").alias("many")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and many is not null").select("many")
     if not many.isEmpty():
         one = left.join(many, F.col("row.doc_id") == F.col("many"), "left_semi")

@@ -74,7 +74,7 @@ def _block_tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
         lens = np.frombuffer(r["lens"], np.int64)
         buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["texts"]), np.uint8)
         off = np.append(0, np.cumsum(lens))
-        ids += np.frombuffer(r["ids"], np.int64).tolist()
+        ids += C.unpack_ids(r["ids"])
         for i, _, b, o in K.chunks(buf, off):
             h, d = tokens(b, o)
             hs.append(h)
@@ -87,12 +87,12 @@ def _block_tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
 
 def blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, cls, ids, lens, texts): documents packed by block; a block has documents of one class.
-    ids are doc_id, or row numbers that stand in for null ids."""
+    ids are the doc_ids as strings."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     cls = F.least(fold, F.lit(2)).cast("int")
     own = F.when(cls == 2, F.lit(max(1, n_blocks * (FOLDS - 2) // FOLDS))).otherwise(F.lit(max(1, n_blocks // FOLDS)))
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), own) * 3 + cls
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), cls.alias("cls"), block.cast("long").alias("block"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("string").alias("id"), cls.alias("cls"), block.cast("long").alias("block"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -101,20 +101,17 @@ def blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
                 continue
             block = batch.column(2).to_numpy(zero_copy_only=False)
             cls = batch.column(1).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
+            ids = batch.column(0).take(pa.array(order))
             buf, off = K.texts(batch.column(3).take(pa.array(order)))
             head = np.flatnonzero(np.diff(block[order], prepend=-1))
             ends = np.append(head[1:], len(order))
-            out = [(int(block[order[a]]), int(cls[order[a]]), ids[order[a:z]].astype(np.int64).tobytes(), np.diff(off[a : z + 1]).astype(np.int64).tobytes(), press.compress(buf[off[a] : off[z]].tobytes())) for a, z in zip(head, ends, strict=True)]
+            out = [(int(block[order[a]]), int(cls[order[a]]), C.pack_ids(ids.slice(a, z - a)), np.diff(off[a : z + 1]).astype(np.int64).tobytes(), press.compress(buf[off[a] : off[z]].tobytes())) for a, z in zip(head, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "cls", "ids", "lens", "texts"])
 
     return src.mapInArrow(run, "block long, cls int, ids binary, lens binary, texts binary")
 
 
-_NO_ID = -(1 << 63)
-
-
 def _bucket(c: np.ndarray) -> np.ndarray:
     """Bucket of a context frequency: 0, 1, 2-3, 4-7, ..."""
     return np.minimum(np.where(c > 0, np.log2(np.maximum(c, 1)).astype(np.int64) + 1, 0), BUCKETS - 1)
@@ -189,12 +186,12 @@ def score(docs: DataFrame) -> DataFrame:
         w = a[_bucket(ch)]
         p = w[:, 0] * c2 / np.maximum(ch, 1) + w[:, 1] * cw / max(n, 1) + w[:, 2] / (v + 1)
         cols = [np.bincount(doc, minlength=m), np.bincount(doc, weights=cw > 0, minlength=m).astype(np.int64), np.bincount(doc, weights=base, minlength=m), np.bincount(doc, weights=np.log10(p), minlength=m)]
-        none = np.array(ids, dtype=np.int64) == _NO_ID
         held_out = np.full(m, key[0].as_py() % 3 == TEST)
-        return pa.table({"doc_id": pa.array(np.array(ids, dtype=np.int64), pa.int64(), mask=none), "held_out": held_out, "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": cols[2], "score": cols[3]})
+        return pa.table({"doc_id": pa.array(ids, pa.string()), "held_out": held_out, "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": cols[2], "score": cols[3]})
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("block").cogroup(told.filter("block >= 0").drop("cls").groupBy("block")).applyInArrow(scored, out)
+    out = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rows = packed.groupBy("block").cogroup(told.filter("block >= 0").drop("cls").groupBy("block")).applyInArrow(scored, out)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

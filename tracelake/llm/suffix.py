@@ -48,7 +48,6 @@ HOT = 4096
 #: Distances to the anchor in one part of a split segment.
 STEP = 41
 END = 0xFF
-_NO_ID = -(1 << 63)
 _U = np.uint64
 _BOTH = _U(0x9FB21C651E98DF25)
 #: Bytes of texts whose anchors are found at a time: its arrays stay in a core's cache.
@@ -58,7 +57,7 @@ CHUNK = 1 << 17
 def _packed(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, ids, lens, texts): documents packed by block."""
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(n_blocks))
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), block.alias("block"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("string").alias("id"), block.alias("block"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -66,23 +65,23 @@ def _packed(docs: DataFrame, n_blocks: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             block = batch.column(1).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
+            ids = batch.column(0).take(pa.array(order))
             buf, off = K.texts(batch.column(2).take(pa.array(order)))
             head = np.flatnonzero(np.diff(block[order], prepend=-1))
-            out = [(int(block[order[a]]), ids[order[a:z]].tobytes(), np.diff(off[a : z + 1]).tobytes(), press.compress(buf[off[a] : off[z]].tobytes())) for a, z in zip(head, np.append(head[1:], len(order)), strict=True)]
+            out = [(int(block[order[a]]), C.pack_ids(ids.slice(a, z - a)), np.diff(off[a : z + 1]).tobytes(), press.compress(buf[off[a] : off[z]].tobytes())) for a, z in zip(head, np.append(head[1:], len(order)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "ids", "lens", "texts"])
 
     return src.mapInArrow(run, "block long, ids binary, lens binary, texts binary")
 
 
-def _block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
     """(bytes, offsets, ids) of a block."""
     parts = sorted(rows.select(["ids", "lens", "texts"]).to_pylist(), key=lambda r: (r["ids"], r["lens"]))
     lens = [np.frombuffer(r["lens"], np.int64) for r in parts]
     buf = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["texts"]) for r in parts), np.uint8)
     off = np.append(0, np.cumsum(np.concatenate(lens))) if lens else np.zeros(1, np.int64)
-    return buf, off, np.concatenate([np.frombuffer(r["ids"], np.int64) for r in parts]) if parts else np.empty(0, np.int64)
+    return buf, off, [x for r in parts for x in C.unpack_ids(r["ids"])]
 
 
 def anchors(b: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -279,9 +278,10 @@ def _apply(docs: DataFrame, tell, column: str, kind: pa.DataType) -> DataFrame:
         kept = buf[~gone]
         ends = np.append(0, np.cumsum(~gone))[off]
         out = [tell(kept[a:z].tobytes()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == _NO_ID), name: pa.array(out, kind), "n_bytes": np.diff(off), "n_removed": np.diff(sums[0]), "n_spans": np.diff(sums[1])})
+        return pa.table({"doc_id": pa.array(ids, pa.string()), name: pa.array(out, kind), "n_bytes": np.diff(off), "n_removed": np.diff(sums[0]), "n_spans": np.diff(sums[1])})
 
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"doc_id long, {column}, n_bytes long, n_removed long, n_spans long")
+    out = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"doc_id string, {column}, n_bytes long, n_removed long, n_spans long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
