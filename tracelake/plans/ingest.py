@@ -55,8 +55,8 @@ def written(spark: SparkSession, d: str) -> str:
     return path
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.scan(spark, written(spark, d)).withColumn("session_id", F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long"))
+def _records(spark: SparkSession, d: str, raw: bool = False) -> DataFrame:
+    return transcripts.scan(spark, written(spark, d), raw=raw).withColumn("session_id", F.regexp_extract("path", "/s=s([0-9]+)/", 1).cast("long"))
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
@@ -103,9 +103,9 @@ def markers(spark, d):
     return transcripts.markers(_messages(spark, d), "session_id").select("session_id", "idx")
 
 
-@query("record_text", f"SELECT session_id, n AS idx, 'do  it ' || k || chr(10) || 'typed' || chr(10) || strftime(epoch_ms(t_ms), '%Y-%m-%dT%H:%M:%S.%gZ') || chr(10) || 'user' AS text FROM ({_TRACE}) WHERE event_type = 'signup'")
+@query("record_text", f"SELECT session_id, n AS idx, strftime(epoch_ms(t_ms), '%Y-%m-%dT%H:%M:%S.%gZ') || chr(10) || 'user' || chr(10) || 'typed' || chr(10) || 'do  it ' || k AS text FROM ({_TRACE}) WHERE event_type = 'signup'")
 def record_text(spark, d):
-    rows = _records(spark, d).filter(transcripts.text("rec", "$.promptSource") == "typed")
+    rows = _records(spark, d, raw=True).filter(transcripts.text("rec", "$.promptSource") == "typed")
     return transcripts.record_text(rows, ["session_id", "idx"])
 
 

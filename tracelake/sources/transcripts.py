@@ -16,15 +16,23 @@ FORK_MARKER = "You are an agent in a team of agents"
 SNIPPET = 220
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, line_no, idx, rec): parsable lines of all files below ``root`` in file order. line_no is the
-    physical line, idx counts parsable records; both from 0. Blank and broken lines only take a line_no."""
+def scan(spark: SparkSession, root: str, *, raw: bool = False) -> DataFrame:
+    """(path, line_no, idx, rec, with ``raw`` also value): parsable lines of all files below ``root`` in file order. line_no is the
+    physical line, idx counts parsable records; both from 0. Blank and broken lines only take a line_no.
+    Lines are numbered inside the blocks in which Spark reads a file, and a block begins at the sums of those before
+    it: a huge file is as many tasks as it has blocks."""
     lines = spark.read.option("recursiveFileLookup", "true").text(root)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"), F.trim("value").alias("value"))
-    w = Window.partitionBy("path").orderBy("_block", "_mid")
-    rows = rows.withColumn("line_no", F.row_number().over(w).cast("long") - 1).withColumn("rec", F.try_parse_json("value"))
-    ok = rows.filter(F.schema_of_variant("rec").startswith("OBJECT"))
-    return ok.select("path", "line_no", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")).cast("long") - 1).alias("idx"), "rec")
+    rows = rows.withColumn("rec", F.try_parse_json("value")).select("path", "_block", "_mid", "rec", *(["value"] if raw else [])).repartition("path", "_block")
+    ok = F.coalesce(F.schema_of_variant("rec").startswith("OBJECT"), F.lit(False))
+    # the same columns as below, so that Spark reads and parses once for both
+    sums = rows.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.count_if(ok).alias("_k"), F.max("_mid").alias("_mid"), *([F.max("value").alias("value")] if raw else []))
+    before = Window.partitionBy("path").orderBy("_block")
+    sums = sums.select(F.col("path").alias("_p"), F.col("_block").alias("_b"), (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_k").over(before) - F.col("_k")).alias("_k0"))
+    w = Window.partitionBy("path", "_block").orderBy("_mid")
+    own = rows.withColumn("_ok", ok).withColumn("_line", F.row_number().over(w).cast("long") - 1).withColumn("_i", F.count_if("_ok").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).filter("_ok")
+    out = own.join(sums, (F.col("path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return out.select("path", (F.col("_line") + F.col("_n0")).alias("line_no"), (F.col("_i") + F.col("_k0")).alias("idx"), "rec", *(["value"] if raw else []))
 
 
 def text(col: str, path: str, kind: str = "string") -> Column:
@@ -193,11 +201,11 @@ NO_TEXT = ("thinking", "signature")
 TEXT_DEPTH, TEXT_PARTS = 8, 181
 
 
-def record_text(records: DataFrame, keys: list[str], col: str = "rec") -> DataFrame:
-    """(keys, text): the strings of each record that are not blank, trimmed, one a line; those under NO_TEXT keys
-    or deeper than TEXT_DEPTH are left out, and those behind the first TEXT_PARTS. Fields come in the order of
-    their names, as a VARIANT keeps them. One narrow step for each level of nesting."""
-    level = records.select(*keys, F.array().cast("array<int>").alias("_at"), F.col(col).alias("_v"))
+def record_text(records: DataFrame, keys: list[str], col: str = "rec", raw: str = "value") -> DataFrame:
+    """(keys, text): the strings of each record that are not blank, trimmed, one a line, in the order of the record; those under
+    NO_TEXT keys or deeper than TEXT_DEPTH are left out, and those behind the first TEXT_PARTS. A VARIANT sorts its
+    fields, so it gives the types, and the JSON text beside it the order. One narrow step for each level of nesting."""
+    level = records.select(*keys, F.array().cast("array<int>").alias("_at"), F.col(col).alias("_v"), F.col(raw).alias("_t"))
     found = None
     for depth in range(TEXT_DEPTH + 1):
         kind = F.schema_of_variant("_v")
@@ -206,7 +214,13 @@ def record_text(records: DataFrame, keys: list[str], col: str = "rec") -> DataFr
         if depth < TEXT_DEPTH:
             named = ", ".join(f"t.`{k}`" for k in keys)
             skip = ", ".join(f"'{k}'" for k in NO_TEXT)
-            level = records.sparkSession.sql(f"SELECT {named}, array_append(t._at, e.pos) AS _at, e.value AS _v FROM {{t}} t, LATERAL variant_explode(t._v) e WHERE e.key IS NULL OR e.key NOT IN ({skip})", t=level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+            below = level.withColumn("_m", F.when(kind.startswith("OBJECT"), F.from_json("_t", "map<string,string>"))).withColumn("_l", F.when(kind.startswith("ARRAY"), F.from_json("_t", "array<string>")))
+            below = below.withColumn("_keys", F.json_object_keys(F.when(kind.startswith("OBJECT"), F.col("_t"))))
+            level = records.sparkSession.sql(
+                f"""SELECT {named}, array_append(t._at, CASE WHEN e.key IS NULL THEN e.pos ELSE CAST(array_position(t._keys, e.key) AS INT) END) AS _at, e.value AS _v,
+                CASE WHEN e.key IS NULL THEN get(t._l, e.pos) ELSE try_element_at(t._m, e.key) END AS _t FROM {{t}} t, LATERAL variant_explode(t._v) e WHERE e.key IS NULL OR e.key NOT IN ({skip})""",
+                t=below.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")),
+            )
     parts = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), 1, TEXT_PARTS)
     return found.groupBy(*keys).agg(F.array_join(parts, "\n").alias("text"))
 
