@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import digest as digests
 from tracelake.operators import lineage, pairs, replay, segments, usage
 from tracelake.plans.core import pieces, seg
 from tracelake.plans.views import DERIVED, frame, sql
@@ -136,9 +137,12 @@ def output_by_stage(spark, d):
     return made.join(own, ["lineage", "stage"], "left").select("lineage", "stage", "written", "files", "agents", F.coalesce("final_lines", F.lit(0)).alias("final_lines"))
 
 
-@query("lineage_stats", """WITH a AS (SELECT lineage, count(DISTINCT path) AS read_files, count(DISTINCT session_id) AS readers, CAST(sum(n) AS BIGINT) AS lines_cum FROM d_read WHERE n > 0 GROUP BY lineage),
+DERIVED["d_stats"] = """WITH a AS (SELECT lineage, count(DISTINCT path) AS read_files, count(DISTINCT session_id) AS readers, CAST(sum(n) AS BIGINT) AS lines_cum FROM d_read WHERE n > 0 GROUP BY lineage),
     b AS (SELECT lineage, count(DISTINCT path) AS in_files, count(DISTINCT path || ':' || l) AS in_lines FROM d_in GROUP BY lineage), w AS (SELECT lineage, count(*) AS writes, count(DISTINCT path) AS written_files, count(DISTINCT session_id) AS writers FROM v_write GROUP BY lineage)
-    SELECT a.lineage, read_files, readers, lines_cum, coalesce(in_files, 0) AS in_files, coalesce(in_lines, 0) AS in_lines, coalesce(writes, 0) AS writes, coalesce(written_files, 0) AS written_files, coalesce(writers, 0) AS writers FROM a LEFT JOIN b USING (lineage) LEFT JOIN w USING (lineage)""")
+    SELECT a.lineage, read_files, readers, lines_cum, coalesce(in_files, 0) AS in_files, coalesce(in_lines, 0) AS in_lines, coalesce(writes, 0) AS writes, coalesce(written_files, 0) AS written_files, coalesce(writers, 0) AS writers FROM a LEFT JOIN b USING (lineage) LEFT JOIN w USING (lineage)"""
+
+
+@query("lineage_stats", "SELECT * FROM d_stats")
 def lineage_stats(spark, d):
     r = reads(spark, d).filter("n > 0")
     a = r.groupBy("lineage").agg(F.count_distinct("path").alias("read_files"), F.count_distinct("session_id").alias("readers"), F.sum("n").alias("lines_cum"))
@@ -243,13 +247,31 @@ def trace_document(spark, d):
     return out.select(k, F.to_json(F.struct("totals", "stages", "tools", "billing", "context_timeline")).alias("trace"))
 
 
-@query("context_digest")
+def _names(c: str, most: int) -> str:
+    return f"""CASE WHEN len({c}) > 0 THEN '["' || array_to_string(CASE WHEN len({c}) > {most} THEN list_append({c}[1 : {most}], '… ' || (len({c}) - {most}) || ' more') ELSE {c} END, '","') || '"]' ELSE '[]' END"""
+
+
+DERIVED |= {
+    "d_edge": """SELECT lineage, path, coalesce(list(CAST(session_id AS VARCHAR) ORDER BY session_id) FILTER (WHERE k = 'r'), []) AS rd, coalesce(list(CAST(session_id AS VARCHAR) ORDER BY session_id) FILTER (WHERE k = 'w'), []) AS wr
+        FROM (SELECT DISTINCT lineage, path, session_id, 'r' AS k FROM d_read UNION SELECT DISTINCT lineage, path, session_id, 'w' FROM v_write) WHERE session_id NOT IN (SELECT session_id FROM d_dropped) GROUP BY ALL""",
+    "d_final": f"{_FOLD} SELECT lineage, path, arg_max(lines, n) AS lines FROM x GROUP BY lineage, path",
+    "d_outputs": f"""SELECT f.lineage, list('{{"path":"' || f.path || '","final_lines":' || f.lines || ',"writers":' || {_names("wr", 12)} || '}}' ORDER BY f.lines DESC, f.path) AS o FROM d_final f LEFT JOIN d_edge e ON e.lineage = f.lineage AND e.path = f.path GROUP BY f.lineage""",
+    "d_documents": f"""SELECT lineage, list('{{"path":"' || path || '","read_by":' || {_names("rd", 12)} || '}}' ORDER BY path) AS s FROM d_edge WHERE len(rd) > 0 GROUP BY lineage""",
+    "d_unread": "SELECT s.lineage, list(i.path ORDER BY i.path) AS u FROM (SELECT DISTINCT lineage FROM d_read) s, v_inventory i WHERE NOT EXISTS (SELECT 1 FROM d_read r WHERE r.lineage = s.lineage AND lower(r.path) = lower(i.path)) GROUP BY s.lineage",
+    "d_parts": "SELECT t.lineage, (t.lineage + 1) * 4000 AS b, '{\"counts\":{' || " + " || ',' || ".join(f"'\"{c}\":' || t.{c}" for c in ("read_files", "readers", "lines_cum", "in_files", "in_lines", "writes", "written_files", "writers")) + """ || '},"produced_files":[' AS h, coalesce(o, []) AS o, coalesce(s, []) AS s, coalesce(u, []) AS u
+        FROM d_stats t LEFT JOIN d_outputs p ON p.lineage = t.lineage LEFT JOIN d_documents q ON q.lineage = t.lineage LEFT JOIN d_unread r ON r.lineage = t.lineage""",
+    "d_texts": f"""SELECT lineage, b, h || array_to_string(o, ',') || '],"documents":[' || array_to_string(s, ',') || '],"unread_sample":' || {_names("u", 80)} || '}}' AS one,
+        h || array_to_string(o[1 : 40], ',') || '],"documents":[' || array_to_string(s, ',') || '],"unread_sample":' || {_names("u", 30)} || ',"context_truncated":true}}' AS two,
+        h || array_to_string(o[1 : 40], ',') || '],"documents":[' || array_to_string(s[1 : 50], ',') || '],"unread_sample":' || {_names("u", 30)} || ',"context_truncated":true}}' AS three FROM d_parts""",
+}
+
+
+@query("context_digest", "SELECT lineage, CASE WHEN length(one) <= b THEN one WHEN length(two) <= b THEN two WHEN length(three) <= b THEN three ELSE substr(three, 1, b - 9) || chr(10) || '… [cut]' || chr(10) END AS digest, length(one) > b AS truncated FROM d_texts")
 def context_digest(spark, d):
-    """A bounded JSON digest of each lineage: counts, largest outputs, unread files with how many more."""
-    out = replay.final_lines(frame(spark, d, "v_write"), ["lineage", "path"], ["t_ms", "session_id", "idx"])
-    rank = F.row_number().over(Window.partitionBy("lineage").orderBy(F.desc("final_lines"), "path"))
-    top = out.withColumn("r", rank).filter("r <= 40").groupBy("lineage").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path", "final_lines"))), lambda x: F.struct(x["path"].alias("path"), x["final_lines"].alias("lines"))).alias("outputs"))
-    miss = unread_files(spark, d).groupBy("lineage").agg(F.array_sort(F.collect_list("path")).alias("_u")).select("lineage", F.concat(F.slice("_u", 1, 30), F.when(F.size("_u") > 30, F.array(F.concat(F.lit("… "), (F.size("_u") - 30).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))).alias("unread"))
-    stats = lineage_stats(spark, d)
-    rows = stats.join(top, "lineage", "left").join(miss, "lineage", "left")
-    return rows.select("lineage", F.to_json(F.struct(F.struct(*stats.columns).alias("counts"), "outputs", "unread")).alias("digest"))
+    """A JSON digest of each lineage within its own budget, which grows with the number of the lineage so that every way of cutting is met."""
+    writes = frame(spark, d, "v_write")
+    out = replay.final_lines(writes, ["lineage", "path"], ["t_ms", "session_id", "idx"])
+    names = lambda df, name: df.join(_dropped(spark, d), "session_id", "left_anti").groupBy("lineage", "path").agg(F.transform(F.array_sort(F.collect_set("session_id")), lambda x: x.cast("string")).alias(name))
+    made = out.join(names(writes, "writers"), ["lineage", "path"], "left").select("lineage", "path", "final_lines", F.coalesce("writers", F.array().cast("array<string>")).alias("writers"))
+    seen = names(reads(spark, d), "read_by").select("lineage", "path", "read_by")
+    return digests.bounded(lineage_stats(spark, d), made, seen, unread_files(spark, d), budget=(F.col("lineage") + 1) * 4000, most_budget=40000)
