@@ -12,6 +12,10 @@ from tracelake.sources.transcripts import FORK_MARKER, SNIPPET, block_text, ms,
 COUNTERS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
 
 
+#: The type of an agent that was started without a task name.
+NAMELESS_AGENT = "agent"
+
+
 def files(records: DataFrame) -> DataFrame:
     """One row for each file: id, session_id, cwd, parent, agent_path, depth, from its first record."""
     first = records.groupBy("path").agg(F.min("line_no").alias("line_no"))
@@ -133,6 +137,6 @@ def tools(made: DataFrame, metas: DataFrame) -> DataFrame:
     said = F.coalesce(get("message"), F.lit(""))
     # a message that starts like this is encrypted (fixed value)
     said = F.when(said.startswith("gAAAA"), F.coalesce(get("task_name"), F.lit(""))).otherwise(F.substring(said, 1, 240))
-    out = out.unionByName(row(rest, F.when(agent, "Agent").otherwise(F.col("name")), R.tool_brief(F.col("_args")), F.lit(0), agent_type=F.when(agent, F.coalesce(F.nullif(get("task_name"), F.lit("")), F.lit("codex-subagent"))), agent_desc=F.when(agent, said)))
+    out = out.unionByName(row(rest, F.when(agent, "Agent").otherwise(F.col("name")), R.tool_brief(F.col("_args")), F.lit(0), agent_type=F.when(agent, F.coalesce(F.nullif(get("task_name"), F.lit("")), F.lit(NAMELESS_AGENT))), agent_desc=F.when(agent, said)))
     seq = F.row_number().over(Window.partitionBy("path").orderBy("idx", "name", "_part")).cast("long") - 1
     return out.withColumn("seq", seq).drop("_part")
