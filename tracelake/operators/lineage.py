@@ -12,11 +12,11 @@ def joined(c: str | Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(c)), ",")
 
 
-def accumulate(reads: DataFrame, keys: list[str], source: str | None = None) -> DataFrame:
+def accumulate(reads: DataFrame, keys: list[str], source: str | None = None, total: str | None = None) -> DataFrame:
     """Per keys (with the path): reads, cumulative lines with repeats, lines once, last line touched, and the
-    names in the column ``source``, if one is named."""
+    names in the column ``source`` and the largest length of the file in the column ``total``, if they are named."""
     ok = reads.filter("n > 0")
-    more = [joined(source).alias("sources")] if source else []
+    more = ([joined(source).alias("sources")] if source else []) + ([F.max(total).alias("max_total")] if total else [])
     cum = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("reads"), F.sum("n").alias("lines_cum"), F.max(F.col("start_line") + F.col("n") - 1).alias("last_line"), *more)
     once = intervals.line_spans(ok, keys).groupBy(*keys).agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines_dedup"))
     return cum.join(once, keys)
@@ -76,10 +76,11 @@ def stage_view(reads: DataFrame, inventory: DataFrame, keys: list[str], agent: s
     return cum.join(once, keys, "left").join(touched, keys, "left").fillna(0, ["lines_dedup", "code_lines", "lines_touched"])
 
 
-def handoff(segs: DataFrame, writes: DataFrame, *, key: str = "session_id", spec: str = "plan") -> DataFrame:
-    """(key, cut): the first segment of the spec stage, else the first in which something was written."""
+def handoff(segs: DataFrame, writes: DataFrame, *, key: str = "session_id", spec: str = "plan", by_agent: Column | None = None) -> DataFrame:
+    """(key, cut): the first segment of the spec stage, else the first in which a sub-agent wrote; ``by_agent`` tells which
+    writes are a sub-agent's, without it all are."""
     first_spec = segs.filter(F.col("stage") == spec).groupBy(key).agg(F.min("seg_no").alias("_a"))
-    first_write = writes.groupBy(key).agg(F.min("seg_no").alias("_b"))
+    first_write = (writes if by_agent is None else writes.filter(by_agent)).groupBy(key).agg(F.min("seg_no").alias("_b"))
     return segs.select(key).distinct().join(first_spec, key, "left").join(first_write, key, "left").select(key, F.coalesce("_a", "_b").alias("cut")).filter("cut is not null")
 
 

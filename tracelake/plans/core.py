@@ -47,7 +47,13 @@ DERIVED |= {
     "d_busy": "SELECT session_id, min(a_ms) AS a_ms, max(b_ms) AS b_ms FROM d_busy_run GROUP BY session_id, run",
     "d_free": """SELECT session_id, b_ms AS fa, coalesce(lead(a_ms) OVER (PARTITION BY session_id ORDER BY a_ms), 9000000000000000) AS fb FROM d_busy UNION ALL SELECT session_id, 0, min(a_ms) FROM d_busy GROUP BY session_id
         UNION ALL SELECT DISTINCT session_id, 0, 9000000000000000 FROM v_rec WHERE session_id NOT IN (SELECT session_id FROM v_busy)""",
-    "d_pieces": """SELECT s.session_id, greatest(a_ms, fa) AS a_ms, least(b_ms, fb) AS b_ms, kind, idx FROM d_stalls s JOIN d_free f ON f.session_id = s.session_id WHERE least(b_ms, fb) > greatest(a_ms, fa)""",
+    "d_all_stalls": "SELECT session_id, a_ms, b_ms, kind, idx FROM d_stalls UNION ALL SELECT session_id, t_ms, t_ms + dur_ms, 'user', NULL FROM d_pair WHERE name = 'tool4' AND dur_ms > 0",
+    "d_all_busy": """WITH b AS (SELECT session_id, t_ms AS a_ms, t_ms + dur_ms AS b_ms FROM d_pair WHERE name <> 'tool4' AND dur_ms > 0 UNION ALL SELECT session_id, a_ms, b_ms FROM v_busy WHERE b_ms > a_ms),
+        r AS (SELECT session_id, a_ms, b_ms, sum(n) OVER (PARTITION BY session_id ORDER BY a_ms, b_ms ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN a_ms <= max(b_ms) OVER (PARTITION BY session_id ORDER BY a_ms, b_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM b))
+        SELECT session_id, min(a_ms) AS a_ms, max(b_ms) AS b_ms FROM r GROUP BY session_id, run""",
+    "d_all_free": """SELECT session_id, b_ms AS fa, coalesce(lead(a_ms) OVER (PARTITION BY session_id ORDER BY a_ms), 9000000000000000) AS fb FROM d_all_busy UNION ALL SELECT session_id, 0, min(a_ms) FROM d_all_busy GROUP BY session_id
+        UNION ALL SELECT DISTINCT session_id, 0, 9000000000000000 FROM v_rec WHERE session_id NOT IN (SELECT session_id FROM d_all_busy)""",
+    "d_pieces": """SELECT s.session_id, greatest(a_ms, fa) AS a_ms, least(b_ms, fb) AS b_ms, kind, idx FROM d_all_stalls s JOIN d_all_free f ON f.session_id = s.session_id WHERE least(b_ms, fb) > greatest(a_ms, fa)""",
     "d_pair": """SELECT c.session_id, c.tool_id, c.idx, c.t_ms, c.name, r.ok, CASE WHEN r.t_ms IS NOT NULL THEN greatest(0, r.t_ms - c.t_ms) END AS dur_ms FROM v_call c LEFT JOIN
         (SELECT session_id, tool_id, arg_max(ok, idx) AS ok, arg_max(t_ms, idx) AS t_ms FROM v_result GROUP BY ALL) r ON r.session_id = c.session_id AND r.tool_id = c.tool_id""",
     "d_edge": """SELECT session_id % 10 AS lineage, session_id, path, idx, t_ms, kind, val FROM v_write""",
@@ -203,20 +209,25 @@ def stalls(spark, d):
     return segments.stalls(frame(spark, d, "v_turn"))
 
 
-@query("question_windows", "SELECT session_id, a_ms, b_ms, kind, idx FROM d_stalls UNION ALL SELECT session_id, t_ms, t_ms + dur_ms, 'user', NULL FROM d_pair WHERE name = 'tool4' AND dur_ms > 0")
+def _tools(spark, d) -> DataFrame:
+    return pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result"))
+
+
+@query("question_windows", "SELECT session_id, a_ms, b_ms, kind, idx FROM d_all_stalls")
 def question_windows(spark, d):
     """Closed turns, and the questions (here tool4) that wait for the user."""
-    tools = pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result"))
-    return segments.stalls(frame(spark, d, "v_turn")).unionByName(segments.question_stalls(tools, question="tool4"))
+    return segments.stalls(frame(spark, d, "v_turn")).unionByName(segments.question_stalls(_tools(spark, d), question="tool4"))
 
 
-@query("busy_windows", """WITH b AS (SELECT session_id, t_ms AS a_ms, t_ms + dur_ms AS b_ms FROM d_pair WHERE name <> 'tool4' AND dur_ms > 0 UNION ALL SELECT session_id, a_ms, b_ms FROM v_busy WHERE b_ms > a_ms),
-    r AS (SELECT session_id, a_ms, b_ms, sum(n) OVER (PARTITION BY session_id ORDER BY a_ms, b_ms ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN a_ms <= max(b_ms) OVER (PARTITION BY session_id ORDER BY a_ms, b_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM b))
-    SELECT session_id, min(a_ms) AS a_ms, max(b_ms) AS b_ms FROM r GROUP BY session_id, run""")
+def _busy(spark, d) -> DataFrame:
+    lives = frame(spark, d, "v_busy").select("session_id", F.col("a_ms").alias("start_ms"), F.col("b_ms").alias("end_ms"))
+    return segments.busy(_tools(spark, d), lives, question="tool4")
+
+
+@query("busy_windows", "SELECT session_id, a_ms, b_ms FROM d_all_busy")
 def busy_windows(spark, d):
     """Merged time of tools but for questions, and of agents."""
-    lives = frame(spark, d, "v_busy").select("session_id", F.col("a_ms").alias("start_ms"), F.col("b_ms").alias("end_ms"))
-    return intervals.union(segments.busy(pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result")), lives, question="tool4"), ["session_id"], "a_ms", "b_ms")
+    return intervals.union(_busy(spark, d), ["session_id"], "a_ms", "b_ms")
 
 
 @query("busy_union", "SELECT session_id, a_ms, b_ms FROM d_busy")
@@ -225,7 +236,8 @@ def busy_union(spark, d):
 
 
 def pieces(spark, d) -> DataFrame:
-    return intervals.subtract(segments.stalls(frame(spark, d, "v_turn")), frame(spark, d, "v_busy"), ["session_id"], "a_ms", "b_ms")
+    """Stalls of turns and questions, without the time in which tools or agents were at work."""
+    return intervals.subtract(question_windows(spark, d), _busy(spark, d), ["session_id"], "a_ms", "b_ms")
 
 
 @query("interval_subtract", "SELECT session_id, a_ms, b_ms, kind FROM d_pieces")
@@ -233,13 +245,13 @@ def interval_subtract(spark, d):
     return pieces(spark, d).select("session_id", "a_ms", "b_ms", "kind")
 
 
-@query("prompt_wait", "SELECT session_id, idx, CAST(sum(b_ms - a_ms) AS BIGINT) AS wait_ms FROM d_pieces WHERE kind = 'user' GROUP BY ALL")
+@query("prompt_wait", "SELECT session_id, idx, CAST(sum(b_ms - a_ms) AS BIGINT) AS wait_ms FROM d_pieces WHERE kind = 'user' AND idx IS NOT NULL GROUP BY ALL")
 def prompt_wait(spark, d):
-    return pieces(spark, d).filter("kind = 'user'").groupBy("session_id", "idx").agg(F.sum(F.col("b_ms") - F.col("a_ms")).alias("wait_ms"))
+    return pieces(spark, d).filter("kind = 'user' and idx is not null").groupBy("session_id", "idx").agg(F.sum(F.col("b_ms") - F.col("a_ms")).alias("wait_ms"))
 
 
 DERIVED["d_time"] = """SELECT s.session_id, s.seg_no, s.stage, s.end_ms - s.start_ms AS duration_ms,
-    CAST(coalesce(sum(greatest(0, least(p.b_ms, s.end_ms) - greatest(p.a_ms, s.start_ms))), 0) AS BIGINT) AS st, CAST(coalesce(sum(CASE WHEN p.kind = 'user' THEN greatest(0, least(p.b_ms, s.end_ms) - greatest(p.a_ms, s.start_ms)) END), 0) AS BIGINT) AS wa
+    CAST(coalesce(sum(greatest(0, least(p.b_ms, s.end_ms) - greatest(p.a_ms, s.start_ms))) FILTER (WHERE p.a_ms IS NOT NULL), 0) AS BIGINT) AS st, CAST(coalesce(sum(CASE WHEN p.kind = 'user' THEN greatest(0, least(p.b_ms, s.end_ms) - greatest(p.a_ms, s.start_ms)) END), 0) AS BIGINT) AS wa
     FROM d_seg s LEFT JOIN d_pieces p ON p.session_id = s.session_id GROUP BY s.session_id, s.seg_no, s.stage, s.start_ms, s.end_ms"""
 
 
@@ -339,18 +351,22 @@ def stage_rollup(spark, d):
 @query("session_totals", """WITH r AS (SELECT session_id, count(*) AS n, max(t_ms) - min(t_ms) AS span_ms, count_if(event_type = 'error') AS errors FROM v_rec GROUP BY session_id),
     p AS (SELECT session_id, count(*) AS calls, count_if(ok = false) AS fails, count(DISTINCT name) AS tools FROM d_pair GROUP BY session_id),
     u AS (SELECT session_id, CAST(sum(out_tok) AS BIGINT) AS o, count(*) AS q, max(inp + cread + cw5 + cw1h) AS peak FROM d_settled GROUP BY session_id),
-    f AS (SELECT session_id, count(DISTINCT path) AS files FROM v_write GROUP BY session_id), t AS (SELECT session_id, CAST(sum(duration_ms - least(st, duration_ms)) AS BIGINT) AS active_ms, CAST(sum(least(wa, st, duration_ms)) AS BIGINT) AS wait_ms, count(*) AS stages FROM d_time GROUP BY session_id)
-    SELECT r.session_id, r.n AS n_records, r.span_ms, r.errors, coalesce(calls, 0) AS tool_calls, coalesce(fails, 0) AS fails, coalesce(tools, 0) AS tools, o AS output_tokens, q AS requests, peak AS ctx_peak, coalesce(files, 0) AS files_touched, active_ms, wait_ms, stages
-    FROM r LEFT JOIN p USING (session_id) LEFT JOIN u USING (session_id) LEFT JOIN f USING (session_id) LEFT JOIN t USING (session_id)""")
+    f AS (SELECT session_id, count(DISTINCT path) AS files FROM v_write GROUP BY session_id), q AS (SELECT session_id, CAST(sum(dur_ms) AS BIGINT) AS question_ms FROM d_pair WHERE name = 'tool4' AND dur_ms > 0 GROUP BY session_id), a AS (SELECT session_id, count(*) AS agents, count_if(k % 10 = 0) AS aborted_agents, CAST(coalesce(sum(k) FILTER (WHERE k % 10 = 0), 0) AS BIGINT) AS waste_output_tokens FROM v_rec WHERE event_type = 'purchase' GROUP BY session_id), t AS (SELECT session_id, CAST(sum(duration_ms - least(st, duration_ms)) AS BIGINT) AS active_ms, CAST(sum(least(wa, st, duration_ms)) AS BIGINT) AS wait_ms, count(*) AS stages FROM d_time GROUP BY session_id)
+    SELECT r.session_id, r.n AS n_records, r.span_ms, r.errors, coalesce(calls, 0) AS tool_calls, coalesce(fails, 0) AS fails, coalesce(tools, 0) AS tools, o AS output_tokens, q AS requests, peak AS ctx_peak, coalesce(files, 0) AS files_touched, active_ms, wait_ms, stages, coalesce(question_ms, 0) AS question_ms, coalesce(agents, 0) AS agents, coalesce(aborted_agents, 0) AS aborted_agents, coalesce(waste_output_tokens, 0) AS waste_output_tokens
+    FROM r LEFT JOIN q USING (session_id) LEFT JOIN a USING (session_id) LEFT JOIN p USING (session_id) LEFT JOIN u USING (session_id) LEFT JOIN f USING (session_id) LEFT JOIN t USING (session_id)""")
 def session_totals(spark, d):
+    """Purchases are agents; one whose number of tokens is divisible by ten broke off."""
     k = "session_id"
     r = frame(spark, d, "v_rec").groupBy(k).agg(F.count(F.lit(1)).alias("n_records"), (F.max("t_ms") - F.min("t_ms")).alias("span_ms"), F.count_if(F.col("event_type") == "error").alias("errors"))
     p = pairs.pair(frame(spark, d, "v_call"), frame(spark, d, "v_result")).groupBy(k).agg(F.count(F.lit(1)).alias("tool_calls"), F.count_if(~F.col("ok")).alias("fails"), F.count_distinct("name").alias("tools"))
     u = usage.settle(frame(spark, d, "v_usage")).groupBy(k).agg(F.sum("out_tok").alias("output_tokens"), F.count(F.lit(1)).alias("requests"), F.max(F.col("inp") + F.col("cread") + F.col("cw5") + F.col("cw1h")).alias("ctx_peak"))
     f = frame(spark, d, "v_write").groupBy(k).agg(F.count_distinct("path").alias("files_touched"))
     t = segments.time_accounts(pieces(spark, d), seg(spark, d)).groupBy(k).agg(F.sum("active_ms").alias("active_ms"), F.sum("wait_ms").alias("wait_ms"), F.count(F.lit(1)).alias("stages"))
-    out = r.join(p, k, "left").join(u, k, "left").join(f, k, "left").join(t, k, "left")
-    return out.fillna(0, ["tool_calls", "fails", "tools", "files_touched"])
+    q = segments.question_stalls(_tools(spark, d), question="tool4").groupBy(k).agg(F.sum(F.col("b_ms") - F.col("a_ms")).alias("question_ms"))
+    lives = frame(spark, d, "v_rec").filter("event_type = 'purchase'").select(k, F.when(F.col("k") % 10 == 0, "interrupted").alias("aborted"), F.col("k").alias("output_tokens"))
+    a = agents.waste(lives, k).select(k, "agents", "aborted_agents", "waste_output_tokens")
+    out = r.join(p, k, "left").join(u, k, "left").join(f, k, "left").join(t, k, "left").join(q, k, "left").join(a, k, "left")
+    return out.fillna(0, ["tool_calls", "fails", "tools", "files_touched", "question_ms", "agents", "aborted_agents", "waste_output_tokens"])
 
 
 DERIVED["d_agent"] = """WITH e AS (SELECT session_id, CASE WHEN arg_max(event_type, idx) <> 'purchase' THEN 'interrupted' WHEN arg_max(k, idx) % 2 = 0 THEN 'api_error' END AS aborted FROM v_rec GROUP BY session_id),

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import pairs, usage
-from tracelake.plans.views import frame, sql
-from tracelake.sources import rollouts, transcripts
+from tracelake.plans.views import DERIVED, frame, sql
+from tracelake.sources import calls, rollouts, transcripts
 from tracelake.streaming import live, sessions
 from tracelake.streaming.shared import shared_folder
 
@@ -71,9 +71,12 @@ def transcript_scan(spark, d):
     return _messages(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("records"), F.max("idx").alias("last_idx"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
 
 
-@query("transcript_tools", f"""WITH t AS ({_TRACE}), u AS (SELECT session_id, 't' || (idx // 4) AS tool_id, max(n) AS idx, arg_max('tool' || k, n) AS name, arg_max('f' || k, n) AS brief, arg_max(t_ms, n) AS t_ms FROM t WHERE event_type = 'click' GROUP BY ALL),
+DERIVED["d_transcript_tools"] = f"""WITH t AS ({_TRACE}), u AS (SELECT session_id, 't' || (idx // 4) AS tool_id, max(n) AS idx, arg_max('tool' || k, n) AS name, arg_max('f' || k, n) AS brief, arg_max(t_ms, n) AS t_ms FROM t WHERE event_type = 'click' GROUP BY ALL),
     r AS (SELECT session_id, 't' || (idx // 4) AS tool_id, arg_max(k % 10 <> 0, n) AS ok, arg_max(t_ms, n) AS r_ms FROM t WHERE event_type = 'view' GROUP BY ALL)
-    SELECT u.session_id, u.tool_id, u.idx, name, brief, ok, CASE WHEN r_ms IS NOT NULL THEN greatest(0, r_ms - u.t_ms) END AS dur_ms FROM u LEFT JOIN r ON r.session_id = u.session_id AND r.tool_id = u.tool_id""")
+    SELECT u.session_id, u.tool_id, u.idx, name, brief, ok, CASE WHEN r_ms IS NOT NULL THEN greatest(0, r_ms - u.t_ms) END AS dur_ms FROM u LEFT JOIN r ON r.session_id = u.session_id AND r.tool_id = u.tool_id"""
+
+
+@query("transcript_tools", "SELECT * FROM d_transcript_tools")
 def transcript_tools(spark, d):
     m = _messages(spark, d)
     return pairs.pair(transcripts.tool_uses(m, "session_id"), transcripts.tool_results(m, "session_id")).select("session_id", "tool_id", "idx", "name", "brief", "ok", "dur_ms")
@@ -258,13 +261,16 @@ def _rollouts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rollouts.local(rec, metas), metas
 
 
-@query("rollout_tools", """WITH o AS (SELECT session_id, idx // 4 AS c, arg_max(k % 3 = 0, idx) AS ok FROM v_rec WHERE event_type = 'view' GROUP BY ALL),
+DERIVED["d_rollout_tools"] = """WITH o AS (SELECT session_id, idx // 4 AS c, arg_max(k % 3 = 0, idx) AS ok FROM v_rec WHERE event_type = 'view' GROUP BY ALL),
     t AS (SELECT session_id, idx + 1 AS idx, 0 AS part, 'PowerShell' AS name, 'cat f' || k || ' /skills/s1/SKILL.md' AS brief, 's1' AS skills, NULL AS agent_type, NULL AS agent_desc, NULL AS kind, NULL AS val, idx // 4 AS c FROM v_rec WHERE event_type = 'click'
       UNION ALL SELECT session_id, idx + 1, 1, 'Write', 'p' || k || '.ts', NULL, NULL, NULL, 'set', 2, NULL FROM v_rec WHERE event_type = 'purchase' AND k % 2 = 0
       UNION ALL SELECT session_id, idx + 1, 2, 'Edit', 'q.ts', NULL, NULL, NULL, 'delta', -1, NULL FROM v_rec WHERE event_type = 'purchase' AND k % 2 = 0
       UNION ALL SELECT session_id, idx + 1, 0, 'exec', 'let x = ' || k, NULL, NULL, NULL, NULL, NULL, NULL FROM v_rec WHERE event_type = 'purchase' AND k % 2 = 1
       UNION ALL SELECT session_id, idx + 1, 0, CASE WHEN k % 2 = 0 THEN 'Agent' ELSE 'update_plan' END, 'f' || k, NULL, CASE WHEN k % 2 = 0 THEN 'w' || k END, CASE WHEN k % 2 = 0 THEN 'do ' || k END, NULL, NULL, NULL FROM v_rec WHERE event_type = 'signup')
-    SELECT t.session_id, row_number() OVER (PARTITION BY t.session_id ORDER BY idx, name, part) - 1 AS seq, idx, name, brief, skills, agent_type, agent_desc, kind, val, o.ok FROM t LEFT JOIN o ON o.session_id = t.session_id AND o.c = t.c""")
+    SELECT t.session_id, row_number() OVER (PARTITION BY t.session_id ORDER BY idx, name, part) - 1 AS seq, idx, name, brief, skills, agent_type, agent_desc, kind, val, o.ok FROM t LEFT JOIN o ON o.session_id = t.session_id AND o.c = t.c"""
+
+
+@query("rollout_tools", "SELECT * FROM d_rollout_tools")
 def rollout_tools(spark, d):
     """The tool table of rollout files: shell calls, files of patches, scripts, agents and plain calls in one order."""
     rows, metas = _rollouts(spark, d)
@@ -279,3 +285,57 @@ def rollout_usage(spark, d):
     rows, metas = _rollouts(spark, d)
     own = rollouts.counters(rows).join(metas.select("path", "id"), "path").select(F.col("id").cast("long").alias("session_id"), "idx", F.col("output_tokens").alias("total"))
     return usage.deltas(own)
+
+
+def _calls(spark, d) -> DataFrame:
+    """The calls of the session files and of the rollout files that are written from the events, in one table."""
+    rows, metas = _rollouts(spark, d)
+    return calls.table(calls.of_sessions(_messages(spark, d), "session_id"), calls.of_rollouts(rollouts.tools(rollouts.calls(rows), metas), metas))
+
+
+@query("call_table", """SELECT 'session' AS format, CAST(session_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS seq, idx, name, brief, ok, kind, val FROM (SELECT *, NULL AS kind, NULL AS val FROM d_transcript_tools)
+    UNION ALL SELECT 'rollout', CAST(session_id AS VARCHAR), seq, idx, name, brief, ok, kind, val FROM d_rollout_tools""")
+def call_table(spark, d):
+    """Tool calls of both formats with the same columns."""
+    return _calls(spark, d).select("format", "session_id", "seq", "idx", "name", "brief", "ok", "kind", "val")
+
+
+@query("call_rollup", """SELECT format, name, count(*) AS calls, coalesce(count_if(ok = false), 0) AS fails, count(DISTINCT session_id) AS sessions, CAST(coalesce(sum(val) FILTER (WHERE kind = 'set'), 0) AS BIGINT) AS set_lines FROM
+    (SELECT 'session' AS format, session_id, name, ok, NULL AS kind, 0 AS val FROM d_transcript_tools UNION ALL SELECT 'rollout', session_id, name, ok, kind, val FROM d_rollout_tools) GROUP BY ALL""")
+def call_rollup(spark, d):
+    """A rollup over both formats."""
+    set_lines = F.coalesce(F.sum(F.when(F.col("kind") == "set", F.col("val"))), F.lit(0)).alias("set_lines")
+    return _calls(spark, d).groupBy("format", "name").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("fails"), F.count_distinct("session_id").alias("sessions"), set_lines)
+
+
+@query("call_lineage", """SELECT 'w:' || brief AS path, string_agg(DISTINCT CAST(session_id AS VARCHAR), ',' ORDER BY CAST(session_id AS VARCHAR)) AS writers, count(*) AS writes FROM d_rollout_tools WHERE kind IS NOT NULL GROUP BY brief
+    UNION ALL SELECT 'r:' || brief, string_agg(DISTINCT CAST(session_id AS VARCHAR), ',' ORDER BY CAST(session_id AS VARCHAR)), count(*) FROM d_transcript_tools WHERE ok GROUP BY brief""")
+def call_lineage(spark, d):
+    """Who wrote and who saw a file, from the one table: patches of rollouts, and results of sessions' calls."""
+    t = _calls(spark, d)
+    from tracelake.operators.lineage import joined
+
+    side = lambda df, tag: df.groupBy(F.concat(F.lit(tag), "brief").alias("path")).agg(joined("session_id").alias("writers"), F.count(F.lit(1)).alias("writes"))
+    return side(t.filter("kind is not null"), "w:").unionByName(side(t.filter("format = 'session' and ok"), "r:"))
+
+
+@query("result_output", f"""SELECT session_id, n AS idx, CASE WHEN k % 3 <> 0 THEN ' out ' || k WHEN k % 2 = 1 THEN 'std ' || k || chr(10) || 'err ' || k || chr(10) ELSE chr(10) || chr(10) || 'err ' || k || chr(10) END AS output FROM ({_TRACE}) WHERE event_type = 'view'""")
+def result_output(spark, d):
+    """The whole text of each result: its own, or what went to both streams."""
+    return transcripts.tool_results(_messages(spark, d), "session_id").select("session_id", "idx", "output")
+
+
+@query("inherited_stage", """WITH RECURSIVE n AS (SELECT id, CASE WHEN id = 1 THEN NULL ELSE parent END AS parent, CASE WHEN id % 3 = 1 THEN label END AS own FROM v_tree), t AS (SELECT id, own AS stage FROM n WHERE parent IS NULL UNION ALL SELECT n.id, coalesce(n.own, t.stage) FROM t JOIN n ON n.parent = t.id) SELECT id, stage FROM t""")
+def inherited_stage(spark, d):
+    """Every third customer has a stage of its own, the others that of the nearest one above them."""
+    from tracelake.operators.agents import inherit_stage
+
+    t = frame(spark, d, "v_tree").select("id", F.when(F.col("id") != 1, F.col("parent")).alias("parent"), F.lit(0).alias("level"), "label")
+    return inherit_stage(t, t.filter("id % 3 = 1").select("id", F.col("label").alias("stage"))).select("id", "stage")
+
+
+@query("head_digest", "SELECT doc_id, sha1(substr(text, 1, 128)) AS head FROM documents WHERE length(text) = strlen(text)")
+def head_digest(spark, d):
+    """The signature of the first bytes, for the documents in ASCII."""
+    docs = frame(spark, d, "documents").filter("char_length(text) = octet_length(text)")
+    return docs.select("doc_id", F.sha1(F.substring(F.col("text").cast("binary"), 1, 128)).alias("head"))

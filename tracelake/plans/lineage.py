@@ -70,9 +70,9 @@ def probe_only(spark, d):
     return probed.join(seen, on, "left_anti").groupBy("lineage", "stage").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("read_accum", "SELECT session_id, path, count(*) FILTER (WHERE l = start_line) AS reads, count(*) AS lines_cum, max(l) AS last_line, count(DISTINCT l) AS lines_dedup, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM (SELECT session_id, path, event_type, start_line, unnest(range(start_line, start_line + n)) AS l FROM v_read_span WHERE n > 0) GROUP BY session_id, path")
+@query("read_accum", "SELECT session_id, path, count(*) FILTER (WHERE l = start_line) AS reads, count(*) AS lines_cum, max(l) AS last_line, count(DISTINCT l) AS lines_dedup, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, max(total) AS max_total FROM (SELECT session_id, path, event_type, start_line, start_line + idx AS total, unnest(range(start_line, start_line + n)) AS l FROM v_read_span WHERE n > 0) GROUP BY session_id, path")
 def read_accum(spark, d):
-    return lineage.accumulate(reads(spark, d), ["session_id", "path"], "event_type")
+    return lineage.accumulate(reads(spark, d).withColumn("total", F.col("start_line") + F.col("idx")), ["session_id", "path"], "event_type", "total")
 
 
 def _dropped(spark, d) -> DataFrame:
@@ -151,11 +151,12 @@ def lineage_stats(spark, d):
     return a.join(b, "lineage", "left").join(w, "lineage", "left").fillna(0, ["writes", "written_files", "writers"])
 
 
-@query("handoff_gap", """WITH c AS (SELECT s.session_id, coalesce(min(s.seg_no) FILTER (WHERE s.stage = 'plan'), (SELECT min(seg_no) FROM d_write_seg w WHERE w.session_id = s.session_id)) AS cut FROM d_seg s GROUP BY s.session_id),
+@query("handoff_gap", """WITH c AS (SELECT s.session_id, coalesce(min(s.seg_no) FILTER (WHERE s.stage = 'plan'), (SELECT min(seg_no) FROM d_write_seg w WHERE w.session_id = s.session_id AND w.path <> 'w0')) AS cut FROM d_seg s GROUP BY s.session_id),
     r AS (SELECT DISTINCT r.session_id, cut, path, seg_no <= cut AS up FROM d_read_seg r JOIN c ON c.session_id = r.session_id WHERE cut IS NOT NULL), l AS (SELECT session_id, cut, path FROM r GROUP BY ALL HAVING bool_and(up))
     SELECT session_id, cut, count(*) AS lost_files, string_agg(path, ',' ORDER BY path) AS lost FROM l GROUP BY session_id, cut""")
 def handoff_gap(spark, d):
-    cuts = lineage.handoff(seg(spark, d), write_segs(spark, d))
+    """What is written to w0 is written by the main thread, the rest by sub-agents."""
+    cuts = lineage.handoff(seg(spark, d), write_segs(spark, d), by_agent=F.col("path") != "w0")
     return lineage.lost(read_segs(spark, d), cuts).groupBy("session_id", "cut").agg(F.count(F.lit(1)).alias("lost_files"), lineage.joined("path").alias("lost"))
 
 
@@ -252,11 +253,11 @@ def _names(c: str, most: int) -> str:
 
 
 DERIVED |= {
-    "d_edge": """SELECT lineage, path, coalesce(list(CAST(session_id AS VARCHAR) ORDER BY session_id) FILTER (WHERE k = 'r'), []) AS rd, coalesce(list(CAST(session_id AS VARCHAR) ORDER BY session_id) FILTER (WHERE k = 'w'), []) AS wr
+    "d_linked": """SELECT lineage, path, coalesce(list(CAST(session_id AS VARCHAR) ORDER BY session_id) FILTER (WHERE k = 'r'), []) AS rd, coalesce(list(CAST(session_id AS VARCHAR) ORDER BY session_id) FILTER (WHERE k = 'w'), []) AS wr
         FROM (SELECT DISTINCT lineage, path, session_id, 'r' AS k FROM d_read UNION SELECT DISTINCT lineage, path, session_id, 'w' FROM v_write) WHERE session_id NOT IN (SELECT session_id FROM d_dropped) GROUP BY ALL""",
     "d_final": f"{_FOLD} SELECT lineage, path, arg_max(lines, n) AS lines FROM x GROUP BY lineage, path",
-    "d_outputs": f"""SELECT f.lineage, list('{{"path":"' || f.path || '","final_lines":' || f.lines || ',"writers":' || {_names("wr", 12)} || '}}' ORDER BY f.lines DESC, f.path) AS o FROM d_final f LEFT JOIN d_edge e ON e.lineage = f.lineage AND e.path = f.path GROUP BY f.lineage""",
-    "d_documents": f"""SELECT lineage, list('{{"path":"' || path || '","read_by":' || {_names("rd", 12)} || '}}' ORDER BY path) AS s FROM d_edge WHERE len(rd) > 0 GROUP BY lineage""",
+    "d_outputs": f"""SELECT f.lineage, list('{{"path":"' || f.path || '","final_lines":' || f.lines || ',"writers":' || {_names("wr", 12)} || '}}' ORDER BY f.lines DESC, f.path) AS o FROM d_final f LEFT JOIN d_linked e ON e.lineage = f.lineage AND e.path = f.path GROUP BY f.lineage""",
+    "d_documents": f"""SELECT lineage, list('{{"path":"' || path || '","read_by":' || {_names("rd", 12)} || '}}' ORDER BY path) AS s FROM d_linked WHERE len(rd) > 0 GROUP BY lineage""",
     "d_unread": "SELECT s.lineage, list(i.path ORDER BY i.path) AS u FROM (SELECT DISTINCT lineage FROM d_read) s, v_inventory i WHERE NOT EXISTS (SELECT 1 FROM d_read r WHERE r.lineage = s.lineage AND lower(r.path) = lower(i.path)) GROUP BY s.lineage",
     "d_parts": "SELECT t.lineage, (t.lineage + 1) * 4000 AS b, '{\"counts\":{' || " + " || ',' || ".join(f"'\"{c}\":' || t.{c}" for c in ("read_files", "readers", "lines_cum", "in_files", "in_lines", "writes", "written_files", "writers")) + """ || '},"produced_files":[' AS h, coalesce(o, []) AS o, coalesce(s, []) AS s, coalesce(u, []) AS u
         FROM d_stats t LEFT JOIN d_outputs p ON p.lineage = t.lineage LEFT JOIN d_documents q ON q.lineage = t.lineage LEFT JOIN d_unread r ON r.lineage = t.lineage""",

@@ -102,7 +102,7 @@ def _blocks(msgs: DataFrame, key: str) -> DataFrame:
 
 
 def tool_uses(msgs: DataFrame, key: str = "path") -> DataFrame:
-    """(key, idx, t_ms, tool_id, name, brief, skill, wlines, kind, val): every tool call in order."""
+    """(key, idx, pos, t_ms, tool_id, name, brief, skill, agent_type, wlines, kind, val): every tool call in order."""
     from tracelake.functions.records import base_skill, line_count, tool_brief
 
     b = _blocks(msgs, key).filter("kind = 'tool_use'").withColumn("input", F.to_json(text("block", "$.input", "variant")))
@@ -114,7 +114,7 @@ def tool_uses(msgs: DataFrame, key: str = "path") -> DataFrame:
     wrote = F.when(name == "Write", one(get("content"))).when(name == "Edit", one(get("new_string"))).when(name == "MultiEdit", many(lambda e: one(e["new_string"])))
     val = F.when(name == "Write", wrote).when(name == "Edit", wrote - one(get("old_string"))).when(name == "MultiEdit", many(lambda e: one(e["new_string"]) - one(e["old_string"])))
     kind = F.when(name == "Write", "set").when(name.isin("Edit", "MultiEdit"), "delta")
-    return b.select(key, "idx", "pos", "t_ms", text("block", "$.id").alias("tool_id"), name.alias("name"), tool_brief(F.col("input")).alias("brief"), F.when(name == "Skill", base_skill(get("skill"))).alias("skill"), wrote.alias("wlines"), kind.alias("kind"), val.alias("val"))
+    return b.select(key, "idx", "pos", "t_ms", text("block", "$.id").alias("tool_id"), name.alias("name"), tool_brief(F.col("input")).alias("brief"), F.when(name == "Skill", base_skill(get("skill"))).alias("skill"), F.when(name.isin("Agent", "Task"), get("subagent_type")).alias("agent_type"), wrote.alias("wlines"), kind.alias("kind"), val.alias("val"))
 
 
 def tool_results(msgs: DataFrame, key: str = "path") -> DataFrame:
