@@ -11,11 +11,32 @@ where equal hashes cost work and never change a result.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
+
+#: Arrays from this size on are mapped, and free memory above the second number is handed back.
+MAPPED, SPARE = 4 << 20, 32 << 20
+
+
+def _lean_worker() -> None:
+    """Workers live on between tasks, and by default keep what their largest task has freed. Here large arrays go back
+    to the system as soon as they are freed."""
+    name = ctypes.util.find_library("c")
+    libc = ctypes.CDLL(name) if name else None
+    if libc is not None and hasattr(libc, "mallopt"):  # not every C library has it
+        libc.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, SPARE)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+if TaskContext.get() is not None:
+    _lean_worker()
 
 CHUNK_BYTES = 1 << 18
 #: Strings whose bytes are put together at once.
