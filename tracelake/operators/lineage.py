@@ -33,12 +33,42 @@ def chain(reads: DataFrame, writes: DataFrame, handed: DataFrame, *, scope: str
     return first.join(second.filter("document <> output"), [scope, "document"])
 
 
-def edges(reads: DataFrame, writes: DataFrame, dropped: DataFrame, scope: str = "lineage", agent: str = "session_id") -> DataFrame:
-    """(scope, path, readers, writers): agents by path, without the ``dropped`` ones."""
+def main_agents(rows: DataFrame, is_main: Column, agent: Column, stage: str = "stage") -> DataFrame:
+    """``rows`` with ``agent_id``: what the main thread does belongs to one agent for each of its stages."""
+    return rows.withColumn("agent_id", F.when(is_main, F.concat(F.lit("__main__:"), F.coalesce(stage, F.lit("?")))).otherwise(agent))
+
+
+def agent_rows(reads: DataFrame, writes: DataFrame, keys: list[str], kind: Column) -> DataFrame:
+    """A row for each agent (keys) that reads or writes: its role by the best of what it wrote (``kind`` of a write: ets, spec or
+    plan), files and lines read, each line once, files written by kind and in all, and lines added."""
+    own = accumulate(reads, [*keys, "path"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_read"), F.sum("lines_cum").alias("lines_cum"), F.sum("lines_dedup").alias("lines_dedup"))
+    of = lambda k: F.count_distinct(F.when(F.col("_kind") == k, F.col("path")))
+    added = F.greatest(F.col("val"), F.lit(0))
+    made = writes.withColumn("_kind", kind).groupBy(*keys).agg(
+        F.count_distinct("path").alias("n_out"), of("ets").alias("n_ets"), of("spec").alias("n_spec"), of("plan").alias("n_plan"), F.sum(added).alias("lines_added"), F.coalesce(F.sum(F.when(F.col("_kind") == "ets", added)), F.lit(0)).alias("lines_ets")
+    )
+    out = own.join(made, keys, "full").fillna(0, ["n_read", "lines_cum", "lines_dedup", "n_out", "n_ets", "n_spec", "n_plan", "lines_added", "lines_ets"])
+    role = F.when(F.col("n_ets") > 0, "execute").when(F.col("n_spec") > 0, "spec").when(F.col("n_plan") > 0, "plan").otherwise("other")
+    return out.withColumn("role", role)
+
+
+def agent_spans(reads: DataFrame, keys: list[str], source: str) -> DataFrame:
+    """(keys, path, start_line, end_line, via): the merged lines that each agent saw of a file, and by what."""
+    via = reads.filter("n > 0").groupBy(*keys, "path").agg(joined(source).alias("via"))
+    return intervals.line_spans(reads, [*keys, "path"]).join(via, [*keys, "path"])
+
+
+def edges(reads: DataFrame, writes: DataFrame, dropped: DataFrame, scope: str = "lineage", agent: str = "session_id", *, probed: DataFrame | None = None, external: Column | None = None) -> DataFrame:
+    """(scope, path, readers, writers, with ``probed`` also probed_by): agents by path, without the ``dropped`` ones and without
+    paths that are ``external`` (an expression over path)."""
     side = lambda df, kind: df.join(dropped.select(agent), agent, "left_anti").select(scope, "path", agent, F.lit(kind).alias("kind")).distinct()
     both = side(reads, "r").unionByName(side(writes, "w"))
+    if probed is not None:
+        both = both.unionByName(side(probed, "p"))
+    if external is not None:
+        both = both.filter(~external)
     names = lambda k: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col(agent)))), lambda x: x.cast("string")), ",")
-    return both.groupBy(scope, "path").agg(names("r").alias("readers"), names("w").alias("writers"))
+    return both.groupBy(scope, "path").agg(names("r").alias("readers"), names("w").alias("writers"), *([names("p").alias("probed_by")] if probed is not None else []))
 
 
 def unread(inventory: DataFrame, reads: DataFrame, scope: str = "lineage") -> DataFrame:

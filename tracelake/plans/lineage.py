@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import paths
 from tracelake.operators import digest as digests
 from tracelake.operators import lineage, pairs, replay, segments, usage
 from tracelake.plans.core import pieces, seg
@@ -86,6 +87,45 @@ def lineage_edges(spark, d):
     return lineage.edges(reads(spark, d), frame(spark, d, "v_write"), _dropped(spark, d))
 
 
+@query("probe_edges", """WITH b AS (SELECT DISTINCT lineage, path, session_id, CASE event_type WHEN 'click' THEN 'r' ELSE 'p' END AS k FROM d_read UNION SELECT DISTINCT lineage, path, session_id, 'w' FROM v_write), c AS (SELECT * FROM b WHERE session_id NOT IN (SELECT session_id FROM d_dropped) AND path NOT LIKE '%7')
+    SELECT lineage, path, coalesce(string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY session_id) FILTER (WHERE k = 'r'), '') AS readers, coalesce(string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY session_id) FILTER (WHERE k = 'w'), '') AS writers,
+    coalesce(string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY session_id) FILTER (WHERE k = 'p'), '') AS probed_by FROM c GROUP BY lineage, path""")
+def probe_edges(spark, d):
+    """Clicks read, views only probe; files whose name ends in 7 lie in a folder of tools."""
+    r = reads(spark, d)
+    outside = paths.is_external(F.when(F.col("path").endswith("7"), F.concat(F.lit("/home/u/.claude/"), "path")).otherwise(F.col("path")))
+    return lineage.edges(r.filter("event_type = 'click'"), frame(spark, d, "v_write"), _dropped(spark, d), probed=r.filter("event_type = 'view'"), external=outside)
+
+
+_AGENT = "CASE WHEN idx % 3 = 0 THEN '__main__:' || stage ELSE 'a' || (idx % 3) END"
+DERIVED |= {
+    "d_agent_line": f"SELECT session_id, {_AGENT} AS agent_id, path, event_type, unnest(range(start_line, start_line + n)) AS l FROM d_read_seg WHERE n > 0",
+    "d_agent_write": f"SELECT session_id, {_AGENT} AS agent_id, path, greatest(val, 0) AS added, CASE path WHEN 'w0' THEN 'ets' WHEN 'w1' THEN 'spec' WHEN 'w2' THEN 'plan' END AS kind FROM d_write_seg",
+}
+
+
+def _by_agent(rows: DataFrame) -> DataFrame:
+    """Every third record is the main thread's, the others are those of two agents."""
+    return lineage.main_agents(rows, F.col("idx") % 3 == 0, F.concat(F.lit("a"), (F.col("idx") % 3).cast("string")))
+
+
+@query("agent_rows", """WITH r AS (SELECT session_id, agent_id, count(DISTINCT path) AS n_read, count(*) AS lines_cum, count(DISTINCT path || ':' || l) AS lines_dedup FROM d_agent_line GROUP BY ALL),
+    w AS (SELECT session_id, agent_id, count(DISTINCT path) AS n_out, count(DISTINCT path) FILTER (WHERE kind = 'ets') AS n_ets, count(DISTINCT path) FILTER (WHERE kind = 'spec') AS n_spec, count(DISTINCT path) FILTER (WHERE kind = 'plan') AS n_plan, CAST(sum(added) AS BIGINT) AS lines_added, CAST(coalesce(sum(added) FILTER (WHERE kind = 'ets'), 0) AS BIGINT) AS lines_ets FROM d_agent_write GROUP BY ALL),
+    a AS (SELECT session_id, agent_id FROM r UNION SELECT session_id, agent_id FROM w)
+    SELECT a.session_id, a.agent_id, coalesce(n_read, 0) AS n_read, coalesce(lines_cum, 0) AS lines_cum, coalesce(lines_dedup, 0) AS lines_dedup, coalesce(n_out, 0) AS n_out, coalesce(n_ets, 0) AS n_ets, coalesce(n_spec, 0) AS n_spec, coalesce(n_plan, 0) AS n_plan, coalesce(lines_added, 0) AS lines_added, coalesce(lines_ets, 0) AS lines_ets,
+    CASE WHEN n_ets > 0 THEN 'execute' WHEN n_spec > 0 THEN 'spec' WHEN n_plan > 0 THEN 'plan' ELSE 'other' END AS role FROM a LEFT JOIN r USING (session_id, agent_id) LEFT JOIN w USING (session_id, agent_id)""")
+def agent_rows(spark, d):
+    kind = F.when(F.col("path") == "w0", "ets").when(F.col("path") == "w1", "spec").when(F.col("path") == "w2", "plan")
+    return lineage.agent_rows(_by_agent(read_segs(spark, d)), _by_agent(write_segs(spark, d)), ["session_id", "agent_id"], kind)
+
+
+@query("agent_spans", """WITH d AS (SELECT DISTINCT session_id, agent_id, path, l FROM d_agent_line), g AS (SELECT *, l - row_number() OVER (PARTITION BY session_id, agent_id, path ORDER BY l) AS g FROM d),
+    v AS (SELECT session_id, agent_id, path, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS via FROM d_agent_line GROUP BY ALL)
+    SELECT g.session_id, g.agent_id, g.path, min(l) AS start_line, max(l) AS end_line, any_value(via) AS via FROM g JOIN v ON v.session_id = g.session_id AND v.agent_id = g.agent_id AND v.path = g.path GROUP BY g.session_id, g.agent_id, g.path, g.g""")
+def agent_spans(spark, d):
+    return lineage.agent_spans(_by_agent(read_segs(spark, d)), ["session_id", "agent_id"], "event_type")
+
+
 @query("doc_universe", "SELECT DISTINCT lineage, path FROM (SELECT lineage, path FROM d_read UNION SELECT lineage, path FROM v_write)")
 def doc_universe(spark, d):
     return reads(spark, d).select("lineage", "path").union(frame(spark, d, "v_write").select("lineage", "path")).distinct()
