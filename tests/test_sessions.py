@@ -115,6 +115,15 @@ def test_a_replaced_transcript_takes_back_what_it_showed(spark, inventory, tmp_p
     assert kinds(spark, out).count(("reset", "transcript was replaced")) == 1
 
 
+def test_texts_that_say_lines_and_stages():
+    assert sessions.shown_spans({"file": {"numLines": 3}}, "x") == [[1, 3]]
+    assert sessions.shown_spans(None, "  7\tseven\nno number\t\n         9\tfar\n12\t") == [[7, 1], [12, 1]]
+    assert sessions.shown_spans(None, "a\nb") == [[1, 2]] and sessions.shown_spans(None, "") == []
+    assert sessions._workflow('run({ name : "build it", x: 1 })') == "wf:build it"
+    assert sessions._workflow("no 'name' here") == "" and sessions._workflow("") == ""
+    assert sessions.merged([[5, 7], [1, 3], [3, 4], [9, 9]]) == [[1, 4], [5, 7], [9, 9]]
+
+
 def test_coverage_equals_the_batch(spark, inventory, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     reads = [("s1", "/w/A.kt", 1, 4), ("s1", "/w/A.kt", 3, 5), ("s1", "/w/l.xml", 4, 9), ("s1", "/w/none.kt", 1, 3), ("s2", "/w/A.kt", 10, 9), ("s2", "/w/A.kt", 20, 2)]

@@ -53,12 +53,22 @@ def _text(content) -> str:
     return "\n".join(b["text"] for b in content if isinstance(b, dict) and isinstance(b.get("text"), str)) if isinstance(content, list) else ""
 
 
+def _workflow(script: str) -> str:
+    """The stage of a workflow: wf: and the quoted text behind the first field ``name`` of its script; empty without one."""
+    parts = re.split("([\"'])", script)
+    for i in range(len(parts) - 2):
+        if parts[i].rstrip().endswith(":") and parts[i].rstrip(" :\n\t").endswith("name") and parts[i + 2]:
+            return "wf:" + parts[i + 2]
+    return ""
+
+
 def shown_spans(told, body: str) -> list[list[int]]:
     """[start, n] of the lines that a Read result shows: as told, else by the numbers before tabs, else its lines from 1 on."""
     file = _dict(_dict(told).get("file"))
     if _number(file.get("numLines")) > 0:
         return [[_number(file.get("startLine")) or 1, _number(file["numLines"])]]
-    numbered = [[int(m[1]), 1] for m in re.finditer(r"(?m)^\s{0,8}(\d+)\t", body)]
+    heads = [head for head, tab, _ in (line.partition("\t") for line in body.split("\n")) if tab]
+    numbered = [[int(h), 1] for h in heads if h.strip().isdecimal() and len(h) <= 8 + len(h.strip())]
     return numbered or ([[1, body.count("\n") + 1]] if body else [])
 
 
@@ -192,8 +202,7 @@ class StreamState(StatefulProcessor):
         if name == "Skill":
             self._stage(c, str(given.get("skill") or "").split(":")[-1], at)
         elif name == "Workflow":
-            m = re.search(r"name\s*:\s*['\"]([^'\"]+)", str(given.get("script") or ""))
-            self._stage(c, f"wf:{m[1]}" if m else "", at)
+            self._stage(c, _workflow(str(given.get("script") or "")), at)
         elif name in EDITS and path:
             target = _absolute(path, c["cwd"])
             if target not in c["write_files"]:
