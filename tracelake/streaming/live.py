@@ -14,13 +14,12 @@ from __future__ import annotations
 import json
 import uuid
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tracelake.streaming.shared import shared_folder
-from tracelake.streaming.tail import TailSource
+from tracelake.streaming import landing
+from tracelake.streaming.shared import Held, shared_folder
 
 OUT = "session_id long, records long, tool_calls long, failed long, open_tools long, prompts long, output_tokens long, covered_lines long, bad_lines long, generation long, status string, stage string"
 EVENTS = 80
@@ -40,27 +39,33 @@ class SessionReducer(StatefulProcessor):
     _NEW = {"records": 0, "tool_calls": 0, "failed": 0, "open": 0, "prompts": 0, "output": 0, "covered": 0, "bad": 0, "generation": 0, "status": "waiting", "stage": "setup"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.usage = handle.getMapState("usage", "msg string", "out long")
-        self.calls = handle.getMapState("calls", "id string", "path string, done boolean")
-        self.spans = handle.getMapState("spans", "path string", "spans string")
+        self.states = (
+            handle.getMapState("usage", "msg string", "out long"),
+            handle.getMapState("calls", "id string", "path string, done boolean"),
+            handle.getMapState("spans", "path string", "spans string"),
+        )
         self.counts = handle.getValueState("counts", ", ".join(f"{k} {'string' if isinstance(v, str) else 'long'}" for k, v in self._NEW.items()))
 
     def handleInputRows(self, key, rows, timerValues):
-        got = pd.concat(list(rows))
-        c = dict(zip(self._NEW, self.counts.get(), strict=True)) if self.counts.exists() else dict(self._NEW)
-        newest = int(got["generation"].max())
+        got = list(rows)
+        old = self.counts.get()
+        c = dict(zip(self._NEW, old, strict=True)) if old is not None else dict(self._NEW)
+        self.usage, self.calls, self.spans = (Held(state, old is None) for state in self.states)
+        newest = max(r.generation for r in got)
         if newest > c["generation"]:
-            for state in (self.usage, self.calls, self.spans):
-                state.clear()
+            for held in (self.usage, self.calls, self.spans):
+                held.clear()
             c = self._NEW | {"generation": newest}
-        for line in got[got["generation"] == c["generation"]].sort_values("at")["line"]:
-            rec = parse(line)
+        for r in sorted((r for r in got if r.generation == c["generation"]), key=lambda r: r.at):
+            rec = parse(r.line)
             if rec is not None:
                 self._record(rec, c)
-            elif line.strip():
+            elif r.line.strip():
                 c["bad"] += 1
+        for held in (self.usage, self.calls, self.spans):
+            held.write()
         self.counts.update(tuple(c.values()))
-        yield pd.DataFrame([(key[0], *c.values())], columns=[x.split()[0] for x in OUT.split(", ")])
+        yield Row(**dict(zip([x.split()[0] for x in OUT.split(", ")], (key[0], *c.values()), strict=True)))
 
     def _record(self, rec: dict, c: dict) -> None:
         c["records"] += 1
@@ -76,9 +81,9 @@ class SessionReducer(StatefulProcessor):
         use = msg.get("usage")
         if isinstance(use, dict) and not str(msg.get("model") or "").startswith("<"):
             mid, out = str(msg.get("id") or f"#{c['records']}"), int(use.get("output_tokens") or 0)
-            old = self.usage.getValue((mid,))[0] if self.usage.containsKey((mid,)) else 0
-            self.usage.updateValue((mid,), (out,))
-            c["output"] += out - old
+            old = self.usage.get((mid,)) or (0,)
+            self.usage.put((mid,), (out,))
+            c["output"] += out - old[0]
         for b in blocks:
             if b.get("type") == "tool_use":
                 self._call(b, c)
@@ -95,22 +100,20 @@ class SessionReducer(StatefulProcessor):
 
     def _call(self, block: dict, c: dict) -> None:
         name = (str(block.get("id")),)
-        if self.calls.containsKey(name):
+        if self.calls.get(name):
             return
         given = block.get("input") if isinstance(block.get("input"), dict) else {}
-        self.calls.updateValue(name, (str(given.get("file_path") or "") if block.get("name") == "Read" else "", False))
+        self.calls.put(name, (str(given.get("file_path") or "") if block.get("name") == "Read" else "", False))
         c["tool_calls"] += 1
         c["open"] += 1
         c["status"] = "running"
 
     def _result(self, block: dict, told, c: dict) -> None:
         name = (str(block.get("tool_use_id")),)
-        if not self.calls.containsKey(name):
-            return
-        path, done = self.calls.getValue(name)
+        path, done = self.calls.get(name) or ("", True)
         if done:
             return
-        self.calls.updateValue(name, (path, True))
+        self.calls.put(name, (path, True))
         c["open"] -= 1
         c["failed"] += bool(block.get("is_error"))
         shown = told.get("file") if isinstance(told, dict) and isinstance(told.get("file"), dict) else {}
@@ -119,14 +122,14 @@ class SessionReducer(StatefulProcessor):
 
     def _cover(self, path: str, start: int, n: int) -> int:
         """Adds a line span of a file to its merged spans; how many lines are new."""
-        old = json.loads(self.spans.getValue((path,))[0]) if self.spans.containsKey((path,)) else []
+        old = json.loads((self.spans.get((path,)) or ("[]",))[0])
         merged: list[list[int]] = []
         for a, b in sorted([*old, [start, start + n]]):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        self.spans.updateValue((path,), (json.dumps(merged),))
+        self.spans.put((path,), (json.dumps(merged),))
         return sum(b - a for a, b in merged) - sum(b - a for a, b in old)
 
     def close(self) -> None:
@@ -135,7 +138,7 @@ class SessionReducer(StatefulProcessor):
 
 def reduce(lines: DataFrame) -> DataFrame:
     """The stateful stream over streaming rows (session_id, generation, at, line)."""
-    return lines.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionReducer(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    return lines.groupBy("session_id").transformWithState(statefulProcessor=SessionReducer(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
 def run(stream: DataFrame, folder: str) -> None:
@@ -163,13 +166,12 @@ def latest(spark: SparkSession, folder: str, key: str = "session_id") -> DataFra
 
 
 def snapshot(spark: SparkSession, root: str, session: Column) -> DataFrame:
-    """Streams the transcript files below ``root`` (a folder that all hosts see) through the reducer; the
+    """Lands the transcript files below ``root`` (a folder that all hosts see) and streams their lines through the reducer; the
     newest row of each session. ``session`` is an expression over column path."""
-    spark.dataSource.register(TailSource)
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    lines = spark.readStream.format("transcript_tail").option("pattern", f"{root}/**/*.txt").load()
+    landing.poll(spark, root, folder, pattern=r"\.txt$")
     at = F.concat_ws("/", "path", F.lpad(F.col("byte").cast("string"), 20, "0"))
-    run(reduce(lines.select(session, "generation", at.alias("at"), "line")), folder)
+    run(reduce(landing.lines(spark, folder).select(session, "generation", at.alias("at"), "line")), folder)
     return latest(spark, folder)
 
 

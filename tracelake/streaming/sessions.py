@@ -19,19 +19,19 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelake.functions import paths
 from tracelake.operators.tables import cut
 from tracelake.streaming import landing
+from tracelake.streaming.shared import Held
 
 RING = 80
 ROW = "session_id string, source string, n_lines long, is_code boolean, stream string, agent_id string, kind string, generation long, at string, body string"
 OUT = "session_id string, kind string, at string, body string"
-_ROW = [c.split()[0] for c in ROW.split(", ")]
+_ROW, _OUT = ([c.split()[0] for c in x.split(", ")] for x in (ROW, OUT))
 #: Names and texts of the record format (fixed values).
 EDITS, LAUNCHES = ("Write", "Edit", "MultiEdit"), ("Agent", "Task")
 TURN_ENDS = ("stop_hook_summary", "turn_duration")
@@ -72,35 +72,43 @@ def shown_spans(told, body: str) -> list[list[int]]:
     return numbered or ([[1, body.count("\n") + 1]] if body else [])
 
 
+def _as_row(names: list[str], values) -> Row:
+    return Row(**dict(zip(names, values, strict=True)))
+
+
 class StreamState(StatefulProcessor):
     """The state of one transcript file."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.doc = handle.getValueState("doc", "doc string")
-        self.usage = handle.getMapState("usage", "msg string", "out long, inp long, cache long")
-        self.calls = handle.getMapState("calls", "id string", "name string, path string, done boolean")
-        self.shown = handle.getMapState("shown", "source string", "n long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values(["generation", "byte"])
-        session, agent = got["session_id"].iloc[0], got["agent_id"].iloc[0]
+        self.states = (
+            handle.getMapState("usage", "msg string", "out long, inp long, cache long"),
+            handle.getMapState("calls", "id string", "name string, path string, done boolean"),
+            handle.getMapState("shown", "source string", "n long"),
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got = sorted(rows, key=lambda r: (r.generation, r.byte))
+        session, agent = got[0].session_id, got[0].agent_id
         self.out: list[tuple] = []
         self.name = (session, key[0], agent)
-        c = json.loads(self.doc.get()[0]) if self.doc.exists() else None
+        old = self.doc.get()
+        c = json.loads(old[0]) if old is not None else None
+        self.usage, self.calls, self.shown = (Held(state, c is None) for state in self.states)
         if c is None:
             c = self._fresh(agent, 0)
             if agent:
                 self._event(c, "agent", f"found {agent[:8]}", None)
-        newest = int(got["generation"].max())
+        newest = got[-1].generation
         if newest > c["generation"]:
             self.calls.clear()
             self.usage.clear()
             c = self._fresh(agent, newest)
-            for (source,), _ in list(self.shown.iterator()):
+            for (source,) in self.shown.keys():
                 self._row(c, "span", source, None, "[]")
             self.shown.clear()
             self._event(c, "reset", "transcript was replaced", None)
-        for line in got.loc[got["generation"] == newest, "line"]:
+        for line in (r.line for r in got if r.generation == newest):
             try:
                 rec = json.loads(line)
             except ValueError:
@@ -110,9 +118,11 @@ class StreamState(StatefulProcessor):
             elif line.strip():
                 c["bad_lines"] += 1
                 self._event(c, "error", "a line is no record", None)
+        for held in (self.usage, self.calls, self.shown):
+            held.write()
         self.doc.update((json.dumps(c),))
         self._row(c, "state", "", c["last_ts"], json.dumps(c))
-        yield pd.DataFrame(self.out, columns=_ROW)
+        yield from (_as_row(_ROW, x) for x in self.out)
 
     def _fresh(self, agent: str, generation: int) -> dict:
         start = {"status": "running" if agent else "idle", "stage": "session", "model": None, "cwd": None, "first_ts": None, "last_ts": None}
@@ -184,18 +194,18 @@ class StreamState(StatefulProcessor):
             return
         mid = (str(msg.get("id") or f"#{c['records']}"),)
         now = tuple(_number(use.get(k)) for k in ("output_tokens", "input_tokens", "cache_read_input_tokens"))
-        was = self.usage.getValue(mid) if self.usage.containsKey(mid) else (0, 0, 0)
-        self.usage.updateValue(mid, now)
+        was = self.usage.get(mid) or (0, 0, 0)
+        self.usage.put(mid, now)
         for k, a, b in zip(("output_tokens", "input_tokens", "cache_read_tokens"), now, was, strict=True):
             c[k] += a - int(b)
 
     def _call(self, block: dict, at, c: dict) -> None:
         key, name, given = (str(block.get("id")),), str(block.get("name") or "unknown"), _dict(block.get("input"))
-        if block.get("id") and self.calls.containsKey(key):
+        if block.get("id") and self.calls.get(key):
             return
         path = given.get("file_path") or given.get("path")
         path = path if isinstance(path, str) else ""
-        self.calls.updateValue(key, (name, path, False))
+        self.calls.put(key, (name, path, False))
         c["tool_calls"] += 1
         c["open_tools"] += 1
         c["tools"][name] = c["tools"].get(name, 0) + 1
@@ -213,20 +223,18 @@ class StreamState(StatefulProcessor):
 
     def _result(self, block: dict, told, c: dict) -> None:
         key = (str(block.get("tool_use_id")),)
-        if not self.calls.containsKey(key):
-            return
-        name, path, done = self.calls.getValue(key)
+        name, path, done = self.calls.get(key) or ("", "", True)
         if done:
             return
-        self.calls.updateValue(key, (name, path, True))
+        self.calls.put(key, (name, path, True))
         c["open_tools"] -= 1
         if block.get("is_error"):
             c["failed"] += 1
         elif name == "Read" and path:
             source, spans = _absolute(path, c["cwd"]), shown_spans(told, _text(block.get("content")))
             if spans:
-                if not self.shown.containsKey((source,)):
-                    self.shown.updateValue((source,), (1,))
+                if not self.shown.get((source,)):
+                    self.shown.put((source,), (1,))
                     c["read_files"] += 1
                 self._row(c, "span", source, c["last_ts"], json.dumps(spans))
 
@@ -257,26 +265,29 @@ class Coverage(StatefulProcessor):
         self.spans = handle.getMapState("spans", "stream string", "generation long, spans string")
         self.told = handle.getValueState("told", "n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if not key[1]:
             yield from rows
             return
-        got = pd.concat(list(rows))
-        for r in got.sort_values("generation", kind="stable").itertuples(index=False):
-            old = self.spans.getValue((r.stream,)) if self.spans.containsKey((r.stream,)) else (0, "[]")
+        got = list(rows)
+        told = self.told.get()
+        held = {} if told is None else {k[0]: tuple(v) for k, v in self.spans.iterator()}
+        changed = {}
+        for r in sorted(got, key=lambda r: r.generation):
+            old = held.get(r.stream, (0, "[]"))
             if r.generation < old[0]:
                 continue
             kept = json.loads(old[1]) if r.generation == old[0] else []
             new = merged([*kept, *([max(a, 1), a + n] for a, n in json.loads(r.body) if n > 0 and a + n > 1)])
-            self.spans.updateValue((r.stream,), (int(r.generation), json.dumps(new)))
-        top = got["n_lines"].iloc[0]
-        every = merged([s for _, v in self.spans.iterator() for s in json.loads(v[1])])
-        n = -1 if pd.isna(top) else sum(max(0, min(b, int(top) + 1) - a) for a, b in every)
-        if not self.told.exists() or self.told.get()[0] != n:
+            held[r.stream] = changed[r.stream] = (r.generation, json.dumps(new))
+        for stream, value in changed.items():
+            self.spans.updateValue((stream,), value)
+        top = got[0].n_lines
+        every = merged([s for _, spans in held.values() for s in json.loads(spans)])
+        n = -1 if top is None else sum(max(0, min(b, top + 1) - a) for a, b in every)
+        if told is None or told[0] != n:
             self.told.update((n,))
-            last = got.iloc[[-1]].copy()
-            last["kind"], last["body"] = "covered", str(n)
-            yield last[_ROW]
+            yield _as_row(_ROW, [{"kind": "covered", "body": str(n)}.get(c, got[-1][c]) for c in _ROW])
 
     def close(self) -> None:
         pass
@@ -290,28 +301,31 @@ class SessionState(StatefulProcessor):
         self.covered = handle.getMapState("covered", "source string", "n long, code boolean")
         self.ring = handle.getValueState("ring", "events string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        for r in got[got["kind"] == "state"].itertuples(index=False):
-            self.streams.updateValue((r.stream,), (r.agent_id or "", r.body))
-        for r in got[got["kind"] == "covered"].itertuples(index=False):
-            self.covered.updateValue((r.source,), (int(r.body), bool(r.is_code) if not pd.isna(r.is_code) else False))
-        new = [(r.at or "", {"at": r.at, "stream": r.stream, **json.loads(r.body)}) for r in got[got["kind"] == "event"].itertuples(index=False)]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got, old = list(rows), self.ring.get()
+        streams = {} if old is None else {k[0]: tuple(v) for k, v in self.streams.iterator()}
+        covered = {} if old is None else {k[0]: tuple(v) for k, v in self.covered.iterator()}
+        now = {r.stream: (r.agent_id or "", r.body) for r in got if r.kind == "state"}
+        seen = {r.source: (int(r.body), bool(r.is_code)) for r in got if r.kind == "covered"}
+        for state, changed in ((self.streams, now), (self.covered, seen)):
+            for name, value in changed.items():
+                state.updateValue((name,), value)
+        new = [(r.at or "", {"at": r.at, "stream": r.stream, **json.loads(r.body)}) for r in got if r.kind == "event"]
         new = [e for _, e in sorted(new, key=lambda x: x[0])]
-        ring = ([*json.loads(self.ring.get()[0]), *new] if self.ring.exists() else new)[-RING:]
+        ring = ([*json.loads(old[0]), *new] if old is not None else new)[-RING:]
         self.ring.update((json.dumps(ring),))
         out = [(key[0], "event", e["at"], json.dumps(e)) for e in new]
-        out.append((key[0], "state", None, json.dumps(self._summary(ring))))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        out.append((key[0], "state", None, json.dumps(self._summary(ring, streams | now, covered | seen))))
+        yield from (_as_row(_OUT, x) for x in out)
 
-    def _summary(self, ring: list[dict]) -> dict:
-        docs = [(agent, json.loads(doc)) for _, (agent, doc) in self.streams.iterator()]
+    def _summary(self, ring: list[dict], streams: dict, covered: dict) -> dict:
+        docs = [(agent, json.loads(doc)) for agent, doc in streams.values()]
         main = next((d for agent, d in docs if not agent), None)
         tools: dict[str, int] = {}
         for _, d in docs:
             for name, n in d["tools"].items():
                 tools[name] = tools.get(name, 0) + n
-        seen = [(n, code) for _, (n, code) in self.covered.iterator() if n > 0]
+        seen = [(n, code) for n, code in covered.values() if n > 0]
         stamps = [[d[k] for _, d in docs if d[k]] for k in ("first_ts", "last_ts")]
         agents = [{"agent_id": a, **{k: d[k] for k in ("status", "stage", "model", "output_tokens", "read_files", "last_ts")}, "tool_uses": d["tool_calls"], "write_files": len(d["write_files"])} for a, d in docs if a]
         return {
@@ -340,14 +354,14 @@ def reduce(lines: DataFrame, inventory: DataFrame | None = None, named: tuple[Co
     session, agent = named or names(F.col("path"))
     rows = lines.select("path", session.alias("session_id"), agent.alias("agent_id"), F.col("generation").cast("long").alias("generation"), "byte", "line")
     kind = {"outputMode": "append", "timeMode": "none"}
-    rows = rows.groupBy("path").transformWithStateInPandas(StreamState(), ROW, **kind)
+    rows = rows.groupBy("path").transformWithState(StreamState(), ROW, **kind)
     if inventory is not None:
         known = inventory.groupBy(F.col("path").alias("source")).agg(F.max("n_lines").cast("long").alias("_n"), F.max("is_code").alias("_code"))
         rows = rows.join(known, "source", "left").withColumn("n_lines", F.col("_n")).withColumn("is_code", F.col("_code")).select(*_ROW)
     else:  # without one, every line counts
         rows = rows.withColumn("n_lines", F.lit((1 << 40)).cast("long")).withColumn("is_code", paths.is_code(F.col("source")))
-    rows = rows.groupBy("session_id", "source").transformWithStateInPandas(Coverage(), ROW, **kind)
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionState(), OUT, **kind)
+    rows = rows.groupBy("session_id", "source").transformWithState(Coverage(), ROW, **kind)
+    return rows.groupBy("session_id").transformWithState(SessionState(), OUT, **kind)
 
 
 def drain(stream: DataFrame, folder: str) -> None:

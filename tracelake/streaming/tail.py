@@ -21,9 +21,15 @@ SCHEMA = "path string, generation int, byte long, line string"
 HEAD = 128
 
 
+#: Bytes that a task reads, where it has more than one file, and how many opening a file counts for.
+PART, OPEN = 1 << 24, 1 << 16
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, generation: int, start: int, end: int):
-        self.path, self.generation, self.start, self.end = path, generation, start, end
+    """Pieces of files: (path, generation, start, end)."""
+
+    def __init__(self, pieces: list[tuple[str, int, int, int]]):
+        self.pieces = pieces
 
 
 def _head(path: str, size: int) -> str:
@@ -79,24 +85,30 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         a, b = json.loads(start["files"]), json.loads(end["files"])
         self.last = {**a, **self.last}  # after a restart the offsets come from the checkpoint
-        out = []
+        out, room = [], 0
         for path, (gen, byte, *_) in sorted(b.items()):
             old_gen, old_byte, *_ = a.get(path, [gen, 0])
             first = old_byte if gen == old_gen else 0
             if byte > first:
-                out.append(_Part(path, gen, first, byte))
+                cost = byte - first + OPEN
+                if cost > room:
+                    out.append(_Part([]))
+                    room = PART
+                out[-1].pieces.append((path, gen, first, byte))
+                room -= cost
         return out
 
     def read(self, partition: _Part):
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            at = partition.start
-            while at < partition.end:
-                line = f.readline()
-                if not line:
-                    break
-                yield partition.path, partition.generation, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(line)
+        for path, generation, start, end in partition.pieces:
+            with open(path, "rb") as f:
+                f.seek(start)
+                at = start
+                while at < end:
+                    line = f.readline()
+                    if not line:
+                        break
+                    yield path, generation, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+                    at += len(line)
 
     def commit(self, end: dict) -> None:
         """Offsets are kept in the query's checkpoint."""
