@@ -47,7 +47,7 @@ def test_small_and_other_files_as_spark_reads_them(spark, root, form):
 
 def test_listing_as_spark_lists(spark, root):
     want = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root).select("_metadata.file_path", "length", "modificationTime")
-    assert sorted(map(tuple, transcripts._listed(spark, root).collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, transcripts._listed(spark, root, files.found(spark, root)).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_roots_that_only_spark_opens(spark, root):
@@ -59,3 +59,10 @@ def test_small_files_are_numbered_without_a_shuffle(spark, root, capsys):
     (df := transcripts.scan(spark, f"{root}/p")).explain()
     plan = capsys.readouterr().out
     assert df.count() == 3 and "Window" not in plan and plan.count("Exchange") <= 1
+
+
+def test_a_catalog_lists_once(spark, root, monkeypatch):
+    calls, found = [], files.found
+    monkeypatch.setattr(files, "found", lambda *a: calls.append(a) or found(*a))
+    got = transcripts.catalog(spark, f"{root}/p").collect()
+    assert len(calls) == 1 and got == []
