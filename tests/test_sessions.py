@@ -6,7 +6,7 @@ import os
 import pytest
 
 from tracelake.operators import lineage
-from tracelake.streaming import sessions
+from tracelake.streaming import landing, sessions
 
 
 def add(path, *records, mode="a"):
@@ -136,3 +136,25 @@ def test_coverage_equals_the_batch(spark, inventory, tmp_path):
     spans = spark.createDataFrame(reads, "session_id string, path string, start_line long, n long")
     want = {r.session_id: (r.files, r.lines) for r in lineage.coverage(spans, inventory, ["session_id"]).collect()}
     assert got == want == {"s1": (2, 9), "s2": (1, 1)}
+
+
+def test_metadata_of_many_transcripts_is_not_listed_by_the_driver(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(300):
+        add(f"{src}/p/s{k}/subagents/agent-a{k}.jsonl", prompt(1, "go"))
+    add(f"{src}/p/s7/subagents/agent-a7.meta.json", {"description": "the seventh"})
+    add(f"{src}/p/s7/workflows/wf_1.json", {"workflowName": "build", "workflowProgress": [{"type": "workflow_agent", "agentId": "a8", "label": "late"}]})
+    add(f"{src}/p/s7/workflows/other.json", {"workflowName": "none of these"})
+    seen = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = seen.getCount()
+    got = {(r.session_id, r.agent_id, r.desc) for r in sessions.metadata(spark, src, out).collect()}
+    assert got == {("s7", "a7", "the seventh"), ("s7", "a8", "late")} and seen.getCount() - before < 150
+
+
+def test_an_inventory_is_not_broadcast(spark, inventory, tmp_path):
+    add(f"{tmp_path}/in/p/s1.jsonl", prompt(1, "go"))
+    landing.poll(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    inventory.write.parquet(f"{tmp_path}/inventory")
+    stream = sessions.reduce(landing.lines(spark, f"{tmp_path}/out"), spark.read.parquet(f"{tmp_path}/inventory"))
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(stream._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -29,6 +29,8 @@ from tracelake.streaming import landing
 from tracelake.streaming.shared import Held
 
 RING = 80
+#: Parts among which the rows without a source file are dealt in the join with the inventory.
+SPREAD = 1 << 20
 ROW = "session_id string, source string, n_lines long, is_code boolean, stream string, agent_id string, kind string, generation long, at string, body string"
 OUT = "session_id string, kind string, at string, body string"
 _ROW, _OUT = ([c.split()[0] for c in x.split(", ")] for x in (ROW, OUT))
@@ -357,7 +359,10 @@ def reduce(lines: DataFrame, inventory: DataFrame | None = None, named: tuple[Co
     rows = rows.groupBy("path").transformWithState(StreamState(), ROW, **kind)
     if inventory is not None:
         known = inventory.groupBy(F.col("path").alias("source")).agg(F.max("n_lines").cast("long").alias("_n"), F.max("is_code").alias("_code"))
-        rows = rows.join(known, "source", "left").withColumn("n_lines", F.col("_n")).withColumn("is_code", F.col("_code")).select(*_ROW)
+        # merged and not broadcast, as the inventory grows with the input (the estimate is of its compressed file); rows without a source are dealt by stream
+        spread = F.when(F.col("source") == "", F.pmod(F.xxhash64("stream"), F.lit(SPREAD)) + 1).otherwise(0)
+        rows = rows.withColumn("_s", spread.cast("long")).join(known.withColumn("_s", F.lit(0).cast("long")).hint("merge"), ["source", "_s"], "left")
+        rows = rows.withColumn("n_lines", F.col("_n")).withColumn("is_code", F.col("_code")).select(*_ROW)
     else:  # without one, every line counts
         rows = rows.withColumn("n_lines", F.lit((1 << 40)).cast("long")).withColumn("is_code", paths.is_code(F.col("source")))
     rows = rows.groupBy("session_id", "source").transformWithState(Coverage(), ROW, **kind)
@@ -382,18 +387,25 @@ def drain(stream: DataFrame, folder: str) -> None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", keep)
 
 
+#: Files that say something of agents.
+NOTES = r"/(?:agent-[^/]*\.meta|wf_[^/]*)\.json$"
 META = "file string, mtime timestamp, session_id string, agent_id string, desc string, agent_type string, workflow string, state string, model string"
 
 
-def metadata(spark: SparkSession, root: str, folder: str) -> DataFrame:
+def metadata(spark: SparkSession, root: str, folder: str, found: DataFrame | None = None) -> DataFrame:
     """(META) what agent meta files and workflow files say. Files written since the last time are read again; those that
-    don't parse are being written, so what they said before stays."""
+    don't parse are being written, so what they said before stays. Tasks list and read them (``found`` is a listing that the caller
+    has already): Spark's text reader would keep the status of every file below ``root`` in the driver, transcripts too."""
     last = landing.last_version(spark, f"{folder}/meta")
     known = spark.read.schema(META).parquet(f"{folder}/meta/version={last}") if last >= 0 else spark.createDataFrame([], META)
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "{agent-*.meta,wf_*}.json").text(root)
-    raw = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
-    old = known.groupBy("file").agg(F.max("mtime").alias("_mtime"))
-    fresh = raw.join(old, "file", "left").filter("_mtime is null or _mtime <> mtime").withColumn("m", F.try_parse_json("value")).filter(F.schema_of_variant("m").startswith("OBJECT"))
+    files = landing.listing(spark, root, NOTES) if found is None else found.filter(F.col("path").rlike(NOTES))
+    old = known.groupBy(F.col("file").alias("path")).agg(F.max("mtime").alias("_mtime"))
+    files = cut(files.join(old, "path", "left").filter(F.col("_mtime").isNull() | (F.col("_mtime") != F.timestamp_seconds("mtime"))), "notes")
+    n = files.count()
+    if not n:
+        return known
+    raw = landing.texts(files, n).select(F.col("path").alias("file"), F.timestamp_seconds("mtime").alias("mtime"), "value")
+    fresh = raw.withColumn("m", F.try_parse_json("value")).filter(F.schema_of_variant("m").startswith("OBJECT"))
     get = lambda v, p: F.try_variant_get(v, p, "string")
     session, agent = names(F.col("file"))
     fresh = cut(fresh.select("file", "mtime", session.alias("session_id"), agent.alias("agent_id"), "m"), "metadata")
@@ -450,10 +462,10 @@ def with_metadata(now: DataFrame, meta: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_running")
 
 
-def publish(spark: SparkSession, root: str, folder: str) -> int:
-    """Adds the rows that changed to the snapshot; its version, which stays if nothing did."""
+def publish(spark: SparkSession, root: str, folder: str, found: DataFrame | None = None) -> int:
+    """Adds the rows that changed to the snapshot; its version, which stays if nothing did. ``found`` as in ``metadata``."""
     last = landing.last_version(spark, f"{folder}/snapshot")
-    now = with_metadata(states(spark, folder), metadata(spark, root, folder))
+    now = with_metadata(states(spark, folder), metadata(spark, root, folder, found))
     now = now.withColumn("digest", F.sha2(F.to_json(F.struct(*now.columns)), 256))
     if last >= 0:
         now = now.join(snapshot(spark, folder).select("session_id", F.col("digest").alias("_old")), "session_id", "left").filter("_old is null or _old <> digest").drop("_old")
@@ -472,7 +484,8 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def advance(spark: SparkSession, root: str, folder: str, inventory: DataFrame | None = None, *, pattern: str = r"\.jsonl$", max_bytes: int | None = None, named: tuple[Column, Column] | None = None) -> int:
-    """One step of following ``root``: poll, reduce what was landed, publish. The version of the snapshot."""
-    landing.poll(spark, root, folder, pattern=pattern, max_bytes=max_bytes)
+    """One step of following ``root``: list, poll, reduce what was landed, publish. The version of the snapshot."""
+    found = landing.listing(spark, root, f"(?:{pattern})|(?:{NOTES})")
+    landing.poll(spark, root, folder, pattern=pattern, max_bytes=max_bytes, found=found)
     drain(reduce(landing.lines(spark, folder), inventory, named), folder)
-    return publish(spark, root, folder)
+    return publish(spark, root, folder, found)
